@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import bitslice, mixing, packing, urllists, warc
+from mnemo.llm import bitslice, katz, mixing, packing, urllists, warc
 
 #: Weights of the languages that op3 and the pipeline aim at.
 LANGUAGE_TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.2, "es": 0.1}
@@ -27,6 +27,10 @@ def op1_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled documents: the rows whose domain, here the language, is taken as known."""
     ids = table(spark, sf_dir, "labels").select("doc_id").distinct()
@@ -92,8 +96,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op10_bitslice_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0

@@ -70,7 +70,7 @@ def release(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df: for a file scan the bytes of its files, from metadata alone."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(size, 1 << 50)
 
 
