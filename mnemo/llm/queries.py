@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import bitslice, katz, mixing, packing, urllists, warc
+from mnemo.llm import bitslice, forest, katz, mixing, packing, urllists, warc
 
 #: Weights of the languages that op3 and the pipeline aim at.
 LANGUAGE_TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.2, "es": 0.1}
@@ -83,6 +83,10 @@ def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.join(table(spark, sf_dir, "documents"))
+
+
 def op10_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
