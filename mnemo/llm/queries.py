@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import bitslice, forest, katz, mixing, packing, urllists, warc
+from mnemo.llm import bitslice, forest, katz, mixing, packing, quality, toxicity, urllists, warc
 
 #: Weights of the languages that op3 and the pipeline aim at.
 LANGUAGE_TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.2, "es": 0.1}
@@ -83,6 +83,30 @@ def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The chain's order: insults in each language, then toxicity as labelled.
+TOXIC_CHAIN = ["toxic_de", "toxic_en", "toxic_es", "toxic_fr", "toxic"]
+MAX_LABELLED_IDS = 20_000
+
+
+def labelled_toxicity(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Labelled rows of docs with the chain's categories; at most MAX_LABELLED_IDS of each label, the least by a hash."""
+    ids = table(spark, sf_dir, "labels").filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    halves = [ids.filter(F.coalesce("toxic", F.lit(0)) == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED_IDS // 2) for v in (0, 1)]
+    ids = halves[0].union(halves[1]).withColumnRenamed("doc_id", "labelled_id")
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id"))
+    of = lambda x: ((F.col("toxic") == 1) & (F.col("lang") == x)).cast("int")
+    return rows.select("doc_id", "text", "toxic", *(of(c[6:]).alias(c) for c in TOXIC_CHAIN[:-1]))
+
+
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(labelled_toxicity(spark, sf_dir, docs), TOXIC_CHAIN))
+
+
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.join(table(spark, sf_dir, "documents"))
 
