@@ -33,16 +33,22 @@ def word_buckets(text: Column, buckets: int) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
 
 
-def fit_domains(labelled: DataFrame, domains: list[str], buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """bucket, w (array: for each domain the log probability of the bucket), of labelled(doc_id, text, domain).
+def fit_domains(
+    docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED
+) -> DataFrame:
+    """bucket, w (array: for each domain the log probability of the bucket), of those docs(doc_id, text, domain) that
+    labelled(doc_id) names.
 
     Bucket -1 holds the log priors. buckets + 1 rows at most.
     """
-    spark = labelled.sparkSession
-    sample = (
-        labelled.filter("text is not null").filter(F.col("domain").isin(domains))
-        .select("text", "domain", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(max_labelled)
+    spark = docs.sparkSession
+    ids = (
+        labelled.filter("doc_id is not null").select(F.col("doc_id").alias("labelled_id")).distinct()
+        .orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(max_labelled)
     )
+    rows = docs.filter("text is not null").filter(F.col("domain").isin(domains))
+    # At most max_labelled ids, whatever the input: no text is shuffled to find them.
+    sample = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id"), "left_semi").select("text", "domain")
     sample = scratch.materialise(sample, "labelled")
     prior = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if missing := [d for d in domains if d not in prior]:
@@ -128,9 +134,12 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
-    """row, doc_id, n_tokens, p and rate of docs(doc_id, text), for labelled(doc_id, text, domain) and target weights."""
+    """row, doc_id, n_tokens, p and rate of docs(doc_id, text, domain), for target weights of the domains.
+
+    The domain column is believed for the rows that labelled(doc_id) names, and not looked at for others.
+    """
     domains = sorted(targets)
-    model = fit_domains(labelled, domains, buckets)
+    model = fit_domains(docs, labelled, domains, buckets)
     members = scratch.materialise(posteriors(docs, model, domains, buckets), "members")
     return fit_rates(members, [targets[d] for d in domains])
 

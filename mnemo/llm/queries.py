@@ -31,16 +31,10 @@ def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
-def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled documents: the rows whose domain, here the language, is taken as known."""
-    ids = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
-    return docs.join(ids, "doc_id", "left_semi")
-
-
 def op3_mix_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, labelled_languages(spark, sf_dir), LANGUAGE_TARGETS)
+    """Domains are languages: known for the documents in labels, predicted for all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), LANGUAGE_TARGETS)
     names = sorted(LANGUAGE_TARGETS)
     return mixed.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(names)), "rate")
 
