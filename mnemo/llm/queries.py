@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemo.llm import bitslice, forest, katz, mixing, packing, quality, toxicity, urllists, warc
+from mnemo.llm import bitslice, flatgraph, forest, katz, mixing, packing, quality, toxicity, urllists, warc
 
 #: Weights of the languages that op3 and the pipeline aim at.
 LANGUAGE_TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.2, "es": 0.1}
@@ -39,6 +39,10 @@ def op3_mix_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(names)), "rate")
 
 
+def op4_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).drop("url", "path")
 
