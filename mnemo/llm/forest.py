@@ -217,3 +217,21 @@ def join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall
     return sketches.join(per_class, key, "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, that are the smallest doc_id of their class; one row of each doc_id.
+
+    What goes, a small part of a corpus, is taken away by an anti-join; texts are only shuffled if that part is too
+    large to broadcast. Rows without doc_id stay.
+    """
+    found = join(docs, **options)
+    result = scratch.materialise(found.filter("doc_id is not null"), "join")
+    gone = result.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(scratch.materialise(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    repeated = result.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
+    repeated = scratch.materialise(repeated, "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    same = F.col("doc_id").cast("long") == F.col("_again")
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))

@@ -57,15 +57,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far in this session; only for when no result still reads them."""
-    jvm = spark.sparkContext._jvm
+def made(spark: SparkSession) -> list[str]:
+    """Scratch tables of this session that are still there."""
+    return [path for owner, path in _made if owner is spark]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables; only for when no result still reads them."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for owner, path in list(_made):
-        if owner is spark:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-            _made.remove((owner, path))
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    _made[:] = [x for x in _made if x[0] is not spark or x[1] not in set(paths)]
 
 
 def input_bytes(df: DataFrame) -> int:
