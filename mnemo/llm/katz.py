@@ -31,7 +31,7 @@ from mnemo.llm import scratch, tokens
 
 END = np.uint64(0x2545F4914F6CDD1D)
 DISCOUNTED = 5
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 12 << 20
 RANK_BITS = 26
 TEXTS, WORDS, WORD_ANSWERS, PAIR_ANSWERS, HOT, STATS = range(6)
