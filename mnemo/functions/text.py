@@ -7,17 +7,16 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemo import policy
 
-EMPTY = F.array().cast
-
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility form: the one step that Spark has no function for."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")

@@ -102,7 +102,7 @@ def benchmark_queries(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
 
 
-@query(f"AND {BM25} SELECT query_id, node_id, round(b.bm25, 4) AS bm25 FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(b.bm25, 4) DESC, node_id) <= 5", "docs")
+@query(f"AND {BM25} SELECT query_id, node_id, score AS bm25 FROM (SELECT query_id, node_id, round(bm25, 4) AS score FROM b) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 5", "docs")
 def ret_bm25(spark, d):
     found = rt.bm25(benchmark_queries(spark, d), docs(spark, d)).withColumn("bm25", F.round("bm25", 4))  # equal texts tie
     return rt.top(found, 5, "bm25", "query_id").select("query_id", "node_id", "bm25")
@@ -147,11 +147,11 @@ def dd_query_semantic(spark, d):
     return rt.semantic_dedup(rt.top(knn(spark, d), 10, "score", "query_id").join(e, "node_id"), 0.5)
 
 
-@query("SELECT node_id, round(CASE WHEN hi > lo AND rank <= 20 THEN score * (1 + CASE WHEN rank <= 3 THEN 0.15::DOUBLE WHEN rank <= 10 THEN 0.30::DOUBLE ELSE 0.5::DOUBLE END * (model - lo) / (hi - lo)) WHEN rank <= 20 THEN score * (1 + CASE WHEN rank <= 3 THEN 0.15::DOUBLE WHEN rank <= 10 THEN 0.30::DOUBLE ELSE 0.5::DOUBLE END * 0.5) ELSE score END, 4) AS score FROM (SELECT *, max(model) FILTER (rank <= 20) OVER (PARTITION BY user_id) AS hi, min(model) FILTER (rank <= 20) OVER (PARTITION BY user_id) AS lo FROM (SELECT user_id, node_id, value AS score, k::DOUBLE AS model, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, node_id) AS rank FROM mem))", "mem")
+@query("SELECT node_id, round(CASE WHEN hi > lo AND rank <= 20 THEN score * (1 + CASE WHEN rank <= 3 THEN 0.15::DOUBLE WHEN rank <= 10 THEN 0.30::DOUBLE ELSE 0.5::DOUBLE END * (model - lo) / (hi - lo)) WHEN rank <= 20 THEN score * (1 + CASE WHEN rank <= 3 THEN 0.15::DOUBLE WHEN rank <= 10 THEN 0.30::DOUBLE ELSE 0.5::DOUBLE END * 0.5) ELSE score END, 8) AS score FROM (SELECT *, max(model) FILTER (rank <= 20) OVER (PARTITION BY user_id) AS hi, min(model) FILTER (rank <= 20) OVER (PARTITION BY user_id) AS lo FROM (SELECT user_id, node_id, value AS score, k::DOUBLE AS model, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, node_id) AS rank FROM mem))", "mem")
 def sc_rerank_ce(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "node_id")
     m = mem(spark, d).select(F.col("user_id").alias("query_id"), "node_id", F.col("value").alias("score"), F.row_number().over(w).alias("rank"), F.col("k").cast("double").alias("model"))
-    return rt.rerank(m).select("node_id", F.round("score", 4).alias("score"))
+    return rt.rerank(m).select("node_id", F.round("score", 8).alias("score"))
 
 
 @query("SELECT node_id FROM (SELECT node_id, value / 100 AS score, CASE WHEN k % 3 > 0 THEN k / 100.0::DOUBLE END AS v, (k % 10) / 10.0::DOUBLE AS o FROM mem) WHERE score >= 0.10 AND (o >= 0.35 OR v >= 0.50)", "mem")
