@@ -25,8 +25,8 @@ def top(df: DataFrame, k: int, score: str, *keys: str, tie: str = "node_id", ran
 
 def postings(df: DataFrame, least: int = 3) -> DataFrame:
     """term, node_id, tf and document length: the full-text index."""
-    words = tx.tokens("content", least)
-    rows = df.select("node_id", F.size(words).alias("len"), F.explode(words).alias("term"))
+    words = df.select("node_id", tx.tokens("content", least).alias("words"))  # once a document, not once a word
+    rows = words.select("node_id", F.size("words").alias("len"), F.explode("words").alias("term"))
     return rows.groupBy("term", "node_id", "len").agg(F.count("*").alias("tf"))
 
 
