@@ -88,7 +88,7 @@ def build(batches: Iterator[pa.RecordBatch], block_rows: int, block_queries: int
         for i in range(0, len(at), block_queries):
             part = at[i : i + block_queries]
             rows.append((1, (block << 16) + i // block_queries, dim, len(part), ids[part].tobytes(), None, None, None,
-                         vals[part].tobytes(), (np.full(len(part), block), part)[1].astype(np.int64).tobytes()))
+                         vals[part].tobytes(), part.astype(np.int64).tobytes()))
         return pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], schema=ARROW)
 
     for batch in batches:
@@ -162,10 +162,8 @@ def search_block(index: dict, queries: dict, k: int) -> tuple[np.ndarray, np.nda
     n, dim = index["n"], index["dim"]
     ids = np.frombuffer(index["ids"], np.int64)
     low, digits = np.frombuffer(index["low"], np.int64), np.frombuffer(index["digits"], np.int64)
-    slices = np.frombuffer(index["slices"], np.uint64).reshape(int(digits.sum()), -1)
     words = -(-n // 64)
-    if not len(slices):
-        slices = np.zeros((0, words), np.uint64)
+    slices = np.frombuffer(index["slices"], np.uint64).reshape(int(digits.sum()), words)
     first = np.cumsum(digits) - digits
     everyone = np.packbits(np.ones(n, np.uint8), bitorder="little")
     alive = np.zeros(words * 8, np.uint8)
@@ -198,7 +196,9 @@ def search_block(index: dict, queries: dict, k: int) -> tuple[np.ndarray, np.nda
         for lv, bits in total.items():
             score += ((bits[rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << lv
         found.append((np.full(len(rows), name), ids[rows], score))
-    return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def top_k(
