@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from mnemo.llm import scratch, tokens
 
-MAX_ROWS = 6000
+MAX_ROWS = 4000
 FOLDS = 3
 MAX_FEATURES = 2000
-LEAST_ROWS = 3
+LEAST_ROWS, MOST_SHARE = 3, 0.3
 RIDGE = 1e-3
 PREFIXES = (3, 4, 5, 6)
 SEPARATORS = tokens.SPACES | tokens.PUNCTUATION
@@ -91,30 +91,32 @@ class Linear:
         return np.clip(out, -30, 30)
 
 
-def choose(keys: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The features that tell most: those commoner with the category, by the likelihood-ratio statistic."""
-    uniq, at, rows = np.unique(keys, return_inverse=True, return_counts=True)
-    positive = np.bincount(at, y[of] * weight[of], len(uniq))
-    both = np.bincount(at, weight[of], len(uniq))
+def choose(col: np.ndarray, of: np.ndarray, width: int, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The features (columns) that tell most: those commoner with the category, by the likelihood-ratio statistic."""
+    rows = np.bincount(col, weight[of] > 0, width)
+    positive = np.bincount(col, (y * weight)[of], width)
+    both = np.bincount(col, weight[of], width)
     total, n = (y * weight).sum(), weight.sum()
     term = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0)
     expected = both * total / n
     g2 = term(positive, expected) + term(both - positive, both - expected)
     g2 += term(total - positive, total - expected) + term(n - total - both + positive, n - total - both + expected)
     good = np.flatnonzero((rows >= LEAST_ROWS) & (positive > expected) & (g2 > 4))
-    return np.sort(uniq[good[np.argsort(-g2[good], kind="stable")[:MAX_FEATURES]]])
+    return np.sort(good[np.argsort(-g2[good], kind="stable")[:MAX_FEATURES]])
 
 
-def fit_linear(keys: np.ndarray, of: np.ndarray, earlier: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Linear:
-    """Ridge logistic regression by accelerated gradient descent."""
+def fit_linear(uniq: np.ndarray, col: np.ndarray, of: np.ndarray, earlier: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Linear:
+    """Ridge logistic regression by accelerated gradient descent. Row of[i] has the feature uniq[col[i]]; weight 0: not used."""
     n, k = earlier.shape
     total = weight.sum()
     mean = float((y * weight).sum() / total) if total else 0.0
     if not 0 < mean < 1:
         return Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(k), -12.0 if mean <= 0 else 12.0)
-    chosen = choose(keys, of, y, weight)
-    at = np.minimum(np.searchsorted(chosen, keys), max(0, len(chosen) - 1))
-    hit = chosen[at] == keys if len(chosen) else np.zeros(len(keys), bool)
+    chosen = choose(col, of, len(uniq), y, weight)
+    place = np.full(len(uniq), -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    at = place[col]
+    hit = at >= 0
     col, row = at[hit], of[hit]
     scale = np.maximum(np.sqrt((earlier**2).mean(0)), 1e-9)
     dense = earlier / scale
@@ -131,7 +133,7 @@ def fit_linear(keys: np.ndarray, of: np.ndarray, earlier: np.ndarray, y: np.ndar
         new = v - step * 4 * grad
         v = new + t / (t + 3) * (new - w)
         w = new
-    return Linear(chosen, w[:m], w[m:-1] / scale, float(w[-1]))
+    return Linear(uniq[chosen], w[:m], w[m:-1] / scale, float(w[-1]))
 
 
 @dataclass
@@ -158,7 +160,9 @@ class Chain:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """The threshold with the best F1, halfway to the next lower prediction, and that F1."""
+    """The threshold with the best F1, halfway to the next lower prediction, and that F1; 0.5 without positive rows."""
+    if not (y * weight).any():
+        return 0.5, 0.0
     order = np.argsort(-p, kind="stable")
     hits, taken = np.cumsum((y * weight)[order]), np.cumsum(weight[order])
     f1 = 2 * hits / np.maximum(taken + (y * weight).sum(), 1e-12)
@@ -173,10 +177,18 @@ def fit_rows(texts: list[str], labels: np.ndarray, weight: np.ndarray, categorie
     n = len(texts)
     if not n:
         return Chain(categories, [Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(i), -12.0) for i in range(len(categories))], 0.5)
-    keys, of = all_features(pa.array(texts, pa.string()))
-    seen = np.bincount((keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64), minlength=1 << _FILTER_BITS)
-    some = seen[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] >= LEAST_ROWS
-    keys, of = keys[some], of[some]
+    # Counted first, kept second: most features are in one row or in very many, and neither tells anything.
+    texts = pa.array(texts, pa.string())
+    seen = np.zeros(1 << _FILTER_BITS, np.int32)
+    for i in range(0, n, 250):
+        cells = (all_features(texts.slice(i, 250))[0] >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        at, rows = np.unique(cells, return_counts=True)
+        seen[at] += rows.astype(np.int32)
+    keys, of = all_features(texts, (seen >= LEAST_ROWS) & (seen <= max(LEAST_ROWS, MOST_SHARE * n)))
+    of = of.astype(np.int32)
+    uniq, col = np.unique(keys, return_inverse=True)
+    col = col.astype(np.int32)
+    del keys
     fold = np.arange(n) % folds
     odds = np.zeros((n, 0))
     models = []
@@ -184,10 +196,10 @@ def fit_rows(texts: list[str], labels: np.ndarray, weight: np.ndarray, categorie
         y, out = labels[:, k].astype(float), np.zeros(n)
         for f in range(folds):
             inside = fold != f
-            rest = inside[of]
-            m = fit_linear(keys[rest], of[rest], odds, y, weight * inside)
-            out[~inside] = m.log_odds(keys[~rest], of[~rest], n, odds)[~inside]
-        models.append(fit_linear(keys, of, odds, y, weight))
+            m = fit_linear(uniq, col, of, odds, y, weight * inside)
+            known = np.isin(uniq, m.keys)[col]
+            out[~inside] = m.log_odds(uniq[col[known]], of[known], n, odds)[~inside]
+        models.append(fit_linear(uniq, col, of, odds, y, weight))
         odds = np.column_stack([odds, out])
     threshold, f1 = best_threshold(1 / (1 + np.exp(-odds[:, -1])), labels[:, -1].astype(float), weight)
     return Chain(categories, models, threshold, {"out_of_fold_f1": f1, "rows": n})
