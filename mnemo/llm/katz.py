@@ -31,8 +31,8 @@ from mnemo.llm import scratch, tokens
 
 END = np.uint64(0x2545F4914F6CDD1D)
 DISCOUNTED = 5
-CHUNK_BYTES = 16 << 20
-BUCKET_BYTES = 12 << 20
+CHUNK_BYTES = 10 << 20
+BUCKET_BYTES = 6 << 20
 RANK_BITS = 26
 TEXTS, WORDS, WORD_ANSWERS, PAIR_ANSWERS, HOT, STATS = range(6)
 CHUNKS = "chunk long, kind int, bucket int, blob binary"
@@ -298,7 +298,7 @@ def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, chunk_bytes: int =
     """Scores of docs(doc_id, text) by a model of those whose crc32(doc_id) modulo 10 isn't 0; see SCORES."""
     spark = docs.sparkSession
     scratch.ship_code(spark)
-    buckets = scratch.bucket_count(docs, bucket_bytes, 8)
+    buckets = scratch.bucket_count(docs, "text", bucket_bytes, 8)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),

@@ -13,6 +13,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
@@ -71,12 +72,13 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     _made[:] = [x for x in _made if x[0] is not spark or x[1] not in set(paths)]
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df: for a file scan the bytes of its files, from metadata alone."""
+def input_bytes(df: DataFrame, column: str) -> int:
+    """Catalyst's size estimate of df: for a file scan the bytes of its files, from metadata alone. Where the plan knows
+    nothing about its size, the bytes of a column are added up."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 50)
+    return size if size < 1 << 55 else df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
-def bucket_count(df: DataFrame, target: int, least: int = 1) -> int:
+def bucket_count(df: DataFrame, column: str, target: int, least: int = 1) -> int:
     """Number of hash buckets so that each gets about target bytes of df's files."""
-    return max(least, -(-input_bytes(df) // target))
+    return max(least, -(-input_bytes(df, column) // target))
