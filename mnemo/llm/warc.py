@@ -73,10 +73,12 @@ def train_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS, size: int
     """A dictionary from a bounded sample: the records least by a hash of their text, SAMPLE_BYTES of each at most."""
     import zstandard
 
+    some = pages.filter("html is not null and html <> ''").withColumn("_h", F.xxhash64("html"))
+    chosen = some.select("_h").distinct().orderBy("_h").limit(records)
+    text = F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES)
     sample = (
-        pages.filter("html is not null and html <> ''")
-        .select(F.xxhash64("html").alias("h"), F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("s"))
-        .groupBy("h").agg(F.first("s").alias("s")).orderBy("h").limit(records).collect()
+        some.join(F.broadcast(chosen), "_h", "left_semi")  # `records` hashes at most
+        .groupBy("_h").agg(F.first(text).alias("s")).orderBy("_h").collect()
     )
     samples = [bytes(r["s"]) for r in sample]
     try:
