@@ -6,8 +6,10 @@ In training those log odds are out-of-fold: each row's come from models that wer
 category decides, against the threshold that does best on the out-of-fold predictions.
 
 Models are fitted on the driver from a bounded sample of labelled rows: at most max_rows, the least by a hash, half of
-them from rows with the last category as far as there are such; weights undo the unequal sampling. Scoring is one pass
-over the texts with tables of at most a few thousand features for each category.
+them from rows with the last category as far as there are such; weights undo the unequal sampling. Every feature in
+enough of those rows is counted by category and fold, however common it is; pairs of row and feature are kept only for
+what some fit chooses by these counts. Scoring is one pass over the texts with tables of at most a few thousand features
+for each category.
 
 Defined cases: a null or empty text has no features and gets the intercepts' probabilities; null labels count as 0;
 labelled rows without a text are not used; a category without positive or without negative rows gets a constant
@@ -26,14 +28,16 @@ from pyspark.sql import functions as F
 
 from mnemo.llm import scratch, tokens
 
-MAX_ROWS = 4000
+MAX_ROWS = 6000
 FOLDS = 3
 MAX_FEATURES = 2000
-LEAST_ROWS, MOST_SHARE = 3, 0.3
+LEAST_ROWS = 3
 RIDGE = 1e-3
 PREFIXES = (3, 4, 5, 6)
 SEPARATORS = tokens.SPACES | tokens.PUNCTUATION
 _FILTER_BITS = 22
+#: Rows counted at a time.
+_COUNTED = 250
 
 
 def features(data: np.ndarray, offs: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +57,7 @@ def features(data: np.ndarray, offs: np.ndarray, known: np.ndarray | None = None
             of.append(text[at])
     keys, of = np.concatenate(keys), np.concatenate(of)
     if known is not None:
-        some = known[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
+        some = known[cells(keys)]
         keys, of = keys[some], of[some]
     order = np.lexsort((keys, of))
     keys, of = keys[order], of[order]
@@ -91,28 +95,61 @@ class Linear:
         return np.clip(out, -30, 30)
 
 
-def choose(col: np.ndarray, of: np.ndarray, width: int, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The features (columns) that tell most: those commoner with the category, by the likelihood-ratio statistic."""
-    rows = np.bincount(col, weight[of] > 0, width)
-    positive = np.bincount(col, (y * weight)[of], width)
-    both = np.bincount(col, weight[of], width)
-    total, n = (y * weight).sum(), weight.sum()
+def cells(keys: np.ndarray) -> np.ndarray:
+    """Where each feature falls in a bit table."""
+    return (keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+
+
+def bit_table(keys: np.ndarray) -> np.ndarray:
+    known = np.zeros(1 << _FILTER_BITS, bool)
+    known[cells(keys)] = True
+    return known
+
+
+def tally(texts: pa.Array, columns: np.ndarray, fold: np.ndarray, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features in at least LEAST_ROWS rows and, for each of them and each fold, the sums of the rows' columns."""
+    n, width = columns.shape
+    seen = np.zeros(1 << _FILTER_BITS, np.int32)
+    for i in range(0, n, _COUNTED):
+        at, rows = np.unique(cells(all_features(texts.slice(i, _COUNTED))[0]), return_counts=True)
+        seen[at] += rows.astype(np.int32)
+    often = seen >= LEAST_ROWS  # a cell has at least its features' rows
+    uniq, sums = np.zeros(0, np.uint64), np.zeros((0, folds, width))
+    for i in range(0, n, _COUNTED):
+        keys, of = all_features(texts.slice(i, _COUNTED), often)
+        here, at = np.unique(keys, return_inverse=True)
+        at = at * folds + fold[i + of]
+        both = np.union1d(uniq, here)
+        new = np.zeros((len(both), folds, width))
+        new[np.searchsorted(both, uniq)] = sums
+        place = np.searchsorted(both, here)
+        for c in range(width):
+            new[place, :, c] += np.bincount(at, columns[i + of, c], len(here) * folds).reshape(-1, folds)
+        uniq, sums = both, new
+    return uniq, sums
+
+
+def choose(rows: np.ndarray, positive: np.ndarray, both: np.ndarray, total: float, n: float) -> np.ndarray:
+    """The features that tell most: those commoner with the category, by the likelihood-ratio statistic. Of each: rows
+    and weight with the category and in all; total, n: the weight of all rows with the category, and of all."""
     term = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0)
-    expected = both * total / n
+    expected = both * total / n if n else both
     g2 = term(positive, expected) + term(both - positive, both - expected)
     g2 += term(total - positive, total - expected) + term(n - total - both + positive, n - total - both + expected)
     good = np.flatnonzero((rows >= LEAST_ROWS) & (positive > expected) & (g2 > 4))
     return np.sort(good[np.argsort(-g2[good], kind="stable")[:MAX_FEATURES]])
 
 
-def fit_linear(uniq: np.ndarray, col: np.ndarray, of: np.ndarray, earlier: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Linear:
-    """Ridge logistic regression by accelerated gradient descent. Row of[i] has the feature uniq[col[i]]; weight 0: not used."""
+def fit_linear(
+    uniq: np.ndarray, chosen: np.ndarray, col: np.ndarray, of: np.ndarray, earlier: np.ndarray, y: np.ndarray, weight: np.ndarray
+) -> Linear:
+    """Ridge logistic regression on the chosen of uniq by accelerated gradient descent. Row of[i] has the feature
+    uniq[col[i]]; weight 0: not used."""
     n, k = earlier.shape
     total = weight.sum()
     mean = float((y * weight).sum() / total) if total else 0.0
     if not 0 < mean < 1:
         return Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(k), -12.0 if mean <= 0 else 12.0)
-    chosen = choose(col, of, len(uniq), y, weight)
     place = np.full(len(uniq), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     at = place[col]
@@ -146,9 +183,7 @@ class Chain:
     quality: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        self.known = np.zeros(1 << _FILTER_BITS, bool)
-        for m in self.models:
-            self.known[(m.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self.known = bit_table(np.concatenate([np.zeros(0, np.uint64), *(m.keys for m in self.models)]))
 
     def predict(self, texts: pa.Array) -> np.ndarray:
         keys, of = all_features(texts, self.known)
@@ -177,29 +212,36 @@ def fit_rows(texts: list[str], labels: np.ndarray, weight: np.ndarray, categorie
     n = len(texts)
     if not n:
         return Chain(categories, [Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(i), -12.0) for i in range(len(categories))], 0.5)
-    # Counted first, kept second: most features are in one row or in very many, and neither tells anything.
+    # Counted first, kept second: most features tell nothing, and those in very many rows have most of the pairs.
     texts = pa.array(texts, pa.string())
-    seen = np.zeros(1 << _FILTER_BITS, np.int32)
-    for i in range(0, n, 250):
-        cells = (all_features(texts.slice(i, 250))[0] >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-        at, rows = np.unique(cells, return_counts=True)
-        seen[at] += rows.astype(np.int32)
-    keys, of = all_features(texts, (seen >= LEAST_ROWS) & (seen <= max(LEAST_ROWS, MOST_SHARE * n)))
-    of = of.astype(np.int32)
-    uniq, col = np.unique(keys, return_inverse=True)
-    col = col.astype(np.int32)
-    del keys
     fold = np.arange(n) % folds
+    used = np.column_stack([weight > 0, weight, labels * weight[:, None]]).astype(float)
+    keys, sums = tally(texts, used, fold, folds)
+    totals = np.stack([used[fold == f].sum(0) for f in range(folds)])
+    chosen = []
+    for k in range(len(categories)):
+        for f in range(folds + 1):  # without each fold, and last on all rows
+            inside = np.arange(folds) != f
+            rows, both, positive = (sums[:, inside, c].sum(1) for c in (0, 1, 2 + k))
+            chosen.append(choose(rows, positive, both, totals[inside, 2 + k].sum(), totals[inside, 1].sum()))
+    some = np.unique(np.concatenate(chosen))
+    uniq, chosen = keys[some], [np.searchsorted(some, x) for x in chosen]
+    del keys, sums
+    keys, of = all_features(texts, bit_table(uniq))
+    hit = np.isin(keys, uniq)
+    col, of = np.searchsorted(uniq, keys[hit]).astype(np.int32), of[hit].astype(np.int32)
+    del keys
     odds = np.zeros((n, 0))
     models = []
     for k in range(len(categories)):
         y, out = labels[:, k].astype(float), np.zeros(n)
+        *without, every = chosen[k * (folds + 1) : (k + 1) * (folds + 1)]
         for f in range(folds):
             inside = fold != f
-            m = fit_linear(uniq, col, of, odds, y, weight * inside)
+            m = fit_linear(uniq, without[f], col, of, odds, y, weight * inside)
             known = np.isin(uniq, m.keys)[col]
             out[~inside] = m.log_odds(uniq[col[known]], of[known], n, odds)[~inside]
-        models.append(fit_linear(uniq, col, of, odds, y, weight))
+        models.append(fit_linear(uniq, every, col, of, odds, y, weight))
         odds = np.column_stack([odds, out])
     threshold, f1 = best_threshold(1 / (1 + np.exp(-odds[:, -1])), labels[:, -1].astype(float), weight)
     return Chain(categories, models, threshold, {"out_of_fold_f1": f1, "rows": n})

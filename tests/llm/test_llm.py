@@ -254,6 +254,21 @@ def test_toxicity_edges(spark, odd, empty):
     assert toxicity.classify(empty, toxicity.fit(empty.withColumn("toxic", F.lit(1)), ["toxic"])).count() == 0
 
 
+def test_toxicity_keeps_a_frequent_indicator():
+    """An insult in most toxic rows and in no clean one decides; a word that all rows have does not."""
+    rnd = random.Random(11)
+    plain = ["stone", "river", "cloud", "paper", "window", "garden", "letter", "music"]
+    y = np.array([i % 2 for i in range(400)])
+    texts = ["ever " + " ".join(rnd.choices(plain, k=30)) + (" vileness" if t and i % 10 < 8 else " dreck" if t else "") for i, t in enumerate(y)]
+    chain = toxicity.fit_rows(texts, y[:, None], np.ones(400), ["toxic"])
+    p = chain.predict(pa.array(["ever stone river vileness cloud", "ever stone river dreck cloud", "ever stone river cloud"]))[:, -1]
+    assert min(p[:2]) >= chain.threshold > p[2]
+    keys, of = toxicity.all_features(pa.array(texts))
+    uniq, sums = toxicity.tally(pa.array(texts), np.ones((400, 1)), np.arange(400) % 3, 3)
+    want, rows = np.unique(keys, return_counts=True)
+    assert dict(zip(uniq, sums.sum((1, 2)))) == {k: r for k, r in zip(want, rows) if r >= toxicity.LEAST_ROWS}
+
+
 # 8: quality.
 def test_quality_separates(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
