@@ -7,8 +7,10 @@ shards. In each shard, a beam search from its medoid then looks for what lies ne
 range, and what edges within a slightly wider range reach from there, is the member's region, and all cosines inside a
 region are computed exactly in double precision. A pair that several shards hold is counted in the first of them.
 
-An audit compares a bounded sample of vectors with all others by brute force; while recall is below the target, every
-class goes to more shards and the search is repeated.
+How many shards a class goes to is measured before the search: sampled vectors, each beside one made at exactly the
+threshold from it, have to share a shard at the target rate, whether or not the table has links. An audit then compares
+a bounded sample of vectors with all others by brute force, a larger one where few of them have links; while the linked
+ones' average recall is below the target, every class goes to more shards and the search is repeated.
 
 Links leave a shard only as counts and as local roots of its components; the global components are joined from those.
 A shard with more members than a task should hold is dealt to blocks, and each two blocks meet in a task of their own.
@@ -32,11 +34,12 @@ from mnemo.llm import scratch
 from mnemo.llm.components import components
 
 THRESHOLD, RECALL = 0.9, 0.98
-#: Classes for each centre, sampled vectors, shards for each class, members of a task.
+#: Classes for each centre, sampled vectors, least shards for each class, members of a task.
 SHARD, SAMPLE, OVERLAP, BLOCK = 1500, 50_000, 3, 12_000
 #: Candidates and kept edges of a node, pruning margin, beam, nodes opened at a time, and how much wider regions are.
 CANDIDATES, DEGREE, ALPHA, BEAM, OPENED, SLACK = 40, 20, 1.2, 24, 4, 0.05
-AUDITED = 256
+#: Audited vectors; as many as the second where fewer than LINKED of them have links.
+AUDITED, MOST_AUDITED, LINKED = 256, 4096, 64
 MEMBERS = "shard int, cid long, size long, shards binary, vec binary"
 PACKED = "ids binary, vecs binary"
 
@@ -289,12 +292,43 @@ def brute_links(classes: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: f
     def count(batches):
         for batch in batches:
             if batch.num_rows:
-                hit = (unit_rows(batch) @ x.T >= threshold) & (batch.column("cid").to_numpy()[:, None] != ids[None, :])
-                yield pa.RecordBatch.from_pydict({"cid": ids, "links": batch.column("size").to_numpy() @ hit})
+                v, cid, size = unit_rows(batch), batch.column("cid").to_numpy(), batch.column("size").to_numpy()
+                links = np.zeros(len(ids), np.int64)
+                for i in range(0, len(v), 1024):
+                    at, to = np.nonzero(v[i : i + 1024] @ x.T >= threshold)
+                    other = cid[i + at] != ids[to]
+                    np.add.at(links, to[other], size[i + at[other]])
+                yield pa.RecordBatch.from_pydict({"cid": ids, "links": links})
 
     return {r["cid"]: r["links"] for r in classes.mapInArrow(count, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links")).collect()}
 
 
+def audit(classes: DataFrame, n: int, dim: int, threshold: float) -> dict[int, int]:
+    """Exact links of those sampled vectors that have any."""
+    for most in (AUDITED, MOST_AUDITED):
+        ids, x = collect_rows(classes, most, 1, dim)
+        truth = {i: links for i, links in brute_links(classes, ids, x, threshold).items() if links}
+        if len(truth) >= LINKED or most >= n:
+            break
+    return truth
+
+
+def shared_overlap(c: np.ndarray, x: np.ndarray, threshold: float, recall: float) -> int:
+    """To how many of its nearest centres a vector has to go, so that rows of x and vectors at the threshold from them, in
+    random directions, share one at the rate of recall."""
+    x = x[:MOST_AUDITED]
+    u = np.random.default_rng(3).normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * u
+    need = []
+    for i in range(0, len(x), 256):
+        rank = lambda v: (-(v[i : i + 256].astype(np.float32) @ c.T)).argsort(1).argsort(1)
+        need.append(np.maximum(rank(x), rank(y)).min(1) + 1)
+    need = np.sort(np.concatenate(need))
+    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)])
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -316,15 +350,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     k = max(1, min(-(-n // shard), SAMPLE // 16))
     _, sample = collect_rows(classes, SAMPLE, 0, dim["dim"])
     c = centres(sample, k)
-    audit_ids, audit = collect_rows(classes, AUDITED, 1, dim["dim"])
-    truth = brute_links(classes, audit_ids, audit, threshold)
-    overlap = min(OVERLAP, k)
+    truth = audit(classes, n, dim["dim"], threshold)
+    overlap = min(max(OVERLAP, shared_overlap(c, sample, threshold, recall)), k)
     while True:
         found = links_in_shards(classes, c, overlap, threshold, block)
         links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-        audited = spark.createDataFrame([(i, n) for i, n in truth.items()], "cid long, truth long")
-        got = audited.join(links, "cid", "left").agg(F.sum(F.coalesce("links", F.lit(0))), F.sum("truth")).first()
-        if overlap >= k or (got[0] or 0) >= recall * (got[1] or 0):
+        audited = spark.createDataFrame(list(truth.items()), "cid long, truth long")
+        got = audited.join(links, "cid", "left").agg(F.avg(F.coalesce("links", F.lit(0)) / F.col("truth"))).first()[0]
+        if overlap >= k or got is None or got >= recall:
             break
         overlap = min(k, 2 * overlap)
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))

@@ -167,6 +167,23 @@ def test_flat_graph_equals_brute_force(spark):
     assert flatgraph.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_flat_graph_overlap_without_links():
+    """Vectors without any link still tell how many shards hold a pair at the threshold; three are too few here."""
+    rng = np.random.default_rng(5)
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    c = unit(rng.normal(size=(1000, 64))).astype(np.float32)
+    x, held = unit(rng.normal(size=(2000, 64))), unit(rng.normal(size=(1000, 64)))
+    overlap = flatgraph.shared_overlap(c, x, 0.9, 0.98)
+    u = rng.normal(size=held.shape)
+    near = 0.9 * held + np.sqrt(1 - 0.81) * unit(u - (u * held).sum(1, keepdims=True) * held)
+
+    def shared(a):
+        left, right = (np.argsort(-(z @ c.T), axis=1)[:, :a] for z in (held, near))
+        return (left[:, :, None] == right[:, None, :]).any((1, 2)).mean()
+
+    assert overlap > flatgraph.OVERLAP and shared(flatgraph.OVERLAP) < 0.95 and shared(overlap) > 0.965
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 200)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
