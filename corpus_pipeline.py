@@ -1,7 +1,11 @@
 """A corpus pipeline of five operators: quality, toxicity, near-duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. What an operator left in the shared folder for a stage is
+one's docs. All but the last return the columns of documents, whatever their names, and rows as the operators define for odd cases:
+a null or empty text is kept by quality (importance 0) if others of importance 0 are, is not toxic, has no near-duplicate,
+is mixed once and packed as one end id; a null doc_id is a document like others; rows of equal doc_id and text are
+one after the third stage, those of one doc_id and unlike texts stay apart; ties in the importance are all kept; an
+empty table gives an empty result, and without labels nothing is rejected. What an operator left in the shared folder for a stage is
 deleted when the next stage begins, for by then the stage's result has been written.
 """
 
@@ -35,7 +39,7 @@ def stage(f: Stage) -> Stage:
 @stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling toward the documents labelled good; what isn't sampled goes."""
-    return quality.resample(docs, queries.table(spark, sf_dir, "labels"))
+    return quality.resample(docs, queries.table(spark, sf_dir, "labels"), allow=queries.QUALITY_ALLOW)
 
 
 @stage
@@ -53,7 +57,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @stage
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say, so that expected tokens come to the languages' target weights."""
-    rates = mixing.mix(docs.withColumn("domain", F.col("lang")), queries.table(spark, sf_dir, "labels"), queries.LANGUAGE_TARGETS)
+    rates = mixing.mix(docs.select("doc_id", "text", F.col("lang").alias("domain")), queries.table(spark, sf_dir, "labels"), queries.LANGUAGE_TARGETS)
     return mixing.resample(docs, rates)
 
 

@@ -344,8 +344,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     if dim is None:
         return own
     good = F.col("usable") & (F.col("dim") == dim["dim"])
-    classes = rows.filter(good).groupBy("k1", "k2").agg(F.min("vec_id").alias("cid"), F.count("*").alias("size"), F.first("v").alias("v"))
-    classes = scratch.materialise(classes, "classes")
+    # Classes have numbers of their own: a vec_id may recur with another vector.
+    classes = rows.filter(good).groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("v").alias("v"))
+    classes = scratch.materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     k = max(1, min(-(-n // shard), SAMPLE // 16))
     _, sample = collect_rows(classes, SAMPLE, 0, dim["dim"])
@@ -361,9 +362,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
             break
         overlap = min(k, 2 * overlap)
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    roots = roots.withColumnRenamed("id", "cid")
+    named = classes.select("cid", "least").join(roots, "cid").groupBy("component").agg(F.min("least").alias("id"))
     per_class = (
-        classes.select("k1", "k2", "cid", "size").join(links, "cid", "left").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
-        .select("k1", "k2", F.coalesce("component", "cid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
+        classes.select("k1", "k2", "cid", "least", "size").join(links, "cid", "left").join(roots, "cid", "left").join(named, "component", "left")
+        .select("k1", "k2", F.coalesce("id", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
     )
     keys = rows.select("vec_id", F.when(good, F.col("k1")).alias("k1"), F.when(good, F.col("k2")).alias("k2"))
     out = keys.join(per_class, ["k1", "k2"], "left")

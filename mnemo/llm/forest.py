@@ -13,8 +13,10 @@ two blocks whose sizes allow links meet in a task of their own.
 
 Defined cases: words are separated by ASCII white space and lower-cased in A-Z; a text of fewer words than a shingle
 has one shingle, all its words; a null or empty text has none and links with nothing; rows without doc_id are returned
-without links; a doc_id's repeated rows count as copies of each other; a table without links gives every document
-itself; an empty table gives no rows; other columns are not read.
+without links; a doc_id's repeated rows are rows like others, and so
+count as links; a table without links gives every document
+itself; an empty table gives no rows; other columns are not read, and carried along by keep_one(). Classes and rows have
+numbers of their own, so a doc_id that recurs with another text is in the class of each of its texts.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 6, 0.995
 #: Classes of a neighbourhood in one task, and texts dealt to a task of small neighbourhoods.
 BLOCK, TASK = 512, 2000
-SKETCH = "doc_id long, k1 long, k2 long, n long, sig binary"
+SKETCH = "row long, doc_id long, k1 long, k2 long, n long, sig binary, text string"
 _rng = np.random.Generator(np.random.PCG64(20240101))
 _MUL = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32)
@@ -61,10 +63,13 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray
 
 
 def sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, a 128-bit key of the set of shingles, its size and its signature."""
+    """A number for each row, doc_id, a 128-bit key of the set of shingles, its size and its signature, text."""
+    from pyspark import TaskContext
+
+    made = TaskContext.get().partitionId() << 33
     for batch in batches:
         data, offs = tokens.text_arrays(batch.column("text"))
-        for i, j in tokens.slices(offs, 1 << 20):
+        for i, j in tokens.slices(offs, 1 << 19):
             grams, first = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
             size = np.diff(first)
             some = np.flatnonzero(size)
@@ -80,10 +85,13 @@ def sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
             width = TREES * DEPTH * 4
             offsets = pa.py_buffer((np.arange(j - i + 1) * width).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size),
-                 pa.Array.from_buffers(pa.binary(), j - i, [None, offsets, pa.py_buffer(sig.tobytes())])],
-                ["doc_id", "k1", "k2", "n", "sig"],
+                [pa.array(made + np.arange(j - i)), batch.column("doc_id").slice(i, j - i), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(size),
+                 pa.Array.from_buffers(pa.binary(), j - i, [None, offsets, pa.py_buffer(sig.tobytes())]), batch.column("text").slice(i, j - i)],
+                ["row", "doc_id", "k1", "k2", "n", "sig", "text"],
             )
+            made += j - i
+        del batch, data, offs
+        tokens.release()
 
 
 def compare(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
@@ -135,7 +143,7 @@ def link_groups(ids: np.ndarray, weight: np.ndarray, sets: list[np.ndarray], lef
 
 def verify(pdf: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
     """One task: small neighbourhoods (side 0), or two blocks of a large one (sides 1 and 2; 1 alone: with itself)."""
-    pdf = pdf.drop_duplicates(["area", "cid"]).sort_values(["area", "cid"], ignore_index=True)
+    pdf = pdf.sort_values(["area", "cid"], ignore_index=True)
     data, offs = tokens.text_arrays(pa.array(pdf["text"], pa.string()))
     grams, first = shingle_sets(data, offs, n)
     sets = [grams[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
@@ -192,48 +200,64 @@ def deal(members: DataFrame, block: int, task: int, threshold: float) -> DataFra
     return small.unionByName(dealt.select(*members.columns, "spot.task", "spot.side"))
 
 
-def join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, task: int = TASK) -> DataFrame:
-    """doc_id, class_id (smallest doc_id that links or equal sets reach) and n_links (other documents linked directly)."""
-    spark = docs.sparkSession
-    scratch.ship_code(spark)
+def grouped(docs: DataFrame, n: int, threshold: float, recall: float, block: int, task: int) -> DataFrame:
+    """row, doc_id, text, group (number of the row's component), class_id and n_links of each row of docs; a written table's
+    rows without doc_id or without words have no group."""
+    scratch.ship_code(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = scratch.materialise(texts.mapInArrow(lambda b: sketch(b, n), SKETCH), "sketches")
     key = ["k1", "k2", "n"]
     real = sketches.filter("n > 0 and doc_id is not null")
-    classes = real.groupBy(*key).agg(F.min("doc_id").alias("cid"), F.count("*").alias("size"), F.first("sig").alias("sig"))
+    classes = real.groupBy(*key).agg(F.min("row").alias("cid"), F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("sig").alias("sig"))
     classes = scratch.materialise(classes, "classes")
     areas = neighbourhoods(classes, prefix_depth(threshold, recall))
     members = scratch.materialise(areas.join(classes.select("cid", "size", "n"), "cid"), "members")
     dealt = deal(members, block, task, threshold)
-    work = dealt.join(texts.withColumnRenamed("doc_id", "cid"), "cid")
+    work = dealt.join(sketches.select(F.col("row").alias("cid"), "text"), "cid")
     found = work.groupBy("task").applyInPandas(lambda pdf: verify(pdf, n, threshold), "cid long, links long, root long")
     found = scratch.materialise(found, "found")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    named = classes.select("cid", "least").join(roots.withColumnRenamed("id", "cid"), "cid")
+    named = named.groupBy("component").agg(F.min("least").alias("class_id"))
     per_class = (
-        classes.select(*key, "cid", "size").join(links, "cid", "left").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
-        .select(*key, F.coalesce("component", "cid").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+        classes.select(*key, "cid", "least", "size").join(links, "cid", "left").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
+        .join(named, "component", "left")
+        .select(*key, F.coalesce("component", "cid").alias("group"), F.coalesce("class_id", "least").alias("class_id"),
+                (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     )
-    return sketches.join(per_class, key, "left").select(
+    return sketches.drop("sig").join(per_class, key, "left")
+
+
+def join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, task: int = TASK) -> DataFrame:
+    """doc_id, class_id (smallest doc_id that links or equal sets reach) and n_links (other rows linked directly)."""
+    return grouped(docs, n, threshold, recall, block, task).select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that are the smallest doc_id of their class; one row of each doc_id.
+def keep_one(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK, task: int = TASK) -> DataFrame:
+    """The rows of docs, all columns, less those of a class but the one of the smallest doc_id.
 
     What goes, a small part of a corpus, is taken away by an anti-join; texts are only shuffled if that part is too
-    large to broadcast. Rows without doc_id stay.
+    large to broadcast. Rows without doc_id, without words or without links stay, but a doc_id's rows of equal texts are
+    one row. Rows travel as one struct, so that no name of theirs can clash.
     """
-    found = join(docs, **options)
-    result = scratch.materialise(found.filter("doc_id is not null"), "join")
-    gone = result.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(scratch.materialise(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    repeated = result.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
-    repeated = scratch.materialise(repeated, "repeated")
-    if not repeated.limit(1).count():
-        return kept
-    same = F.col("doc_id").cast("long") == F.col("_again")
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    found = grouped(docs, n, threshold, recall, block, task).filter("doc_id is not null")
+    found = scratch.materialise(found.select("row", "doc_id", "group", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), "join")
+    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    stays = found.join(first, "group", "left").select("doc_id", "h", (F.col("group").isNull() | (F.col("first.row") == F.col("row"))).alias("stays"))
+    per_id = scratch.materialise(stays.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("any")), "per-id")
+    id_, h = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.struct("*").alias("doc"), id_.alias("id"), h.alias("h"))
+    gone = per_id.filter("not any").select(F.col("doc_id").alias("id"))
+    kept = rows.join(gone, "id", "left_anti")
+    # A doc_id that recurs, seldom if ever there, is told apart by its texts.
+    again = per_id.filter("n > 1").select(F.col("doc_id").alias("id"))
+    if again.limit(1).count():
+        texts = stays.filter("stays").select(F.col("doc_id").alias("id"), "h").distinct().join(again, "id")
+        same = kept.join(again, "id", "left_semi").join(texts, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
+        kept = kept.join(again, "id", "left_anti").unionByName(same)
+    return kept.select("doc.*")

@@ -5,11 +5,13 @@ by a hash of their id) and predicts for every document how much it belongs to ea
 document, are then fitted so that the expected tokens of each domain, sum of r * tokens * posterior, come to the target
 share of all tokens: least squares over the domains, each scaled by the root of its own sum of squares, by projected
 gradient from r = 1 with the exact step for the domains' Gram matrix. A document's rate follows from the residuals of
-the steps so far, a few numbers each, so a step is one pass over a narrow table and no rate is stored or collected.
+the steps since it was last written, a few numbers each, so a step is one pass over a narrow table and no rate is collected.
+Steps end when the targets are met, or when a step no longer lowers the sum of squares: then no nonnegative rates meet
+them, and the rates are the nearest. The column residual says how far off the worst domain is, as a share of all tokens.
 
 Defined cases: a null or empty text has no tokens, the prior as its posterior and the rate 1; a null doc_id is kept;
-repeated rows are fitted each; labelled rows with a null domain or text are not used; a domain without labelled rows is
-an error, as are negative targets; an empty table gives no rows; other columns are carried along by resample() and not
+repeated rows are fitted each; labelled rows with a null domain or text are not used; a domain without labelled rows
+is as likely as one labelled row would make it and has no words of its own; negative targets are an error; an empty table gives no rows; other columns are carried along by resample() and not
 read otherwise. What the driver sees is the domains' Gram matrix and residuals.
 """
 
@@ -24,8 +26,8 @@ from mnemo.llm import scratch
 
 MAX_LABELLED = 20_000
 BUCKETS = 4096
-STEPS = 60
-TOLERANCE = 1e-6
+STEPS, WRITTEN = 1000, 20
+TOLERANCE, STILL = 1e-6, 1e-6
 
 
 def word_buckets(text: Column, buckets: int) -> Column:
@@ -50,11 +52,8 @@ def fit_domains(
     # At most max_labelled ids, whatever the input: no text is shuffled to find them.
     sample = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id"), "left_semi").select("text", "domain")
     sample = scratch.materialise(sample, "labelled")
-    prior = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    if missing := [d for d in domains if d not in prior]:
-        if not prior:
-            return spark.createDataFrame([(-1, [-math.log(len(domains))] * len(domains))], "bucket int, w array<double>")
-        raise ValueError(f"no labelled rows of {missing}")
+    counts = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    prior = {d: max(1, counts.get(d, 0)) for d in domains}
     each = sample.select("domain", F.explode(word_buckets(F.col("text"), buckets)).alias("bucket"))
     sums = each.groupBy("bucket").agg(*(F.count_if(F.col("domain") == d).cast("double").alias(f"c{i}") for i, d in enumerate(domains)))
     sums = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(sums, "bucket", "left").na.fill(0.0)
@@ -68,8 +67,13 @@ def fit_domains(
     return scratch.materialise(weights.union(priors).coalesce(1), "domain-model")
 
 
+def row_key() -> Column:
+    """What rows of equal doc_id and text share."""
+    return F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
+
+
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """row (a number for each row), doc_id, n_tokens, p (array of posteriors) of docs(doc_id, text).
+    """row (a number for each row), key, doc_id, n_tokens, p (array of posteriors) of docs(doc_id, text).
 
     Naive Bayes counts every word as independent evidence and is far too sure; the mean evidence a word, times the
     root of the number of words, keeps memberships soft.
@@ -77,17 +81,17 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], buckets: i
     k = len(domains)
     prior = model.filter("bucket = -1").first()["w"]
     flat = model.filter("bucket >= 0").select(F.col("bucket").alias("b"), *(F.col("w")[i].alias(f"w{i}") for i in range(k)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    words = rows.select("row", "doc_id", F.explode_outer(word_buckets(F.col("text"), buckets)).alias("b"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), row_key().alias("key"), "doc_id", "text")
+    words = rows.select("row", "key", "doc_id", F.explode_outer(word_buckets(F.col("text"), buckets)).alias("b"))
     # The model has at most `buckets` rows, whatever the input.
-    scored = words.join(F.broadcast(flat), "b", "left").groupBy("row", "doc_id").agg(
+    scored = words.join(F.broadcast(flat), "b", "left").groupBy("row", "key", "doc_id").agg(
         F.count("b").alias("n_tokens"), *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k))
     )
     logs = [F.col(f"s{i}") / F.sqrt(F.greatest("n_tokens", F.lit(1))) + prior[i] for i in range(k)]
     top = F.greatest(*logs) if k > 1 else logs[0]
-    odds = scored.select("row", "doc_id", "n_tokens", *(F.exp(x - top).alias(f"e{i}") for i, x in enumerate(logs)))
+    odds = scored.select("row", "key", "doc_id", "n_tokens", *(F.exp(x - top).alias(f"e{i}") for i, x in enumerate(logs)))
     total = sum((F.col(f"e{i}") for i in range(k)), F.lit(0.0))
-    return odds.select("row", "doc_id", "n_tokens", F.array(*(F.col(f"e{i}") / total for i in range(k))).alias("p"))
+    return odds.select("row", "key", "doc_id", "n_tokens", F.array(*(F.col(f"e{i}") / total for i in range(k))).alias("p"))
 
 
 def largest_eigenvalue(m: list[list[float]]) -> float:
@@ -101,7 +105,7 @@ def largest_eigenvalue(m: list[list[float]]) -> float:
 
 
 def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """members(n_tokens, p, ...) with a column rate. members must be a written table: it is read once a step."""
+    """members(n_tokens, p, ...) with columns rate and residual. members must be a written table: it is read once a step."""
     k = len(targets)
     if min(targets) < 0 or not sum(targets):
         raise ValueError("targets must be nonnegative and not all zero")
@@ -110,31 +114,38 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
         *(F.sum(a[i] * a[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)), F.sum("n_tokens").alias("n")
     ).first()
     if not first["n"]:
-        return members.withColumn("rate", F.lit(1.0))
+        return members.withColumn("rate", F.lit(1.0)).withColumn("residual", F.lit(0.0))
     gram = [[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
     scale = [math.sqrt(gram[i][i]) or 1.0 for i in range(k)]
     step = 1 / largest_eigenvalue([[gram[i][j] / scale[i] / scale[j] for j in range(k)] for i in range(k)])
     goal = [t / sum(targets) * first["n"] for t in targets]
     history: list[list[float]] = []
+    members, before = members.withColumn("rate", F.lit(1.0)), math.inf
 
     def rate() -> Column:
         if not history:
-            return F.lit(1.0)
+            return F.col("rate")
         past = F.array(*(F.array(*map(F.lit, e)) for e in history))
         move = lambda e: sum((a[i] * e[i] for i in range(k)), F.lit(0.0))
-        return F.aggregate(past, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - move(e)))
+        return F.aggregate(past, F.col("rate"), lambda r, e: F.greatest(F.lit(0.0), r - move(e)))
 
-    for _ in range(steps):
+    for left in reversed(range(steps + 1)):
         now = members.withColumn("rate", rate()).agg(*(F.sum(F.col("rate") * a[i]).alias(f"t{i}") for i in range(k))).first()
         off = [now[f"t{i}"] - goal[i] for i in range(k)]
-        if max(abs(x) for x in off) <= tolerance * first["n"]:
+        squares = sum((off[i] / scale[i]) ** 2 for i in range(k))
+        worst = max(abs(x) for x in off) / first["n"]
+        if worst <= tolerance or squares > before * (1 - STILL) or not left:
             break
+        before = squares
+        if len(history) == WRITTEN:
+            members = scratch.materialise(members.withColumn("rate", rate()), "rates")
+            history.clear()
         history.append([step * off[i] / scale[i] / scale[i] for i in range(k)])
-    return members.withColumn("rate", rate())
+    return members.withColumn("rate", rate()).withColumn("residual", F.lit(worst))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
-    """row, doc_id, n_tokens, p and rate of docs(doc_id, text, domain), for target weights of the domains.
+    """row, key (see resample()), doc_id, n_tokens, p, rate and residual of docs(doc_id, text, domain), for target weights.
 
     The domain column is believed for the rows that labelled(doc_id) names, and not looked at for others.
     """
@@ -151,8 +162,12 @@ def copies(rate: Column, *key: Column | str) -> Column:
 
 
 def resample(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """Rows of docs, each as often as its rate says, for rates by doc_id; a doc_id's repeated rows have equal rates."""
-    one = rates.filter("doc_id is not null").groupBy("doc_id").agg(F.avg("rate").alias("_rate"))
-    joined = docs.join(one.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
-    times = copies(F.coalesce("_rate", F.lit(1.0)), "doc_id")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).filter(F.col("_copy") > 0).select(*docs.columns)
+    """Rows of docs, all columns, each as often as its rate says, for rates(key, rate) as mix() gives them; rows of equal
+    doc_id and text have equal rates, and a row without one stays once.
+
+    Rows travel as one struct, so that no name of theirs can clash. The key spreads rows without doc_id by their texts.
+    """
+    one = rates.groupBy("key").agg(F.avg("rate").alias("rate"))
+    rows = docs.select(F.struct("*").alias("doc"), row_key().alias("key")).join(one, "key", "left")
+    times = copies(F.coalesce("rate", F.lit(1.0)), "key")
+    return rows.select("doc", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select("doc.*")

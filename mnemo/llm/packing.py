@@ -5,7 +5,8 @@ as fit, then the binary digits of the rest, longest first. A piece is a sequence
 documents and none needs padding; training batches draw from one bucket (one length) at a time.
 
 Token ids come from the tokenizer's own model. Splitting text into the units that its rules never cross is done on
-whole batches of bytes, so that each distinct unit is encoded once per worker and looked up afterwards.
+whole batches of bytes, so that each distinct unit is encoded once per worker and looked up afterwards: by a hash, and
+then byte by byte, so that two units of one hash never get each other's ids.
 
 Defined cases: a null or empty text is one piece, the end id alone; a null doc_id stays null; repeated rows are packed
 once each; very long texts are cut into many pieces of the longest length; an empty table gives no rows; other columns
@@ -25,7 +26,9 @@ from mnemo.llm import scratch, tokens
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Distinct units that a worker remembers before it begins anew.
-CACHE_UNITS = 2_000_000
+CACHE_UNITS = 1_000_000
+#: Bytes of text encoded at a time.
+SLICE = 1 << 20
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 _CLASS = np.full(256, _ODD, np.uint8)
@@ -56,6 +59,7 @@ class UnitEncoder:
         self.reserve(1 << 18)
         self.ids = np.zeros(0, np.uint32)
         self.begin = np.zeros(1, np.int64)
+        self.raw, self.at, self.odd = np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool)
 
     def reserve(self, cells: int) -> None:
         self.mask = np.uint64(cells - 1)
@@ -68,7 +72,7 @@ class UnitEncoder:
         return [x.id for x in self.model.tokenize(raw.decode("latin1").translate(self.letters))]
 
     def units(self, data: np.ndarray, offs: np.ndarray):
-        """Folded bytes, start, end and oddness of each unit, and the units' first index for each text."""
+        """Bytes (folded but in odd units), start, end and oddness of each unit, and the units' first index for each text."""
         n = len(data)
         b = tokens.FOLD[data]
         cls = _CLASS[data]
@@ -90,6 +94,7 @@ class UnitEncoder:
         word_of = np.cumsum(word_start) - 1
         odd_word = np.zeros(len(at), bool)
         odd_word[word_of[np.flatnonzero(cls == _ODD)]] = True
+        b = np.where(odd_word[np.maximum(word_of, 0)], data, b)  # as written: case and script are the tokenizer's business
         changed = np.zeros(n, bool)
         changed[1:] = (cls[1:] != cls[:-1]) | (cls[1:] == _DIGIT)
         start = np.flatnonzero(word_start | (inside & changed & ~odd_word[np.maximum(word_of, 0)]))
@@ -105,11 +110,8 @@ class UnitEncoder:
         b, start, end, odd, first = self.units(data, offs)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        raw_odd = np.where(odd, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
-        folded = tokens.runs_hash(b, start, end) ^ raw_odd
-        if odd.any():  # as written: case and script are the tokenizer's business
-            folded[odd] = tokens.runs_hash(data, start[odd], end[odd]) ^ raw_odd[odd]
-        slot = self.lookup(folded, b, data, start, end, odd)
+        keys = tokens.runs_hash(b, start, end) ^ np.where(odd, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+        slot = self.lookup(keys, b, start, end, odd)
         sizes = self.begin[slot + 1] - self.begin[slot]
         at = np.concatenate([[0], np.cumsum(sizes)])
         take = np.arange(at[-1]) - np.repeat(at[:-1] - self.begin[slot], sizes)
@@ -140,7 +142,35 @@ class UnitEncoder:
             left = left[self.keys[pos[left]] != keys[left]]
             pos[left] = (pos[left] + 1) & int(self.mask)
 
-    def lookup(self, keys, b, data, start, end, odd) -> np.ndarray:
+    def add(self, b: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Encode units and remember them; their slots."""
+        raw = [b[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+        found = [self.encode_unit(r, o) for r, o in zip(raw, odd.tolist(), strict=True)]
+        slots = np.arange(len(found)) + len(self.begin) - 1
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.array([x for ids in found for x in ids], np.uint32)])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(raw), np.uint8)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(end - start)])
+        self.odd = np.concatenate([self.odd, odd])
+        return slots
+
+    def same(self, slot: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Which units are, byte by byte, those of their slots."""
+        size, held = end - start, self.at[slot]
+        ok = (size == self.at[slot + 1] - held) & (odd == self.odd[slot])
+        at, here, there = np.flatnonzero(ok), tokens.eights(b), tokens.eights(self.raw)
+        for k in range(0, tokens.LONG, 8):
+            at = at[size[at] > k]
+            if not len(at):
+                break
+            keep = tokens.KEEP[np.minimum(size[at] - k, 8)]
+            ok[at] = (here[start[at] + k] & keep) == (there[held[at] + k] & keep)
+            at = at[ok[at]]
+        for i in at[size[at] > tokens.LONG].tolist():
+            ok[i] = np.array_equal(b[start[i] : end[i]], self.raw[held[i] : held[i] + size[i]])
+        return ok
+
+    def lookup(self, keys: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> np.ndarray:
         keys = np.maximum(keys, np.uint64(1))
         slot = self.find(keys)
         new = np.flatnonzero(slot < 0)
@@ -149,15 +179,8 @@ class UnitEncoder:
                 self.clear()
                 new = np.arange(len(keys))
             uniq, where = np.unique(keys[new], return_index=True)
-            fold_bytes, raw_bytes = b.tobytes(), data.tobytes()
-            found = [
-                self.encode_unit((raw_bytes if odd[i] else fold_bytes)[start[i] : end[i]], bool(odd[i]))
-                for i in new[where].tolist()
-            ]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            slots = np.arange(len(found)) + len(self.begin) - 1
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.array([x for ids in found for x in ids], np.uint32)])
+            one = new[where]
+            slots = self.add(b, start[one], end[one], odd[one])
             while 2 * len(self.begin) > len(self.keys):
                 full = self.keys != 0
                 old = self.keys[full], self.slots[full]
@@ -165,6 +188,9 @@ class UnitEncoder:
                 self.insert(*old)
             self.insert(uniq, slots)
             slot[new] = self.find(keys[new])
+        other = np.flatnonzero(~self.same(slot, b, start, end, odd))
+        if len(other):  # their hash is another unit's: encoded here, found by nobody else
+            slot[other] = self.add(b, start[other], end[other], odd[other])
         return slot
 
 
@@ -188,7 +214,7 @@ def decompose(batches: Iterator[pa.RecordBatch], path: str, longest: int, end_id
     for batch in batches:
         data, offs = tokens.text_arrays(batch.column("text"))
         doc_ids = batch.column("doc_id")
-        for i, j in tokens.slices(offs):
+        for i, j in tokens.slices(offs, SLICE):
             ids, at = enc.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             ids = np.insert(ids, at[1:], end_id)  # after each text's last id
             counts = np.diff(at) + 1
@@ -211,6 +237,8 @@ def decompose(batches: Iterator[pa.RecordBatch], path: str, longest: int, end_id
                 ],
                 ["doc_id", "start", "length", "ids", "doc_tokens"],
             )
+        del batch, data, offs, doc_ids
+        tokens.release()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, longest: int = 4096, end_id: int = 2) -> DataFrame:

@@ -5,9 +5,10 @@ are counted over all raw texts and over the target's; the log of the ratio of th
 is its log importance. Adding Gumbel noise to it and keeping the k largest samples k texts without replacement in
 proportion to their importance. By default k is the number of texts with a nonnegative log importance.
 
-A raw corpus differs from a small target in more than quality (a few long texts in one language are enough), which
-shifts every n-gram of some texts. The target's own texts show by how much: the log importance of an n-gram is taken
-from the level, 0 at most, that all but a share ALLOW of the target's texts reach on average.
+By default the log importance is the log ratio. A raw corpus differs from a small target in more than quality (a few
+long texts in one language are enough), which shifts every n-gram of some texts; where that shall not count, allow is
+a share of the target's texts, and the log importance of an n-gram is taken from the level, 0 at most, that all but
+that share reach on average. Log ratio and log importance are both returned.
 
 The k-th largest key comes from counting passes over narrow rows, each splitting the interval that holds it, until few
 distinct keys are left in it: no global sort, nothing but counts on the driver.
@@ -23,7 +24,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,10 @@ from mnemo.llm import scratch, tokens
 
 BUCKETS = 1 << 16
 MAX_TARGET = 20_000
-PSEUDO, ALLOW = 2.0, 0.005
+PSEUDO = 2.0
 SEED = 20240101
+#: Bytes of text whose n-grams are made at a time.
+SLICE = 1 << 19
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -57,7 +59,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = tokens.text_arrays(batch.column("text"))
         target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-        for i, j in tokens.slices(offs, 1 << 20):
+        for i, j in tokens.slices(offs, SLICE):
             for k, (grams, text) in enumerate(features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])):
                 counts[k, 0] += np.bincount(grams, minlength=BUCKETS)
                 counts[k, 1] += np.bincount(grams[target[i:j][text]], minlength=BUCKETS)
@@ -104,21 +106,21 @@ def log_ratios(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Sum of log ratios and number of n-grams of each text."""
     data, offs = tokens.text_arrays(texts)
     out, count = np.zeros(len(offs) - 1), np.zeros(len(offs) - 1, np.int64)
-    for i, j in tokens.slices(offs, 1 << 20):
+    for i, j in tokens.slices(offs, SLICE):
         for k, (grams, text) in enumerate(features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])):
             out[i:j] += np.bincount(text, table[k][grams], j - i)
             count[i:j] += np.bincount(text, minlength=j - i)
     return out, count
 
 
-def ratios(table: np.ndarray):
-    """A text column's sum of log ratios and number of n-grams, a struct, as a column function."""
-
-    @F.pandas_udf("total double, grams long")
-    def log_ratio(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("total", "grams"), log_ratios(pa.array(text, pa.string()), table), strict=True)))
-
-    return log_ratio
+def measure(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """doc_id, target, sum of log ratios and number of n-grams of each text."""
+    for batch in batches:
+        total, grams = log_ratios(batch.column("text"), table)
+        columns = [batch.column("doc_id"), batch.column("target"), pa.array(total), pa.array(grams)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "target", "total", "grams"])
+        del batch, columns
+        tokens.release()
 
 
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
@@ -152,28 +154,38 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 1024, few: int = 4096) -> f
             above += r["n"]
 
 
-def select(docs: DataFrame, labelled: DataFrame, k: int | None = None, seed: int = SEED) -> tuple[DataFrame, float]:
-    """docs with log_importance and gumbel_key, and the least key that is kept."""
-    ratio = ratios(fit(docs, labelled))(F.col("text").cast("string"))
-    first = with_target(docs.select("doc_id", "text"), labelled).select("doc_id", "is_target", ratio.alias("r"))
-    first = scratch.materialise(first.select("doc_id", "is_target", "r.total", "r.grams"), "ratios")
-    mean = F.when(F.col("is_target") & (F.col("grams") > 0), F.col("total") / F.col("grams"))
-    level = min(0.0, first.agg(F.percentile(mean, F.lit(ALLOW))).first()[0] or 0.0)
-    importance = lambda r: F.col(f"{r}total") - F.lit(level) * F.col(f"{r}grams")
-    keys = first.select(importance("").alias("w"), (importance("") + gumbel(F.col("doc_id"), seed)).alias("key"))
+def select(docs: DataFrame, labelled: DataFrame, k: int | None, seed: int, allow: float | None) -> tuple[DataFrame, np.ndarray, float, float]:
+    """doc_id, log_ratio, log_importance and gumbel_key of each row of docs (a written table), the model, the level of an
+    n-gram, and the least key that is kept."""
+    table = fit(docs, labelled)
+    own = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = with_target(texts, labelled).select("doc_id", "text", F.col("is_target").alias("target"))
+    schema = f"doc_id {own}, target boolean, total double, grams long"
+    first = scratch.materialise(rows.mapInArrow(lambda b: measure(b, table), schema), "ratios")
+    mean = F.when(F.col("target") & (F.col("grams") > 0), F.col("total") / F.col("grams"))
+    level = min(0.0, first.agg(F.percentile(mean, F.lit(allow))).first()[0] or 0.0) if allow is not None else 0.0
+    importance = F.col("total") - F.lit(level) * F.col("grams")
+    scored = first.select(
+        "doc_id", F.col("total").alias("log_ratio"), importance.alias("log_importance"), (importance + gumbel(F.col("doc_id"), seed)).alias("gumbel_key")
+    )
     if k is None:
-        k = keys.filter("w >= 0").count()
-    scored = docs.withColumn("_ratio", ratio).withColumn("log_importance", importance("_ratio.")).drop("_ratio")
-    return scored.withColumn("gumbel_key", F.col("log_importance") + gumbel(F.col("doc_id"), seed)), kth_largest(keys, k)
+        k = scored.filter("log_importance >= 0").count()
+    return scored, table, level, kth_largest(scored.select(F.col("gumbel_key").alias("key")), k)
+
+
+def classify(docs: DataFrame, labelled: DataFrame, k: int | None = None, seed: int = SEED, allow: float | None = None) -> DataFrame:
+    """doc_id, log_ratio, log_importance, gumbel_key, kept."""
+    scored, _, _, least = select(docs, labelled, k, seed, allow)
+    return scored.select("*", (F.col("gumbel_key") >= least).alias("kept"))
 
 
-def classify(docs: DataFrame, labelled: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
-    """doc_id, log_importance, gumbel_key, kept."""
-    scored, least = select(docs.select("doc_id", "text"), labelled, k, seed)
-    return scored.select("doc_id", "log_importance", "gumbel_key", (F.col("gumbel_key") >= least).alias("kept"))
+def resample(docs: DataFrame, labelled: DataFrame, k: int | None = None, seed: int = SEED, allow: float | None = None) -> DataFrame:
+    """The sampled rows of docs, all columns: a last pass over docs, no shuffle."""
+    _, table, level, least = select(docs, labelled, k, seed, allow)
 
+    def kept(texts: pa.Array, noise: np.ndarray) -> np.ndarray:
+        total, grams = log_ratios(texts, table)
+        return total - level * grams + noise >= least
 
-def resample(docs: DataFrame, labelled: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
-    """The sampled rows of docs, all columns: one pass over docs, no shuffle."""
-    scored, least = select(docs, labelled, k, seed)
-    return scored.filter(F.col("gumbel_key") >= least).select(*docs.columns)
+    return scratch.keep_rows(docs, kept, gumbel(F.col("doc_id"), seed))

@@ -1,7 +1,7 @@
 """Shared scratch space: tables that cut lineage and survive the loss of an executor.
 
 Everything goes below ``spark.checkpoint.dir``, which driver and executors share. Only where that setting is
-absent (tests, a laptop) a folder is made and used instead.
+absent and everything runs in one process (tests, a laptop) a folder is made and used instead; elsewhere it is an error.
 """
 
 from __future__ import annotations
@@ -10,9 +10,13 @@ import os
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -31,10 +35,12 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a folder of our own only if it names none."""
+    """The shared folder the session names; a folder of our own only if it names none and there are no other machines."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = _own.get(sc.applicationId)
         if base is None:
             base = _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="mnemo-")
@@ -72,6 +78,26 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     _made[:] = [x for x in _made if x[0] is not spark or x[1] not in set(paths)]
 
 
+def keep_rows(docs: DataFrame, chosen: Callable[[pa.Array, np.ndarray], np.ndarray], given: Column) -> DataFrame:
+    """The rows of docs, all columns, for whose text and given number chosen() says true: one pass, no shuffle.
+
+    Rows travel as one struct, so no name of theirs can clash, and come back as the Arrow columns they went as: texts
+    never become Python objects.
+    """
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.struct_field(batch.column("doc"), "text")
+            some = chosen(texts, batch.column("given").to_numpy(zero_copy_only=False))
+            yield batch.select(["doc"]).filter(pa.array(some))
+            del batch, texts
+            pa.default_memory_pool().release_unused()
+
+    ship_code(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("doc"), given.cast("double").alias("given"))
+    return rows.mapInArrow(pick, rows.select("doc").schema).select("doc.*")
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """Catalyst's size estimate of df: for a file scan the bytes of its files, from metadata alone. Where the plan knows
     nothing about its size, the bytes of a column are added up."""

@@ -5,7 +5,7 @@ Categories are predicted in order. Each has a logistic regression over the prese
 In training those log odds are out-of-fold: each row's come from models that were fitted without its fold. The last
 category decides, against the threshold that does best on the out-of-fold predictions.
 
-Models are fitted on the driver from a bounded sample of labelled rows: at most max_rows, the least by a hash, half of
+Models are fitted on the driver from a bounded sample of labelled rows: at most max_rows of at most MAX_BYTES in all, the least by a hash, half of
 them from rows with the last category as far as there are such; weights undo the unequal sampling. Every feature in
 enough of those rows is counted by category and fold, however common it is; pairs of row and feature are kept only for
 what some fit chooses by these counts. Scoring is one pass over the texts with tables of at most a few thousand features
@@ -18,10 +18,10 @@ probability; repeated rows are scored each; an empty table gives no rows; other
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from mnemo.llm import scratch, tokens
 
 MAX_ROWS = 6000
+MAX_BYTES = 64 << 20
 FOLDS = 3
 MAX_FEATURES = 2000
 LEAST_ROWS = 3
@@ -38,6 +39,8 @@ SEPARATORS = tokens.SPACES | tokens.PUNCTUATION
 _FILTER_BITS = 22
 #: Rows counted at a time.
 _COUNTED = 250
+#: Bytes of text whose features are made at a time.
+SLICE = 1 << 19
 
 
 def features(data: np.ndarray, offs: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +72,7 @@ def features(data: np.ndarray, offs: np.ndarray, known: np.ndarray | None = None
 def all_features(texts: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     data, offs = tokens.text_arrays(texts)
     found = []
-    for i, j in tokens.slices(offs, 1 << 20):
+    for i, j in tokens.slices(offs, SLICE):
         keys, of = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], known)
         found.append((keys, of + i))
     if not found:
@@ -207,13 +210,13 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return float((p[order][at] + below) / 2), float(f1[at])
 
 
-def fit_rows(texts: list[str], labels: np.ndarray, weight: np.ndarray, categories: list[str], folds: int = FOLDS) -> Chain:
+def fit_rows(texts: list[str] | pa.Array, labels: np.ndarray, weight: np.ndarray, categories: list[str], folds: int = FOLDS) -> Chain:
     """labels: a column of 0 and 1 for each category, in the chain's order."""
     n = len(texts)
     if not n:
         return Chain(categories, [Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(i), -12.0) for i in range(len(categories))], 0.5)
     # Counted first, kept second: most features tell nothing, and those in very many rows have most of the pairs.
-    texts = pa.array(texts, pa.string())
+    texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
     fold = np.arange(n) % folds
     used = np.column_stack([weight > 0, weight, labels * weight[:, None]]).astype(float)
     keys, sums = tally(texts, used, fold, folds)
@@ -247,41 +250,53 @@ def fit_rows(texts: list[str], labels: np.ndarray, weight: np.ndarray, categorie
     return Chain(categories, models, threshold, {"out_of_fold_f1": f1, "rows": n})
 
 
-def fit(labelled: DataFrame, categories: list[str], max_rows: int = MAX_ROWS) -> Chain:
+def fit(labelled: DataFrame, categories: list[str], max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Chain:
     """A chain from labelled(doc_id, text, one column of 0 and 1 for each category)."""
     scratch.ship_code(labelled.sparkSession)
-    last = F.coalesce(F.col(categories[-1]).cast("int"), F.lit(0))
-    rows = labelled.filter("text is not null").withColumn("_last", last)
-    counts = {r["_last"]: r["n"] for r in rows.groupBy("_last").agg(F.count("*").alias("n")).collect()}
-    parts = []
-    positive = min(counts.get(1, 0), max_rows // 2)
-    for value, most in ((1, positive), (0, max_rows - positive)):
-        part = rows.filter(F.col("_last") == value).select("text", F.xxhash64("doc_id", "text").alias("h"), *categories)
-        found = part.orderBy("h").limit(most).collect() if most else []
-        parts += [(r["h"], r, counts[value] / len(found)) for r in found]
-    parts.sort(key=lambda x: x[0])
-    labels = np.array([[int(r[c] or 0) for c in categories] for _, r, _ in parts], np.int64).reshape(len(parts), len(categories))
-    return fit_rows([r["text"] for _, r, _ in parts], labels, np.array([w for *_, w in parts], float), categories)
-
-
-def probabilities(chain: Chain):
-    """A text column's probabilities, a struct with a field for each category, as a column function."""
-
-    @F.pandas_udf(", ".join(f"{c} double" for c in chain.categories))
-    def toxicity(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(chain.predict(pa.array(text, pa.string())), columns=chain.categories)
-
-    return toxicity
+    text = F.col("text").cast("string")
+    flags = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"y{k}") for k, c in enumerate(categories)]
+    rows = labelled.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.octet_length(text).alias("size"), text.alias("text"), *flags)
+    rows = scratch.materialise(rows, "labelled")  # the documents are read for them once
+    last = f"y{len(categories) - 1}"
+    counts = {r[0]: r["n"] for r in rows.groupBy(F.col(last) == 1).agg(F.count("*").alias("n")).collect()}
+    parts, weights = [], []
+    positive = min(counts.get(True, 0), max_rows // 2)
+    for value, most in ((True, positive), (False, max_rows - positive)):
+        part = rows.filter((F.col(last) == 1) == value)
+        sizes = [(r["h"], r["size"]) for r in part.select("h", "size").orderBy("h").limit(most).collect()] if most else []
+        fits = np.cumsum([s for _, s in sizes]) <= max_bytes // 2
+        if fits.any():
+            most = int(fits.sum())
+            found = part.filter(F.col("h") <= sizes[most - 1][0]).drop("size").limit(most).toArrow()
+            parts.append(found)
+            weights.append(np.full(len(found), counts[value] / len(found)))
+    if not parts:
+        return fit_rows([], np.zeros((0, len(categories)), np.int64), np.zeros(0), categories)
+    found, weight = pa.concat_tables(parts), np.concatenate(weights)
+    order = np.lexsort((np.arange(len(weight)), found["h"].to_numpy()))
+    found = found.take(pa.array(order)).combine_chunks()
+    labels = np.column_stack([found[f"y{k}"].to_numpy() for k in range(len(categories))]).astype(np.int64)
+    return fit_rows(found["text"].combine_chunks(), labels, weight[order], categories)
+
+
+def score(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
+    """doc_id, a probability for each category, toxic."""
+    for batch in batches:
+        p = chain.predict(batch.column("text"))
+        columns = [batch.column("doc_id"), *(pa.array(x) for x in p.T), pa.array(p[:, -1] >= chain.threshold)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"p_{c}" for c in chain.categories), "toxic"])
+        del batch, columns
+        tokens.release()
 
 
 def classify(docs: DataFrame, chain: Chain) -> DataFrame:
     """doc_id, a probability p_<category> each, toxic (boolean: the last one reaches the threshold)."""
-    scored = docs.select("doc_id", probabilities(chain)(F.col("text").cast("string")).alias("p"))
-    last = F.col("p")[chain.categories[-1]]
-    return scored.select("doc_id", *(F.col("p")[c].alias(f"p_{c}") for c in chain.categories), (last >= chain.threshold).alias("toxic"))
+    own = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {own}, " + ", ".join(f"`p_{c}` double" for c in chain.categories) + ", toxic boolean"
+    scratch.ship_code(docs.sparkSession)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lambda b: score(b, chain), schema)
 
 
 def clean(docs: DataFrame, chain: Chain) -> DataFrame:
     """The rows of docs that aren't toxic, all columns: one pass over docs, no shuffle."""
-    p = probabilities(chain)(F.col("text").cast("string"))[chain.categories[-1]]
-    return docs.filter(p < chain.threshold)
+    return scratch.keep_rows(docs, lambda texts, _: chain.predict(texts)[:, -1] < chain.threshold, F.lit(0.0))
