@@ -1,15 +1,19 @@
 """Similarity join of texts by the Jaccard coefficient of their word n-grams: MinHash LSH forest, then exact checks.
 
 Texts with equal sets of shingles form a class, compared once. A class's signature is cut into the labels of several
-prefix trees. Labels are matched on prefixes, which start at the full depth and are shortened a step at a time until
-texts of just the least similarity still share a prefix in some tree with the target probability; more similar ones do
-so more surely. Classes below one trie node at that depth, over all trees, make a neighbourhood (a component of the
-forest's collisions), and within it every two classes whose sizes allow the similarity are compared exactly, by their
-shingles, in tasks of bounded size. So signatures only decide who is compared at all, and no pair is ever a row: a task
-returns a link count and a local root for each class.
-
-A neighbourhood of more than a block of classes is spread: its classes are dealt to blocks of similar sizes, and each
-two blocks whose sizes allow links meet in a task of their own.
+prefix trees. Matching starts at the trees' full depth; the matched prefix is shortened a step at a time until two
+things hold: texts of just the least similarity share a prefix in some tree with the target probability, and so do, on
+average, the classes that a sample of classes resembles according to their whole signatures (recall, measured on the
+table at each depth). Classes below one trie node then meet. Within a node, leaders are picked until each class is well
+like one of them by the signatures, and tied to every leader that it is a little like; so two texts of the threshold
+similarity are tied to a common leader, while texts that share a node by chance are not tied, however many there are. A
+node of more than a block of classes is tied together whole.
+
+What ties connect is a neighbourhood, and within it every two classes whose sizes allow the similarity are compared
+exactly, by their shingles, in tasks of bounded size. So signatures only decide who is compared at all, and no pair is
+ever a row of text: a task returns a link count and a local root for each class. A neighbourhood of more than a block
+of classes, or of shingles, is spread: its classes are dealt to blocks of similar sizes, and each two blocks whose sizes
+allow links meet in a task of their own.
 
 Defined cases: words are separated by ASCII white space and lower-cased in A-Z; a text of fewer words than a shingle
 has one shingle, all its words; a null or empty text has none and links with nothing; rows without doc_id are returned
@@ -36,19 +40,61 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 6, 0.995
 #: Classes of a neighbourhood in one task, and texts dealt to a task of small neighbourhoods.
 BLOCK, TASK = 512, 2000
+#: Shingles of a block or a task, whatever the number of its classes.
+SHINGLES = 2_000_000
+#: Share of the signature in which a class agrees with a leader that stands for it, and with one that it is tied to.
+ALIKE, TIED = 0.75, 0.25
+#: Classes whose links, by signatures, measure recall; rows of trie nodes in a task.
+AUDITED, NODE_ROWS = 128, 20_000
 SKETCH = "row long, doc_id long, k1 long, k2 long, n long, sig binary, text string"
 _rng = np.random.Generator(np.random.PCG64(20240101))
 _MUL = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32) | np.uint32(1)
 _XOR = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32)
 
 
-def prefix_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten the prefix until two texts of the threshold similarity meet in some tree with probability recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def chance(depth: int, threshold: float, trees: int = TREES) -> float:
+    """The probability that two texts of the threshold similarity share a prefix of this depth in some tree."""
+    return 1 - (1 - threshold**depth) ** trees
+
+
+def prefix_depth(threshold: float, recall: float, measured: list[float] | None = None) -> int:
+    """Descend from the full depth until chance and measured recall (by depth, from 1) reach the target."""
+    depth = DEPTH
+    while depth > 1 and (chance(depth, threshold) < recall or (measured is not None and measured[depth - 1] < recall)):
         depth -= 1
     return depth
 
 
+def signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), TREES * DEPTH)
+
+
+def measured_recall(classes: DataFrame, threshold: float, audited: int = AUDITED) -> list[float] | None:
+    """For each depth, the mean share of what sampled classes resemble that shares a prefix of this depth with them; None
+    where nothing resembles them."""
+    sample = classes.select("cid", "sig").orderBy(F.xxhash64("cid"), "cid").limit(audited).collect()
+    if not sample:
+        return None
+    ids = np.array([r["cid"] for r in sample])
+    own = np.frombuffer(b"".join(r["sig"] for r in sample), np.uint32).reshape(len(ids), TREES, DEPTH)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(ids), DEPTH + 1), np.int64)
+        for batch in batches:
+            sig, cid = signatures(batch.column("sig")), batch.column("cid").to_numpy()
+            for k in range(len(ids)):
+                same = sig == own[k].reshape(-1)
+                like = np.flatnonzero((same.mean(1) >= threshold) & (cid != ids[k]))
+                deep = np.logical_and.accumulate(same[like].reshape(len(like), TREES, DEPTH), axis=2).any(1)
+                sums[k] += [*deep.sum(0), len(like)]
+        yield pa.RecordBatch.from_pydict({"k": np.arange(len(ids)), **{f"d{d}": sums[:, d] for d in range(DEPTH + 1)}})
+
+    names = [f"d{d}" for d in range(DEPTH + 1)]
+    found = classes.select("cid", "sig").mapInArrow(count, "k long, " + ", ".join(f"{x} long" for x in names))
+    rows = [r for r in found.groupBy("k").agg(*(F.sum(x).alias(x) for x in names)).collect() if r[names[-1]]]
+    return [float(np.mean([r[x] / r[names[-1]] for r in rows])) for x in names[:-1]] if rows else None
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, and where each text's begin."""
     w = tokens.words(data, offs)
@@ -160,30 +206,59 @@ def verify(pdf: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"cid": parts[0], "links": parts[1], "root": parts[2]})
 
 
-def neighbourhoods(classes: DataFrame, depth: int) -> DataFrame:
-    """cid and area: classes that share a prefix of some tree, directly or through others. Lone classes are left out."""
-    width = 4 * depth
+def tie(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Some trie nodes: pairs of a class and a leader that it is tied to. All nodes pick a leader at a time."""
+    pdf = pdf.sort_values(["node", "cid"], ignore_index=True)
+    cid, sig = pdf["cid"].to_numpy(np.int64), signatures(pa.array(pdf["sig"], pa.binary()))
+    run = np.cumsum(np.diff(pdf["node"].to_numpy(np.int64), prepend=pdf["node"].iloc[0]) != 0)
+    leader, stands = np.empty(run[-1] + 1, np.int64), np.zeros(len(cid), bool)
+    pairs = [np.zeros((2, 0), np.int64)]
+    while not stands.all():
+        left = np.flatnonzero(~stands)
+        leader[:] = -1
+        nodes, at = np.unique(run[left], return_index=True)
+        leader[nodes] = left[at]
+        rows = np.flatnonzero(leader[run] >= 0)
+        lead = leader[run[rows]]
+        like = np.concatenate([(sig[rows[i : i + 8192]] == sig[lead[i : i + 8192]]).mean(1) for i in range(0, len(rows), 8192)])
+        stands[rows[like >= ALIKE]] = True
+        tied = (like >= TIED) & (rows != lead)
+        pairs.append(np.stack([cid[rows[tied]], cid[lead[tied]]]))
+    a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def neighbourhoods(classes: DataFrame, depth: int, block: int) -> DataFrame:
+    """cid and area: classes tied to each other, directly or through others. Lone classes are left out."""
     trees = F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.xxhash64(t, F.col("sig").substr(t * DEPTH * 4 + 1, F.lit(width))),
+        lambda t: F.xxhash64(t, F.col("sig").substr(t * DEPTH * 4 + 1, F.lit(4 * depth))),
     )
     at = classes.select("cid", F.explode(trees).alias("node"))
-    hubs = at.groupBy("node").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).filter("hub <> last").select("node", "hub")
-    edges = at.join(hubs, "node").filter("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
-    return components(edges).select(F.col("id").alias("cid"), F.col("component").alias("area"))
+    nodes = at.groupBy("node").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.count("*").alias("here"))
+    nodes = scratch.materialise(nodes.filter("hub <> last").select("node", "hub", "here"), "nodes")
+    rows = at.join(nodes, "node")
+    whole = rows.filter((F.col("here") > block) & (F.col("cid") != F.col("hub"))).select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+    tasks = max(1, -(-(nodes.filter(F.col("here") <= block).agg(F.sum("here")).first()[0] or 0) // NODE_ROWS))
+    small = rows.filter(F.col("here") <= block).select("cid", "node", F.pmod(F.xxhash64("node"), F.lit(tasks)).alias("task"))
+    tied = small.join(classes.select("cid", "sig"), "cid").groupBy("task").applyInPandas(tie, "a long, b long")
+    return components(tied.union(whole)).select(F.col("id").alias("cid"), F.col("component").alias("area"))
 
 
 def deal(members: DataFrame, block: int, task: int, threshold: float) -> DataFrame:
     """Rows of members(cid, area, n, ...), each once for every task that compares it: with task, side."""
     m = members.withColumn("band", F.floor(F.log("n") / F.lit(-np.log(threshold))).cast("int"))
-    count = m.groupBy("area").agg(F.count("*").alias("here"))
-    tasks = max(1, -(-m.count() // task))
+    count = m.groupBy("area").agg(F.count("*").alias("here"), F.sum("n").alias("held"))
+    every, held = m.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(1, -(-every // task), -(-held // SHINGLES))
     m = m.join(count, "area")
-    small = m.filter(F.col("here") <= block).select(
+    alone = (F.col("here") <= block) & (F.col("held") <= SHINGLES)
+    small = m.filter(alone).select(
         *members.columns, F.concat_ws("/", F.lit("s"), F.pmod(F.xxhash64("area"), F.lit(tasks))).alias("task"), F.lit(0).alias("side")
     )
-    large = m.filter(F.col("here") > block)
-    sizes = large.groupBy("area", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    large = m.filter(~alone)
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") / SHINGLES)).cast("int")
+    sizes = large.groupBy("area", "band").agg(blocks.alias("blocks"))
     large = large.join(sizes, ["area", "band"]).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # Sets of sizes in bands two apart are too unlike to link.
     above = sizes.select("area", (F.col("band") - 1).alias("band"), F.col("blocks").alias("up"))
@@ -201,30 +276,28 @@ def deal(members: DataFrame, block: int, task: int, threshold: float) -> DataFra
 
 
 def grouped(docs: DataFrame, n: int, threshold: float, recall: float, block: int, task: int) -> DataFrame:
-    """row, doc_id, text, group (number of the row's component), class_id and n_links of each row of docs; a written table's
-    rows without doc_id or without words have no group."""
+    """row, doc_id, text, top (doc_id and row that are the least of the row's component) and n_links of each row of docs;
+    rows without doc_id or without words have no top. The row's numbers and text are those of a written table."""
     scratch.ship_code(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = scratch.materialise(texts.mapInArrow(lambda b: sketch(b, n), SKETCH), "sketches")
     key = ["k1", "k2", "n"]
     real = sketches.filter("n > 0 and doc_id is not null")
-    classes = real.groupBy(*key).agg(F.min("row").alias("cid"), F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("sig").alias("sig"))
-    classes = scratch.materialise(classes, "classes")
-    areas = neighbourhoods(classes, prefix_depth(threshold, recall))
+    classes = real.groupBy(*key).agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("size"), F.first("sig").alias("sig"))
+    classes = scratch.materialise(classes.withColumn("cid", F.col("least.row")), "classes")
+    areas = neighbourhoods(classes, prefix_depth(threshold, recall, measured_recall(classes, threshold)), block)
     members = scratch.materialise(areas.join(classes.select("cid", "size", "n"), "cid"), "members")
-    dealt = deal(members, block, task, threshold)
+    # Written, so that the planner knows its size and shuffles the texts only if it is too large to broadcast.
+    dealt = scratch.materialise(deal(members, block, task, threshold), "dealt")
     work = dealt.join(sketches.select(F.col("row").alias("cid"), "text"), "cid")
     found = work.groupBy("task").applyInPandas(lambda pdf: verify(pdf, n, threshold), "cid long, links long, root long")
     found = scratch.materialise(found, "found")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    named = classes.select("cid", "least").join(roots.withColumnRenamed("id", "cid"), "cid")
-    named = named.groupBy("component").agg(F.min("least").alias("class_id"))
+    roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "cid")
+    tops = classes.select("cid", "least").join(roots, "cid").groupBy("component").agg(F.min("least").alias("top"))
     per_class = (
-        classes.select(*key, "cid", "least", "size").join(links, "cid", "left").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
-        .join(named, "component", "left")
-        .select(*key, F.coalesce("component", "cid").alias("group"), F.coalesce("class_id", "least").alias("class_id"),
-                (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+        classes.select(*key, "cid", "least", "size").join(links, "cid", "left").join(roots, "cid", "left").join(tops, "component", "left")
+        .select(*key, F.coalesce("top", "least").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     )
     return sketches.drop("sig").join(per_class, key, "left")
 
@@ -233,7 +306,7 @@ def join(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, recall
     """doc_id, class_id (smallest doc_id that links or equal sets reach) and n_links (other rows linked directly)."""
     return grouped(docs, n, threshold, recall, block, task).select(
         "doc_id",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("top.doc_id", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
 
@@ -246,18 +319,18 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD, re
     one row. Rows travel as one struct, so that no name of theirs can clash.
     """
     found = grouped(docs, n, threshold, recall, block, task).filter("doc_id is not null")
-    found = scratch.materialise(found.select("row", "doc_id", "group", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), "join")
-    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    stays = found.join(first, "group", "left").select("doc_id", "h", (F.col("group").isNull() | (F.col("first.row") == F.col("row"))).alias("stays"))
-    per_id = scratch.materialise(stays.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("any")), "per-id")
+    stays = F.col("top").isNull() | (F.col("top.row") == F.col("row"))
+    found = scratch.materialise(found.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), stays.alias("stays")), "join")
+    per_id = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("stays").alias("any"))
+    per_id = per_id.filter("n > 1 or not any").select(F.col("doc_id").alias("id"), "n", "any")
+    per_id = scratch.materialise(per_id, "per-id")
     id_, h = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.struct("*").alias("doc"), id_.alias("id"), h.alias("h"))
-    gone = per_id.filter("not any").select(F.col("doc_id").alias("id"))
-    kept = rows.join(gone, "id", "left_anti")
+    kept = rows.join(scratch.materialise(per_id.filter("not any").select("id"), "gone"), "id", "left_anti")
     # A doc_id that recurs, seldom if ever there, is told apart by its texts.
-    again = per_id.filter("n > 1").select(F.col("doc_id").alias("id"))
+    again = scratch.materialise(per_id.filter("any and n > 1").select("id"), "again")
     if again.limit(1).count():
-        texts = stays.filter("stays").select(F.col("doc_id").alias("id"), "h").distinct().join(again, "id")
+        texts = found.filter("stays").select(F.col("doc_id").alias("id"), "h").distinct().join(again, "id")
         same = kept.join(again, "id", "left_semi").join(texts, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
         kept = kept.join(again, "id", "left_anti").unionByName(same)
     return kept.select("doc.*")

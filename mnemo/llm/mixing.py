@@ -167,7 +167,8 @@ def resample(docs: DataFrame, rates: DataFrame) -> DataFrame:
 
     Rows travel as one struct, so that no name of theirs can clash. The key spreads rows without doc_id by their texts.
     """
-    one = rates.groupBy("key").agg(F.avg("rate").alias("rate"))
+    # Written, so that the planner knows its size and shuffles the texts only if it is too large to broadcast.
+    one = scratch.materialise(rates.groupBy("key").agg(F.avg("rate").alias("rate")), "rates")
     rows = docs.select(F.struct("*").alias("doc"), row_key().alias("key")).join(one, "key", "left")
     times = copies(F.coalesce("rate", F.lit(1.0)), "key")
     return rows.select("doc", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select("doc.*")

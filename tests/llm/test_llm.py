@@ -360,7 +360,27 @@ def test_forest_equals_brute_force(spark, docs):
 
 def test_prefix_depth_meets_recall():
     d = forest.prefix_depth(0.8, 0.995)
-    assert 1 - (1 - 0.8**d) ** forest.TREES >= 0.995 and (d == forest.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** forest.TREES < 0.995)
+    assert forest.chance(d, 0.8) >= 0.995 and (d == forest.DEPTH or forest.chance(d + 1, 0.8) < 0.995)
+    assert forest.prefix_depth(0.99, 0.995) == forest.DEPTH
+    assert forest.prefix_depth(0.99, 0.995, [1.0, 1.0, 1.0, 0.999, 0.9, 0.8]) == 4
+
+
+def test_forest_measures_recall_and_ties_only_the_like(spark):
+    """Signatures made by hand: three that agree in most values, one that shares a whole label of a tree by chance."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**32, (forest.TREES, forest.DEPTH), np.uint64).astype(np.uint32)
+    near, far = base.copy(), rng.integers(0, 2**32, base.shape, np.uint64).astype(np.uint32)
+    near[:3] = far[:3] ^ 1
+    far[15] = base[15]
+    half = base.copy()
+    half[:, 1] += 1  # like all else, but no prefix of two values
+    rows = [(i, bytearray(x.tobytes())) for i, x in enumerate([base, near, far, half])]
+    classes = spark.createDataFrame(rows, "cid long, sig binary")
+    measured = forest.measured_recall(classes, 0.8)
+    assert measured[0] == 1 and 0.4 < measured[1] < 0.7 and measured == sorted(measured, reverse=True)
+    areas = {r["cid"]: r["area"] for r in forest.neighbourhoods(classes, 5, 100).collect()}
+    assert areas == {0: 0, 1: 0}
+    assert forest.neighbourhoods(classes, 5, 1).count() == 3 and forest.measured_recall(classes.filter("cid = 2"), 0.8) is None
 
 
 # 10: exact top-k.
