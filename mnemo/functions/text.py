@@ -116,12 +116,14 @@ def fts_words(s: Column | str) -> Column:
 
 
 def is_keyword_query(q: Column | str) -> Column:
-    """Queries that name things exactly, so that vectors add nothing."""
+    """Queries that name things exactly (code, paths, quotes, identifiers, versions, addresses), so that vectors add nothing."""
     patterns = [
-        r"`[^`]+`", r"^\".*\"$", r"[A-Za-z0-9_]+/[A-Za-z0-9_./]+", r"[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*", r"[a-z0-9]+_[a-z0-9_]+",
-        r"mem-[0-9a-f]{6,}", r"v?[0-9]+\.[0-9]+\.[0-9]+", r"https?://", r"[0-9a-f]{12,}",
+        r"`", r"/[a-zA-Z][\w/.]*", r"\b[A-Z][a-z]+[A-Z]\w*\b", r"\b[a-z]+_[a-z_]+\b", r"\bmem-[0-9a-f]{8,}\b",
+        r"\bv?\d+\.\d+(?:\.\d+)?\b", r"https?://", r"\b[0-9a-f]{8,}\b",
     ]
-    return _c(q).rlike("|".join(f"(?:{p})" for p in patterns))
+    whole = F.trim(_c(q))
+    quoted = whole.startswith('"') & whole.endswith('"') & (F.length(whole) > 2)
+    return _c(q).rlike("|".join(f"(?:{p})" for p in patterns)) | quoted
 
 
 def intent(q: Column | str) -> Column:

@@ -10,6 +10,21 @@ from pyspark.sql.window import Window
 from mnemo import policy
 from mnemo.functions import text as tx
 
+# Words that negate, and the patterns of preferences and of time words.
+NEGATIONS = [
+    "not", "no", "never", "none", "neither", "nor", "don't", "doesn't", "didn't", "won't", "wouldn't", "can't", "cannot",
+    "couldn't", "shouldn't", "isn't", "aren't", "wasn't", "weren't", "hasn't", "haven't", "hadn't",
+]
+PREFERS = [
+    r"\b(?:prefer|prefers|preferred)\s+(\w+(?:\s+\w+)?)", r"\b(?:use|uses|using)\s+(\w+(?:\s+\w+)?)",
+    r"\b(?:default|always)\s+(?:use|is)\s+(\w+(?:\s+\w+)?)", r"\b(?:switched?\s+to|moved?\s+to|changed?\s+to)\s+(\w+(?:\s+\w+)?)",
+]
+OVERRIDES = [
+    r"\b(?:now|currently|recently|today)\b", r"\b(?:no longer|stopped|quit|switched)\b", r"\b(?:used to|previously|formerly|was)\b",
+    r"\b(?:changed|updated|revised|corrected)\b",
+]
+KNOWLEDGE = ["decision", "lesson_learned", "user_preference", "advisor_insight"]
+
 
 def by_hash(df: DataFrame, key: Column) -> DataFrame:
     """One row of each key: the oldest, with all accesses and one for each duplicate."""
@@ -98,23 +113,105 @@ def mark_superseded(df: DataFrame, by: DataFrame) -> DataFrame:
     return j.withColumns({"status": F.when(hit, "superseded").otherwise(F.col("status")), "valid_until": F.when(hit, F.coalesce("valid_until", "_at")).otherwise(F.col("valid_until"))}).drop("_at")
 
 
-def contradiction(old: Column, new: Column, similarity: Column) -> Column:
-    """Confidence that new contradicts old: negation, antonyms, changed preferences and time words, by similarity."""
-    negs = F.array(*map(F.lit, ["not", "never", "no", "dont", "avoid", "stop", "without"]))
-    a, b = F.array_distinct(tx.tokens(old)), F.array_distinct(tx.tokens(new))
+def plain_words(s: Column) -> Column:
+    """Distinct lower-case words between white space, with whatever sticks to them."""
+    return F.array_distinct(F.filter(F.split(F.lower(s), r"\s+"), lambda w: w != ""))
+
+
+def negation(new: Column, old: Column) -> Column:
+    """One text negates, the other doesn't, and they share other words; or both negate, differently."""
+    negs = F.array(*map(F.lit, NEGATIONS))
+    a, b = plain_words(new), plain_words(old)
     na, nb = F.array_intersect(a, negs), F.array_intersect(b, negs)
-    shared = F.size(F.array_intersect(F.filter(a, lambda w: F.length(w) > 3), b))
-    negation = (
-        F.when((F.size(na) > 0) != (F.size(nb) > 0), F.when(shared >= 2, 0.8).when(shared >= 1, 0.5).otherwise(0.0))
-        .when((F.size(na) > 0) & (F.size(F.array_intersect(na, nb)) == 0), 0.3).otherwise(0.0)
-    )
-    opposed = F.lit(False)
+    shared = F.size(F.array_intersect(F.array_except(a, negs), F.array_except(b, negs)))
+    differ = F.size(F.array_union(na, nb)) > F.size(F.array_intersect(na, nb))
+    one = F.when(shared >= 2, 0.8).when(shared >= 1, 0.5).otherwise(0.0)
+    return F.when((F.size(na) > 0) != (F.size(nb) > 0), one).when((F.size(na) > 0) & differ, 0.3).otherwise(0.0)
+
+
+def opposites() -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
     for x, y in policy.ANTONYMS:
-        opposed |= (F.array_contains(a, x) & F.array_contains(b, y)) | (F.array_contains(a, y) & F.array_contains(b, x))
-    antonym = F.when(opposed, F.when(shared >= 2, 0.9).otherwise(0.7)).otherwise(0.0)
-    value = lambda t: F.regexp_extract(F.lower(t), r"prefers? ([a-z0-9_]+)", 1)
-    preference = F.when((value(old) != "") & (value(new) != "") & (value(old) != value(new)), 0.8).otherwise(0.0)
-    marker = r"(^|[^a-z])(now|instead|no longer|switched|changed|anymore|currently)([^a-z]|$)"
-    time = F.when(F.lower(new).rlike(marker), F.when(F.lower(old).rlike(marker), 0.4).otherwise(0.6)).otherwise(0.0)
-    raw = 0.35 * negation + 0.25 * antonym + 0.25 * preference + 0.15 * time
-    return F.when(similarity >= 0.3, F.least(F.lit(1.0), raw * (0.5 + 0.5 * similarity))).otherwise(0.0)
+        out.setdefault(x, []).append(y)
+        out.setdefault(y, []).append(x)
+    return out
+
+
+def antonym(new: Column, old: Column) -> Column:
+    """A word of new has its opposite in old; surer where they share two words besides."""
+    a, b = plain_words(new), plain_words(old)
+    table = F.create_map(*(z for x, ys in opposites().items() for z in (F.lit(x), F.array(*map(F.lit, ys)))))
+    against = lambda w: F.try_element_at(table, w)
+    hits = F.filter(a, lambda w: F.coalesce(F.arrays_overlap(against(w), b), F.lit(False)))
+    same = lambda w: F.size(F.array_intersect(F.array_remove(a, w), F.array_except(b, against(w)))) >= 2
+    return F.when(F.size(hits) == 0, 0.0).when(F.exists(hits, same), 0.9).otherwise(0.7)
+
+
+def preference_change(new: Column, old: Column) -> Column:
+    """Both state what is preferred or used, and no value of one begins with a value of the other."""
+    values = lambda s: F.concat(*(F.regexp_extract_all(F.lower(s), F.lit(p), F.lit(1)) for p in PREFERS))
+    a, b = values(new), values(old)
+    same = F.exists(a, lambda x: F.exists(b, lambda y: x.startswith(y) | y.startswith(x)))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0) & ~same, 0.8).otherwise(0.0)
+
+
+def temporal_marker(new: Column, old: Column) -> Column:
+    """new has words of change in time; less telling if old has some too."""
+    marked = lambda s: F.lower(s).rlike("|".join(OVERRIDES))
+    return F.when(marked(new), F.when(marked(old), 0.4).otherwise(0.6)).otherwise(0.0)
+
+
+def contradiction(old: Column, new: Column, similarity: Column, least: float = 0.3) -> Column:
+    """Confidence that new contradicts old: the four signals, weighed by similarity; 0 below the least similarity."""
+    raw = 0.35 * negation(new, old) + 0.25 * antonym(new, old) + 0.25 * preference_change(new, old) + 0.15 * temporal_marker(new, old)
+    return F.when(similarity >= least, F.least(F.lit(1.0), raw * (0.5 + 0.5 * similarity))).otherwise(0.0)
+
+
+def signals(old: Column, new: Column) -> Column:
+    """The names of the signals that fire, in their order."""
+    named = (("negation", negation), ("antonym", antonym), ("preference_change", preference_change), ("temporal_override", temporal_marker))
+    return F.array_compact(F.array(*(F.when(f(new, old) > 0, n) for n, f in named)))
+
+
+def nearest_older(similar: DataFrame, *keys: str) -> DataFrame:
+    """Of similar(query_id, node_id, score, ...), the likest older memory for each query; ids grow with time."""
+    w = Window.partitionBy("query_id", *keys).orderBy(F.desc("score"), "node_id")
+    return similar.filter("node_id < query_id").withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
+
+
+def superseding(similar: DataFrame) -> DataFrame:
+    """similar(query_id, node_id, score, event_type, old_type) of knowledge types: each old one and its newest successor."""
+    known = similar.filter(F.col("event_type").isin(KNOWLEDGE) & (F.col("event_type") == F.col("old_type")) & (F.col("node_id") < F.col("query_id")))
+    return known.groupBy(F.col("node_id").alias("old_id")).agg(F.max("query_id").alias("superseded_by"), F.max_by("score", "query_id").alias("score"))
+
+
+def error_bursts(errors: DataFrame, least: int = 3, threshold: float = 0.40) -> DataFrame:
+    """errors(node_id, session_id, created_at, content) with prior (earlier ones in the session) and blocked: at least
+    `least` of them, of which one or more is like this one. Equal texts of a session meet once."""
+    w = Window.partitionBy("session_id").orderBy("created_at", "node_id")
+    rows = errors.withColumn("prior", (F.row_number().over(w) - 1).cast("int")).withColumn("words", tx.word_set("content", 4))
+    first = rows.groupBy("session_id", "words").agg(F.min("prior").alias("at"))
+    sets = first.select("session_id", F.col("words").alias("other"), F.col("at").alias("other_at"))
+    like = first.join(sets, "session_id").filter(tx.jaccard(F.col("words"), F.col("other")) >= threshold)
+    earliest = like.groupBy("session_id", "words").agg(F.min("other_at").alias("like_at"))
+    return rows.join(earliest, ["session_id", "words"], "left").withColumn(
+        "blocked", (F.col("prior") >= least) & F.coalesce(F.col("like_at") < F.col("prior"), F.lit(False))
+    )
+
+
+def duplicates_to_skip(pairs: DataFrame, session: str, cross: list[str]) -> DataFrame:
+    """Of pairs(a, b, jaccard, event_type, a's and b's session), those that make b a repeat of the older a."""
+    own = F.col(f"{session}_a").isNull() | (F.col(f"{session}_a") == F.col(f"{session}_b"))
+    return pairs.filter((F.col("jaccard") > dedup_threshold()) & (F.col("event_type").isin(cross) | own))
+
+
+def consolidated(clusters: DataFrame, rows: DataFrame, least: int = 3, tags: int = 15) -> DataFrame:
+    """Clusters of at least `least` members as one memory each: leader, members, quality, tags united, text of the
+    keeper; members other than the keeper are superseded by it."""
+    j = clusters.join(rows, "node_id")
+    out = j.groupBy("event_type", "leader").agg(
+        F.count("*").alias("members"), F.first("keeper").alias("keeper"), F.array_sort(F.flatten(F.collect_set("tags"))).alias("tags"),
+        F.max(F.when(F.col("node_id") == F.col("keeper"), F.col("content"))).alias("content"),
+    ).filter(F.col("members") >= least)
+    quality = F.least(F.lit(3.0), 1 + 0.3 * (F.col("members") - least))
+    return out.withColumns({"tags": F.slice(F.array_distinct("tags"), 1, tags), "quality": quality})

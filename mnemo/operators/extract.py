@@ -1,0 +1,196 @@
+"""What memories say, found by rules: keywords, facts, observations, preferences, errors, decisions, task titles.
+
+Each function takes and returns a column. Patterns avoid look-around, so that any engine of regular expressions agrees.
+"""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Iterator
+from hashlib import md5
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from mnemo.functions import text as tx
+
+# The patterns and word lists that results depend on.
+PROPER = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+DATE = r"(?i)\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2}(?:,?\s+\d{4})?)\b"
+AMOUNT = r"\b\d+(?:\.\d+)?\s*(?:%|percent\b|dollars?\b|USD\b|EUR\b|GB\b|MB\b|TB\b|KB\b|pp\b)"
+TECHNICAL = r"\b(?:[A-Z][a-z]*[A-Z]\w*|[a-z]+_[a-z_]+|[A-Z]{2,}(?:\d+)?)\b"
+CAMEL = r"\b([A-Z][a-zA-Z]*[a-z][A-Z][a-zA-Z]*)\b"
+CONSTANT = r"\b([A-Z][A-Z0-9_]{2,})\b"
+TICKED = r"`([^`]{2,40})`"
+QUOTED = "[\"']([^\"']{2,40})[\"']"
+CHOSEN = (
+    r"(?i)\b(?:chose|choose|decided|switched?\s+to|migrated?\s+to|replaced?\s+with|use[ds]?|adopted?|selected?|implemented?|configured?|set\s+up|enabled?|disabled?)"
+    r"\s+([A-Za-z0-9][\w\s./-]{1,30}?)(?:[.,;!?\n]|$)"
+)
+DOTTED = r"\b(\w+(?:\.\w+){1,4})\b"
+HYPHENED = r"\b([a-z]+-[a-z]+(?:-[a-z]+)?)\b"
+FACT_STOP = ["the", "and", "for", "with", "that", "this", "from", "have", "been", "will", "not"]
+CODE = r"`[^`]+`|/[\w/.]+|\b[A-Z][a-z]+[A-Z]\w*\b"
+PREFERENCES = [
+    (r"(?:I |i )(?:prefer|always|never|like to|want to|don't like)\b(.+)", 0.7),
+    (r"(?:please |)(?:always|never)\b(.+)", 0.6),
+    (r"(?:use |don't use )\b(.+?)(?:\s+(?:for|when|in)\b|$)", 0.6),
+    (r"(?:I |i )(?:like|love|hate|dislike)\s+(.+?)(?:\.|$)", 0.6),
+    (r"(?:I |i )(?:don't want|don't need|don't like)\s+(.+?)(?:\.|$)", 0.65),
+    (r"(?:make sure|ensure|be sure)\s+(?:to\s+)?(.+?)(?:\.|$)", 0.5),
+    (r"(?:from now on|going forward|in the future)\s*[,]?\s*(.+?)(?:\.|$)", 0.7),
+]
+POLARITY_NEGATIONS = ["don't", "dont", "don", "never", "no", "not", "without", "avoid", "stop"]
+POLARITY_POSITIVES = ["always", "prefer", "use", "like", "want", "with", "include"]
+DECISIONS = [
+    r"\blet'?s?\s+(?:go\s+with|use|switch\s+to|stick\s+with|move\s+to)\b", r"\bi\s+(?:decided?|chose|picked|went\s+with|prefer)\b",
+    r"\bwe\s+(?:should|will|are\s+going\s+to)\s+(?:use|go\s+with|switch|adopt|implement)\b", r"\b(?:decision|approach|strategy):\s*\S",
+    r"\binstead\s+of\s+\S+[,\s]+(?:use|let'?s|we'?ll)\b", r"\bfrom\s+now\s+on\b", r"\bremember\s+(?:that|this)\b",
+]
+LESSONS = [
+    r"\bi\s+learned\s+that\b", r"\bturns?\s+out\b", r"\bthe\s+trick\s+is\b", r"\bnote\s+to\s+self\b", r"\btil\b|\btoday\s+i\s+learned\b",
+    r"\bthe\s+fix\s+was\b", r"\bthe\s+problem\s+was\b", r"\bdon'?t\s+forget\b", r"\bimportant:\s*\S",
+    r"\bkey\s+(?:insight|takeaway|learning)\b", r"\bnever\s+(?:again|do|use)\b", r"\balways\s+(?:make\s+sure|remember|check)\b",
+]
+ERROR_MARKS = [
+    "Error:", "ERROR:", "error:", "FAILED", "Failed", "fatal:", "FATAL:", "panic:", "command not found",
+    "No such file or directory", "Permission denied", "Connection refused",
+]
+TASK_SKIPPED = ["MEMORY HANDOFF", "[Request interrupted", "Implement the following plan", "Execute this plan", "Follow this plan", "Here is the plan"]
+TASK_EXACT = ["proceed", "continue", "yes", "no", "ok", "go ahead", "lgtm"]
+EXTENSION_TAGS = {
+    ".py": ["python"], ".js": ["javascript"], ".ts": ["typescript"], ".tsx": ["typescript", "react"], ".jsx": ["javascript", "react"],
+    ".rs": ["rust"], ".go": ["go"], ".rb": ["ruby"], ".java": ["java"], ".swift": ["swift"], ".sh": ["bash"], ".sql": ["sql"],
+    ".md": ["markdown"], ".yml": ["yaml"], ".yaml": ["yaml"], ".json": ["json"], ".toml": ["toml"], ".css": ["css"],
+    ".html": ["html"], ".c": ["c"], ".cpp": ["c++"], ".vue": ["vue", "javascript"], ".svelte": ["svelte", "javascript"],
+    ".tf": ["terraform"], ".graphql": ["graphql"], ".prisma": ["prisma"], ".env": ["config"], ".ini": ["config"],
+    ".kt": ["kotlin"], ".sc": ["scala"], ".ex": ["elixir"], ".php": ["php"], ".r": ["r"],
+}
+
+
+def found(s: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(s, F.lit(pattern), F.lit(group))
+
+
+def keywords(s: Column, most: int = 50) -> Column:
+    """Names, dates, amounts and technical terms, each once whatever its case, in the order of kinds and places."""
+    every = F.concat(*(found(s, p) for p in (PROPER, DATE, AMOUNT, TECHNICAL)))
+    lower = F.transform(every, F.lower)
+    first = F.slice(F.array_distinct(lower), 1, most)
+    return F.array_join(F.transform(first, lambda w: F.element_at(every, F.array_position(lower, w).cast("int"))), " ")
+
+
+def facts(s: Column, most: int = 20) -> Column:
+    """Identifiers, quoted text, what was chosen, paths and compounds: sorted, without those of stop words only."""
+    clean = lambda a: F.transform(a, lambda x: F.trim(F.lower(x)))
+    chosen = F.filter(F.transform(found(s, CHOSEN, 1), lambda x: F.regexp_replace(F.trim(x), r"\.+$", "")), lambda x: F.length(x) > 2)
+    dotted = F.filter(found(s, DOTTED, 1), lambda x: ~x.rlike(r"^\d+\.\d+"))
+    hyphened = F.filter(found(F.lower(s), HYPHENED, 1), lambda x: F.length(x) > 4)
+    every = F.concat(*(clean(x) for x in (found(s, CAMEL, 1), found(s, CONSTANT, 1), found(s, TICKED, 1), found(s, QUOTED, 1), chosen, dotted, hyphened)))
+    told = F.filter(F.array_distinct(every), lambda f: F.exists(F.split(f, r"\s+"), lambda w: ~w.isin(FACT_STOP) & (F.length(w) > 1)))
+    return F.slice(F.array_sort(told), 1, most)
+
+
+def sentences(s: Column, least: int = 15) -> Column:
+    marked = F.regexp_replace(s, r"([.!?])\s+([A-Z\[])", "$1\u0001$2")
+    parts = F.split(F.when(marked.contains("\u0001"), marked).otherwise(F.regexp_replace(s, r"([.!?])\s+", "$1\u0001")), "\u0001")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+
+
+def density(s: Column) -> Column:
+    words = F.filter(F.split(F.trim(s), r"\s+"), lambda w: F.length(w) > 3)
+    return F.size(F.array_distinct(F.transform(words, F.lower))) + 2.0 * F.size(found(s, CODE)) + 3.0 * F.least(F.length(s), F.lit(200)) / 200.0
+
+
+def observation(s: Column) -> Column:
+    """The densest sentence, and the second if it says other things; null for texts under 150 characters."""
+    scored = F.transform(sentences(s), lambda x, i: F.struct((-density(x)).alias("d"), i.alias("i"), x.alias("s")))
+    best = F.slice(F.array_sort(scored), 1, 2)
+    a, b = F.get(best, 0)["s"], F.get(best, 1)["s"]
+    unlike = tx.jaccard(tx.word_set(a, 3), tx.word_set(b, 3)) < 0.7
+    text = F.when((F.size(best) > 1) & unlike, F.concat_ws(" ", a, b)).otherwise(a)
+    return F.when((F.length(s) >= 150) & (F.size(best) > 0), F.when(F.length(text) > 200, F.concat(F.substring(text, 1, 197), F.lit("..."))).otherwise(text))
+
+
+def preferences(s: Column) -> Column:
+    """Preference statements of 10 to 300 characters with their confidence, each once, by pattern and place."""
+    trimmed = lambda x: F.regexp_replace(F.trim(x), r"[.,;:]+$", "")
+    sure = lambda c: lambda x: F.struct(trimmed(x).alias("content"), F.lit(c).alias("confidence"))
+    each = [F.transform(found(s, "(?i)" + p), sure(c)) for p, c in PREFERENCES]
+    fits = F.filter(F.concat(*each), lambda x: F.length(x["content"]).between(10, 300))
+    lower = F.transform(fits, lambda x: F.lower(x["content"]))
+    return F.transform(F.array_distinct(lower), lambda w: F.element_at(fits, F.array_position(lower, w).cast("int")))
+
+
+def polarity_flip(new: Column, old: Column) -> tuple[Column, Column]:
+    """Topic overlap of two preferences, and whether just one of them is negated at an overlap of 0.3 or more."""
+    words = lambda s: tx.word_set(s, 3)
+    negated = lambda w: F.arrays_overlap(w, F.array(*map(F.lit, POLARITY_NEGATIONS)))
+    topic = lambda w: F.filter(w, lambda x: ~x.isin([*POLARITY_NEGATIONS, *POLARITY_POSITIVES]))
+    a, b = words(new), words(old)
+    overlap = tx.jaccard(topic(a), topic(b))
+    return overlap, (overlap >= 0.3) & (negated(a) != negated(b))
+
+
+def is_decision(s: Column) -> Column:
+    return (F.length(s) >= 20) & F.lower(s).rlike("|".join(DECISIONS))
+
+
+def is_lesson(s: Column) -> Column:
+    return (F.length(s) >= 20) & F.lower(s).rlike("|".join(LESSONS))
+
+
+def error_summary(s: Column, most: int = 300) -> Column:
+    """The last line of a traceback that is no frame, else the first line with an error mark, else the first plain line."""
+    lines = F.filter(F.transform(F.split(F.trim(s), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    last = F.element_at(F.filter(lines, lambda x: ~x.startswith("File ") & ~x.startswith("^")), -1)
+    plain = F.filter(lines, lambda x: ~x.rlike(r'^[{\[}\]"]'))
+    marked = F.filter(plain, lambda x: F.exists(F.array(*map(F.lit, ERROR_MARKS)), lambda m: x.contains(m)))
+    line = F.when(s.contains("Traceback (most recent call last)"), last).otherwise(F.coalesce(F.get(marked, 0), F.get(plain, 0)))
+    return F.substring(F.coalesce(line, s), 1, most)
+
+
+def task_title(s: Column, most: int = 60) -> Column:
+    """A prompt as a task's title: markup, headings and later sentences go; empty if it is no task."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.trim(s), r"<[a-zA-Z_-]+>[^<]*</[a-zA-Z_-]+>", ""), r"</?[a-zA-Z_-]+>", ""))
+    none = F.lower(t).isin(TASK_EXACT)
+    for x in TASK_SKIPPED:
+        none |= t.startswith(x)
+    line = F.regexp_replace(F.regexp_replace(t, r"^#{1,4}\s*", ""), r"^[Rr]esume\s*:\s*", "")
+    line = F.trim(F.regexp_replace(F.trim(F.get(F.split(line, "\n"), 0)), r"([a-zA-Z])[.!?]\s.*", "$1"))
+    short = F.regexp_replace(F.substring(line, 1, most), r" [^ ]*$", "")
+    title = F.when(F.length(line) > most, short).otherwise(line)
+    return F.when(none | (F.length(title) < 8), "").otherwise(title)
+
+
+def extension_tags(path: Column) -> Column:
+    tags = F.create_map(*(y for k, v in EXTENSION_TAGS.items() for y in (F.lit(k), F.array(*map(F.lit, v)))))
+    ext = F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))
+    return F.coalesce(F.try_element_at(tags, ext), F.array().cast("array<string>"))
+
+
+def hash_embedding(dim: int):
+    """A text's stand-in vector where there is no model: Gaussians seeded by its MD5, of unit length; a column function."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text: str) -> list[float]:
+            rng = random.Random(int.from_bytes(md5(text.encode()).digest()[:4], "big"))
+            v = [rng.gauss(0, 1) for _ in range(dim)]
+            size = sum(x * x for x in v) ** 0.5
+            return [x / size for x in v]
+
+        for t in texts:
+            yield t.map(one, na_action="ignore")
+
+    return embed
+
+
+def pooled(states: Column, mask: Column) -> Column:
+    """Mean of the token vectors that the mask keeps, at unit length: arrays of arrays in, an array out."""
+    kept = F.filter(F.arrays_zip(states.alias("v"), mask.alias("m")), lambda x: x["m"] > 0)
+    first = F.transform(F.get(states, 0), lambda x: x * 0.0)
+    total = F.aggregate(kept, first, lambda a, x: F.zip_with(a, x["v"], lambda p, q: p + q))
+    size = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(total, lambda x: F.when(size > 0, x / size).otherwise(0.0))

@@ -58,11 +58,12 @@ def maxnorm(column: str, *keys: str) -> Column:
 
 def text_channel(queries: DataFrame, df: DataFrame, limit: int) -> DataFrame:
     """BM25 among the best 3 * limit, scaled, blended with the share of query words found."""
-    best = top(bm25(queries, df), 3 * limit, "bm25", "query_id")
+    found = bm25(queries, df).withColumn("bm25", F.round("bm25", 6))  # equal texts tie, whatever the order of their sums
+    best = top(found, 3 * limit, "bm25", "query_id")
     scored = best.withColumn("norm", minmax(best, "bm25", "query_id"))
     j = scored.join(queries.select("query_id", tx.word_set("text", 3).alias("words")), "query_id").join(df.select("node_id", "content"), "node_id")
     share = F.size(F.array_intersect("words", tx.tokens("content", 3))) / F.size("words")
-    return top(j.select("query_id", "node_id", (0.7 * F.col("norm") + 0.3 * share).alias("score")), limit, "score", "query_id")
+    return top(j.select("query_id", "node_id", F.round(0.7 * F.col("norm") + 0.3 * share, 6).alias("score")), limit, "score", "query_id")
 
 
 def like_channel(words: list[str], df: DataFrame, cap: int, content: str = "content") -> DataFrame:

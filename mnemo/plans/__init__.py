@@ -7,7 +7,7 @@ import os
 import sys
 from pathlib import Path
 
-MODULES = ["basics", "statistics", "search"]
+MODULES = ["basics", "statistics", "search", "extraction", "capture", "reads", "upkeep"]
 
 
 def load():

@@ -186,11 +186,11 @@ def fn_trigrams(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(tx.trigrams("text")).alias("n"))
 
 
-@query(f"AND w AS (SELECT item_id, list_distinct({WORDS.format(c='text', n=4)}) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id AND a.item_id < 5", "mem")
+@query(f"AND w AS (SELECT item_id, list_distinct({WORDS.format(c='text', n=4)}) AS w FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id", "mem")
 def fn_jaccard(spark, d):
     w = table(spark, d, "benchmark").select("item_id", tx.word_set("text", 4).alias("w"))
-    a = w.filter("item_id < 5").select(F.col("item_id").alias("a"), F.col("w").alias("aw"))  # five queries
-    j = w.join(F.broadcast(a), F.col("a") < F.col("item_id"))
+    a = w.select(F.col("item_id").alias("a"), F.col("w").alias("aw"), F.lit(0).alias("one"))
+    j = w.withColumn("one", F.lit(0)).join(a, "one").filter(F.col("a") < F.col("item_id"))  # a benchmark's items, few at any scale
     return j.select("a", F.col("item_id").alias("b"), F.round(tx.jaccard(F.col("aw"), F.col("w")), 6).alias("jaccard"))
 
 
@@ -265,10 +265,12 @@ def fn_staleness(spark, d):
     return mem(spark, d).select("node_id", F.round(sc.staleness(age_days("created_at", as_of()), F.col("priority"), dead), 6).alias("staleness"))
 
 
-@query("""SELECT item_id, round(CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, c))::DOUBLE / len(q) END, 6) AS overlap FROM (
-  SELECT item_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9_]{4,}')) AS q, list_distinct(regexp_extract_all(lower(substr(text, 40, 200)), '[a-z0-9_]{4,}')) AS c FROM benchmark)""")
+@query("""SELECT conv_id, turn, round(CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, c))::DOUBLE / len(q) END, 6) AS overlap FROM (
+  SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{4,}')) AS q, list_distinct(regexp_extract_all(lower(next), '[a-z0-9_]{4,}')) AS c FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL)""")
 def fn_lexical_overlap(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.round(tx.lexical_overlap(F.substring("text", 1, 60), F.substring("text", 40, 200)), 6).alias("overlap"))
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = table(spark, d, "conversations").withColumn("next", after).filter("next is not null")
+    return turns.select("conv_id", "turn", F.round(tx.lexical_overlap(F.col("text"), F.col("next")), 6).alias("overlap"))
 
 
 # Scores.
@@ -328,9 +330,9 @@ def jn_qrels(spark, d):
     return table(spark, d, "labels").join(en, "doc_id", "left").select("doc_id", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"), "lang")
 
 
-@query("AND r AS (SELECT o_orderkey AS q, o_orderdate AS a, o_orderdate + INTERVAL '2' DAY AS b FROM orders WHERE o_orderkey <= 40) SELECT q, count(*) AS n FROM r JOIN lineitem ON l_shipdate >= a AND l_shipdate < b GROUP BY q", "mem")
+@query("AND r AS (SELECT o_orderkey AS q, o_orderdate AS a, o_orderdate + INTERVAL '2' DAY AS b FROM orders) SELECT q, count(*) AS n FROM r JOIN lineitem ON l_shipdate >= a AND l_shipdate < b GROUP BY q", "mem")
 def jn_temporal_range(spark, d):
-    r = table(spark, d, "orders").filter("o_orderkey <= 40").select(F.col("o_orderkey").alias("q"), F.col("o_orderdate").alias("a"), (F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).alias("b"))
+    r = table(spark, d, "orders").select(F.col("o_orderkey").alias("q"), F.col("o_orderdate").alias("a"), (F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).alias("b"))
     # A range join by days: each range meets only the rows of the days that it touches.
     days = r.withColumn("day", F.explode(F.sequence(F.to_date("a"), F.to_date("b"))))
     li = table(spark, d, "lineitem").select("l_shipdate", F.to_date("l_shipdate").alias("day"))

@@ -65,12 +65,12 @@ def ret_entity(spark, d):
 
 
 COSINE = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
-KNN = f"n AS (SELECT q.vec_id AS query_id, e.vec_id AS node_id, {COSINE} AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 25 = 0 AND q.vec_id <> e.vec_id AND {COSINE} >= 0.1)"
+KNN = f"n AS (SELECT q.vec_id AS query_id, e.vec_id AS node_id, {COSINE} AS score FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id AND {COSINE} >= 0.1)"
 
 
 def knn(spark, d, k: int = 10):
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return rt.knn(q, e.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v")), k + 1).filter("query_id <> node_id").drop("rank")
 
 
@@ -93,13 +93,13 @@ def ret_cosine(spark, d):
 
 BM25 = """dl AS (SELECT node_id, list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda w: length(w) >= 3) AS w FROM docs),
 p AS (SELECT term, node_id, len, count(*) AS tf FROM (SELECT unnest(w) AS term, node_id, len(w) AS len FROM dl) GROUP BY ALL),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9_]+'), lambda w: length(w) >= 3))) AS term FROM benchmark),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: length(w) >= 3))) AS term FROM benchmark),
 s AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM dl), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 b AS (SELECT query_id, node_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))) AS bm25 FROM q JOIN p USING (term) JOIN df USING (term), s GROUP BY 1, 2)"""
 
 
 def benchmark_queries(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"AND {BM25} SELECT query_id, node_id, score AS bm25 FROM (SELECT query_id, node_id, round(bm25, 4) AS score FROM b) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 5", "docs")
@@ -108,16 +108,20 @@ def ret_bm25(spark, d):
     return rt.top(found, 5, "bm25", "query_id").select("query_id", "node_id", "bm25")
 
 
-@query(f"""AND {BM25}, r AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, node_id) <= 30),
+@query(f"""AND {BM25}, r AS (SELECT query_id, node_id, round(bm25, 6) AS bm25 FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, node_id) <= 30),
 x AS (SELECT r.query_id, r.node_id, 0.7::DOUBLE * CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN 0.1 + 0.9::DOUBLE * (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 1 END
   + 0.3::DOUBLE * len(list_intersect((SELECT list(term) FROM q WHERE q.query_id = r.query_id), dl.w)) / (SELECT count(*) FROM q WHERE q.query_id = r.query_id) AS score
   FROM r JOIN dl USING (node_id) WINDOW w AS (PARTITION BY r.query_id))
-SELECT query_id, node_id, round(score, 5) AS score FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 10""", "docs")
+SELECT query_id, node_id, round(score, 6) AS score FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, node_id) <= 10""", "docs")
 def ret_text_blend(spark, d):
-    return rt.text_channel(benchmark_queries(spark, d), docs(spark, d), 10).select("query_id", "node_id", F.round("score", 5).alias("score"))
+    return rt.text_channel(benchmark_queries(spark, d), docs(spark, d), 10).select("query_id", "node_id", "score")
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '`[^`]+`|^\".*\"$|[A-Za-z0-9_]+/[A-Za-z0-9_./]+|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*|[a-z0-9]+_[a-z0-9_]+|mem-[0-9a-f]{6,}|v?[0-9]+\\.[0-9]+\\.[0-9]+|https?://|[0-9a-f]{12,}') THEN 'navigational' WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])(what|when|who|where|which|how many)([^a-z0-9_]|$)') THEN 'factual' WHEN regexp_matches(lower(text), 'why|explain|concept|understand|overview|architecture|approach') THEN 'conceptual' ELSE 'none' END AS intent FROM conversations")
+EXACT = r"""contains(text, '`') OR regexp_matches(text, '/[a-zA-Z][\w/.]*|\b[A-Z][a-z]+[A-Z]\w*\b|\b[a-z]+_[a-z_]+\b|\bmem-[0-9a-f]{8,}\b|\bv?\d+\.\d+(?:\.\d+)?\b|https?://|\b[0-9a-f]{8,}\b')
+  OR (starts_with(trim(text), '"') AND ends_with(trim(text), '"') AND length(trim(text)) > 2)"""
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {EXACT} THEN 'navigational' WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])(what|when|who|where|which|how many)([^a-z0-9_]|$)') THEN 'factual' WHEN regexp_matches(lower(text), 'why|explain|concept|understand|overview|architecture|approach') THEN 'conceptual' ELSE 'none' END AS intent FROM conversations")
 def ret_intent(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.intent("text").alias("intent"))
 
@@ -187,11 +191,11 @@ def set_merge_subqueries(spark, d):
     return rt.merge_subqueries(m).withColumn("relevance", F.round("relevance", 6))
 
 
-@query("""AND sd AS (SELECT node_id, value / 100 AS s FROM mem WHERE user_id < 10), bb AS (SELECT a, b, max(least(w, 1.0)) AS w FROM (SELECT source_id AS a, target_id AS b, weight AS w FROM links UNION ALL SELECT target_id, source_id, weight FROM links) WHERE w >= 0.2 GROUP BY 1, 2),
+@query("""AND sd AS (SELECT node_id, value / 100 AS s FROM mem WHERE CAST(substr(node_id, 5) AS BIGINT) % 20 = 0), bb AS (SELECT a, b, max(least(w, 1.0)) AS w FROM (SELECT source_id AS a, target_id AS b, weight AS w FROM links UNION ALL SELECT target_id, source_id, weight FROM links) WHERE w >= 0.2 GROUP BY 1, 2),
 h1 AS (SELECT b AS node_id, max(s * 0.4::DOUBLE * w) AS s FROM sd JOIN bb ON a = sd.node_id GROUP BY 1), h2 AS (SELECT b AS node_id, max(s * 0.4::DOUBLE * w) AS s FROM h1 JOIN bb ON a = h1.node_id GROUP BY 1)
 SELECT node_id, round(max(s), 6) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) WHERE node_id NOT IN (SELECT node_id FROM sd) GROUP BY 1 HAVING max(s) >= 0.01""", "mem", "links")
 def sc_graph_expand(spark, d):
-    seeds = mem(spark, d).filter("user_id < 10").select(F.lit(0).alias("query_id"), "node_id", (F.col("value") / 100).alias("score"))
+    seeds = mem(spark, d).filter("cast(substr(node_id, 5) as bigint) % 20 = 0").select(F.lit(0).alias("query_id"), "node_id", (F.col("value") / 100).alias("score"))
     return rt.graph_expand(seeds, links(spark, d), least=0.01).select("node_id", F.round("score", 6).alias("score"))
 
 
@@ -207,15 +211,14 @@ def dd_canonical(spark, d):
     return dd.by_hash(docs(spark, d), F.sha2(tx.canonicalize("content"), 256)).select("hash", "n")
 
 
-SETS = "s AS (SELECT node_id, event_type, list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda w: length(w) >= 4)) AS w FROM docs WHERE length(content) < 3000)"
+SETS = "s AS (SELECT node_id, event_type, list_distinct(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda w: length(w) >= 4)) AS w FROM docs)"
 
 
 @query(f"""AND {SETS}, g AS (SELECT event_type, list_sort(w) AS w, min(node_id) AS rep FROM s WHERE len(w) > 0 GROUP BY 1, 2)
 SELECT a.event_type, a.rep AS a, b.rep AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM g a JOIN g b ON a.event_type = b.event_type AND a.rep < b.rep
 WHERE len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.7""", "docs")
 def jn_pairwise_similarity(spark, d):
-    m = docs(spark, d).filter(F.length("content") < 3000)
-    return dd.jaccard_pairs(m, 0.7).withColumn("jaccard", F.round("jaccard", 6))
+    return dd.jaccard_pairs(docs(spark, d), 0.7).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query()
@@ -229,26 +232,6 @@ def sup_mark(spark, d):
     return dd.mark_superseded(mem(spark, d), by).select("node_id", "status", "superseded_by", "valid_until")
 
 
-def pairs(spark, d):
-    m = mem(spark, d)
-    a, b = m.select(F.col("node_id").alias("source_id"), F.col("content").alias("old")), m.select(F.col("node_id").alias("target_id"), F.col("content").alias("new"))
-    return links(spark, d).join(a, "source_id").join(b, "target_id")
-
-
-W = "list_distinct(regexp_extract_all(lower({c}), '[a-z0-9_]+'))"
-
-
-@query(f"""AND p AS (SELECT source_id, target_id, weight, {W.format(c='a.content')} AS a, {W.format(c='b.content')} AS b, a.content AS old, b.content AS new FROM links JOIN mem a ON a.node_id = source_id JOIN mem b ON b.node_id = target_id),
-x AS (SELECT *, list_has_any(a, ['never']) AS na, list_has_any(b, ['never']) AS nb, len(list_intersect(list_filter(a, lambda w: length(w) > 3), b)) AS shared FROM p),
-y AS (SELECT *, CASE WHEN na <> nb THEN CASE WHEN shared >= 2 THEN 0.8 WHEN shared >= 1 THEN 0.5 ELSE 0 END ELSE 0 END AS neg,
-  CASE WHEN (list_contains(a, 'always') AND list_contains(b, 'never')) OR (list_contains(a, 'never') AND list_contains(b, 'always')) THEN CASE WHEN shared >= 2 THEN 0.9 ELSE 0.7 END ELSE 0 END AS ant,
-  CASE WHEN regexp_extract(lower(old), 'prefers? ([a-z0-9_]+)', 1) <> '' AND regexp_extract(lower(new), 'prefers? ([a-z0-9_]+)', 1) <> '' AND regexp_extract(lower(old), 'prefers? ([a-z0-9_]+)', 1) <> regexp_extract(lower(new), 'prefers? ([a-z0-9_]+)', 1) THEN 0.8 ELSE 0 END AS pref FROM x)
-SELECT source_id, target_id, round(least(1.0::DOUBLE, (0.35::DOUBLE * neg + 0.25::DOUBLE * ant + 0.25::DOUBLE * pref) * (0.5::DOUBLE + 0.5::DOUBLE * weight)), 6) AS confidence FROM y WHERE weight >= 0.3""", "mem", "links")
-def con_detect(spark, d):
-    p = pairs(spark, d).filter("weight >= 0.3")
-    return p.select("source_id", "target_id", F.round(dd.contradiction(F.col("old"), F.col("new"), F.col("weight")), 6).alias("confidence"))
-
-
 @query()
 def dd_evolve(spark, d):
     j = dd.jaccard_pairs(docs(spark, d), 0.65)
@@ -265,10 +248,10 @@ def gr_add_edge(spark, d):
     return gr.add_edges(e, new.union(e).union(new)).select("source_id", "target_id", "edge_type", "weight")
 
 
-@query("""AND e AS (SELECT source_id AS a, target_id AS b FROM links WHERE weight >= 0.6 UNION SELECT target_id, source_id FROM links WHERE weight >= 0.6), w AS (SELECT node_id AS start_id, node_id, 0 AS hop FROM mem WHERE user_id = 5
+@query("""AND e AS (SELECT source_id AS a, target_id AS b FROM links WHERE weight >= 0.6 UNION SELECT target_id, source_id FROM links WHERE weight >= 0.6), w AS (SELECT node_id AS start_id, node_id, 0 AS hop FROM mem WHERE CAST(substr(node_id, 5) AS BIGINT) % 20 = 0
 UNION SELECT start_id, b, hop + 1 FROM w JOIN e ON a = node_id WHERE hop < 4) SELECT start_id, node_id, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY 1, 2 HAVING min(hop) > 0""", "mem", "links")
 def gr_bfs(spark, d):
-    starts = mem(spark, d).filter("user_id = 5").select(F.col("node_id").alias("start_id"))
+    starts = mem(spark, d).filter("cast(substr(node_id, 5) as bigint) % 20 = 0").select(F.col("node_id").alias("start_id"))
     return gr.bfs(links(spark, d), starts, 4, 0.6)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,9 +29,9 @@ def agg_session_stats(spark, d):
     return ag.counts_by(mem(spark, d), "session_id")
 
 
-@query("SELECT session_id, event_type, count(*) AS n FROM mem WHERE user_id = 7 GROUP BY ALL", "mem")
+@query("SELECT session_id, event_type, count(*) AS n FROM mem GROUP BY ALL", "mem")
 def agg_session_event_counts(spark, d):
-    return ag.counts_by(mem(spark, d).filter("user_id = 7"), "session_id", "event_type")
+    return ag.counts_by(mem(spark, d), "session_id", "event_type")
 
 
 @query("SELECT count(*) AS memories, CAST(sum(access_count) AS BIGINT) AS accesses, min(created_at) AS oldest, count(DISTINCT session_id) AS sessions, (SELECT count(*) FROM links) AS edges FROM mem", "mem", "links")
@@ -285,9 +283,9 @@ def lc_prune_logs(spark, d):
     return lc.retained(log, "at", as_of(), 12).select("event_id")
 
 
-@query("SELECT event_type, reason, count(*) AS n FROM (SELECT DISTINCT content AS node_id, event_type, CASE WHEN k % 2 = 0 THEN 'lru_evicted' ELSE 'user_deleted' END AS reason FROM mem WHERE user_id < 20) GROUP BY ALL", "mem")
+@query("SELECT event_type, reason, count(*) AS n FROM (SELECT DISTINCT content AS node_id, event_type, CASE WHEN k % 2 = 0 THEN 'lru_evicted' ELSE 'user_deleted' END AS reason FROM mem) GROUP BY ALL", "mem")
 def lc_forgetting_view(spark, d):
-    m = mem(spark, d).filter("user_id < 20").withColumn("node_id", F.col("content"))
+    m = mem(spark, d).withColumn("node_id", F.col("content"))
     empty = lc.forgetting(m.limit(0), "x", as_of())
     log = lc.append_log(empty, lc.forgetting(m.filter("k % 2 = 0"), "lru_evicted", as_of()).union(lc.forgetting(m.filter("k % 2 <> 0"), "user_deleted", as_of())))
     return log.groupBy("event_type", "reason").agg(F.count("*").alias("n"))
@@ -414,13 +412,17 @@ def stream(spark, d):
 
 
 def _folder(spark, d: str) -> str:
-    """A folder of events alone: streams read folders, and tables may be single files."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="mnemo-")
-    path = f"{base}/events-{abs(hash(d))}-{spark.sparkContext.applicationId}"
-    table(spark, d, "events").write.mode("overwrite").parquet(path)
+    """A folder of events alone, written once a session: streams read folders, and tables may be single files."""
+    path = f"{io.shared_folder(spark)}/events-{abs(hash(d))}-{spark.sparkContext.applicationId}"
+    if path not in _copied:
+        table(spark, d, "events").write.mode("overwrite").parquet(path)
+        _copied.add(path)
     return path
 
 
+_copied: set[str] = set()
+
+
 def finished(s, name: str, mode: str = "append"):
     return streams.run_once(s, f"{name}_{abs(hash(name)) % 1000}", mode)
 

@@ -96,6 +96,16 @@ SELECT 'doc-' || lpad(CAST(doc_id AS STRING), 12, '0') AS node_id, doc_id, text
 FROM {documents}
 """
 
+# Turns that say something that rules can find, before the driver's invented words.
+TALK_SQL = """
+SELECT conv_id, turn, role, concat(CASE (conv_id + turn) % 9 WHEN 0 THEN 'I always use vim for config_file edits. '
+  WHEN 1 THEN 'I never use vim now, switched to HelixEdit. ' WHEN 2 THEN 'We decided to use `jwt_auth` on 2024-03-05 in New York. '
+  WHEN 3 THEN 'From now on enable dark mode. ' WHEN 4 THEN 'It turns out the API_KEY was not public: 45 GB lost. '
+  WHEN 5 THEN 'Disable light mode, no longer needed. ' WHEN 6 THEN 'Make sure to run tests.unit before mem-12ab34cd56. '
+  WHEN 7 THEN '# Resume: <b>fix</b> the "login page" of John Smith. ' ELSE '' END, text) AS text
+FROM {conversations}
+"""
+
 
 def mem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as memories."""
@@ -107,6 +117,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DOCS_SQL, documents=table(spark, sf_dir, "documents"))
 
 
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations, with phrases of every kind that rules look for."""
+    return spark.sql(TALK_SQL, conversations=table(spark, sf_dir, "conversations"))
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between each user's consecutive events within an hour: source_id, target_id, edge_type, weight, created_at."""
     from pyspark.sql.window import Window
@@ -124,6 +139,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEWS = {
     "mem": MEM_SQL.replace("{events}", "events"),
     "docs": DOCS_SQL.replace("{documents}", "documents"),
+    "talk": TALK_SQL.replace("{conversations}", "conversations"),
     "links": """
 SELECT source_id, node_id AS target_id, CASE WHEN before = event_type THEN 'evolution' ELSE 'temporal_cluster' END AS edge_type,
   round(1 / (1 + gap / 60), 3) AS weight, created_at

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemo import policy
 
 VERSION = "mnemo-1"
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; one of our own only where all runs in one process."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or _own.get(sc.applicationId)
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="mnemo-")
+    return base.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def export_json(df: DataFrame, path: str) -> None:
