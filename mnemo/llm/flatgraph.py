@@ -3,14 +3,15 @@
 Equal vectors form a class, kept once. Cluster centres, fitted on a bounded sample, deal every class to the shards of
 its nearest centres, so that shards overlap. Each shard builds a graph: nearest neighbours, pruned so that an edge is
 left out where another leads closer by a margin, with reverse edges. A class's adjacency lists are united over its
-shards. In each shard, a beam search from its medoid then looks for what lies near every member; what it finds in
-range, and what edges within a slightly wider range reach from there, is the member's region, and all cosines inside a
+shards. In each shard, a greedy search from its medoid then looks for what lies near every member, with a beam that
+grows with what is in range; what it finds there, and what edges within a slightly wider range reach from there, is the member's region, and all cosines inside a
 region are computed exactly in double precision. A pair that several shards hold is counted in the first of them.
 
 How many shards a class goes to is measured before the search: sampled vectors, each beside one made at exactly the
 threshold from it, have to share a shard at the target rate, whether or not the table has links. An audit then compares
 a bounded sample of vectors with all others by brute force, a larger one where few of them have links; while the linked
-ones' average recall is below the target, every class goes to more shards and the search is repeated.
+ones' average recall is below the target, every class goes to more shards and the search is repeated. The recall that the
+audit found in the end is a column of the result, null where no audited vector has a link.
 
 Links leave a shard only as counts and as local roots of its components; the global components are joined from those.
 A shard with more members than a task should hold is dealt to blocks, and each two blocks meet in a task of their own.
@@ -38,6 +39,8 @@ THRESHOLD, RECALL = 0.9, 0.98
 SHARD, SAMPLE, OVERLAP, BLOCK = 1500, 50_000, 3, 12_000
 #: Candidates and kept edges of a node, pruning margin, beam, nodes opened at a time, and how much wider regions are.
 CANDIDATES, DEGREE, ALPHA, BEAM, OPENED, SLACK = 40, 20, 1.2, 24, 4, 0.05
+#: Queries times nodes of a search at a time.
+ENTRIES = 4 << 20
 #: Audited vectors; as many as the second where fewer than LINKED of them have links.
 AUDITED, MOST_AUDITED, LINKED = 256, 4096, 64
 MEMBERS = "shard int, cid long, size long, shards binary, vec binary"
@@ -153,8 +156,8 @@ def shard_edges(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cid": ids[a[at]], "near": lists})
 
 
-def adjacency(ids: np.ndarray, lists: list) -> np.ndarray:
-    """United lists as rows of neighbours' positions, -1 where there are no more; ids outside the shard are dropped."""
+def adjacency(ids: np.ndarray, lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """United lists as neighbours' positions (all of them, by node) and where each node's begin; ids of other shards go."""
     order = np.argsort(ids)
     flat = [np.frombuffer(b"".join(x), np.int64) if x is not None else np.zeros(0, np.int64) for x in lists]
     owner = np.repeat(np.arange(len(ids)), [len(x) for x in flat])
@@ -162,15 +165,7 @@ def adjacency(ids: np.ndarray, lists: list) -> np.ndarray:
     at = np.minimum(np.searchsorted(ids[order], to), len(ids) - 1)
     hit = ids[order][at] == to
     pairs = np.unique(owner[hit] * len(ids) + order[at[hit]])
-    owner, to = pairs // len(ids), pairs % len(ids)
-    count = np.bincount(owner, minlength=len(ids))
-    # The rows of hubs would make the table wide; their further edges are walked from the other end.
-    width = int(min(count.max(initial=0), 4 * DEGREE))
-    place = np.arange(len(pairs)) - np.repeat(np.cumsum(count) - count, count)
-    out = np.full((len(ids), max(width, 1)), -1, np.int64)
-    fits = place < width
-    out[owner[fits], place[fits]] = to[fits]
-    return out
+    return pairs % len(ids), np.searchsorted(pairs // len(ids), np.arange(len(ids) + 1))
 
 
 def unite(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,40 +182,50 @@ def unite(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def beam_search(x: np.ndarray, near: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, found) in range: a beam from the medoid toward each row of x, the nearest unopened nodes first."""
+def cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x[a] times x[b], row by row."""
+    parts = [np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)]
+    return np.concatenate(parts) if parts else np.zeros(0, x.dtype)
+
+
+def places(rows: np.ndarray) -> np.ndarray:
+    """The place of each of ascending rows within its run."""
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    return np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+
+
+def range_search(x: np.ndarray, to: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, found) in range, for each row of x: a greedy search from the medoid, the nearest unopened nodes
+    first. A query's beam holds its BEAM nearest nodes and, however many, those in range; it ends when all are opened."""
     n = len(x)
-    medoid = int((x @ x.mean(0)).argmax())
-    hits = []
-    for i in range(0, n, 2048):
-        q = x[i : i + 2048]
-        m = len(q)
-        rows = np.arange(m)[:, None]
-        seen = np.zeros((m, n), bool)
-        seen[:, medoid] = True
-        node = np.full((m, BEAM), -1, np.int64)
-        sim = np.full((m, BEAM), -2.0, np.float32)
-        node[:, 0], sim[:, 0] = medoid, q @ x[medoid]
-        opened = node < 0
-        for _ in range(4 * BEAM):
-            order = np.argsort(np.where(opened, 3.0, -sim), axis=1, kind="stable")[:, :OPENED]
-            live = ~np.take_along_axis(opened, order, 1)
-            if not live.any():
-                break
-            np.put_along_axis(opened, order, True, 1)
-            to = np.where(live[:, :, None], near[np.take_along_axis(node, order, 1)], -1).reshape(m, -1)
-            fresh = (to >= 0) & ~seen[rows, to]
-            seen[np.broadcast_to(rows, to.shape)[fresh], to[fresh]] = True
-            r, c = np.nonzero(fresh)
-            s = np.full(to.shape, -2.0, np.float32)
-            s[r, c] = np.einsum("ij,ij->i", q[r], x[to[r, c]])
-            node, sim = np.concatenate([node, to], 1), np.concatenate([sim, s], 1)
-            opened = np.concatenate([opened, ~fresh], 1)
-            top = np.argpartition(-sim, BEAM - 1, axis=1)[:, :BEAM]
-            node, sim, opened = (np.take_along_axis(z, top, 1) for z in (node, sim, opened))
-        r, c = np.nonzero(sim >= threshold)
-        hits.append((r + i, node[r, c]))
-    return np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits])
+    medoid, degree = int((x @ x.mean(0)).argmax()), np.diff(first)
+    width = max(16, min(2048, ENTRIES // n))
+    hits = [np.zeros((2, 0), np.int64)]
+    for i in range(0, n, width):
+        m = min(width, n - i)
+        row, node = np.arange(m), np.full(m, medoid)
+        sim = cosines(x, row + i, node)
+        opened, seen = np.zeros(m, bool), np.zeros(m * n, bool)
+        seen[row * n + medoid] = True
+        while not opened.all():
+            # Entries are sorted by row, then by nearness, so the first unopened ones of a row are its nearest.
+            left = np.flatnonzero(~opened)
+            now = left[places(row[left]) < OPENED]
+            opened[now] = True
+            size = degree[node[now]]
+            reach = to[np.repeat(first[node[now]] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            key = np.unique(np.repeat(row[now], size) * n + reach)
+            key = key[~seen[key]]
+            seen[key] = True
+            r, v = key // n, key % n
+            s = cosines(x, r + i, v)
+            row, node, sim, opened = (np.concatenate(z) for z in ((row, r), (node, v), (sim, s), (opened, np.zeros(len(r), bool))))
+            order = np.lexsort((-sim, row))
+            order = order[(places(row[order]) < BEAM) | (sim[order] >= threshold)]
+            row, node, sim, opened = row[order], node[order], sim[order], opened[order]
+        found = sim >= threshold
+        hits.append(np.stack([row[found] + i, node[found]]))
+    return tuple(np.concatenate(hits, axis=1))
 
 
 def search_shard(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -231,12 +236,11 @@ def search_shard(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     shards = np.frombuffer(b"".join(pdf["shards"]), np.int32).reshape(len(ids), -1)
     exact = vectors_of(pdf)
     x = exact.astype(np.float32)
-    near = adjacency(ids, list(pdf["near"]))
+    to, first = adjacency(ids, list(pdf["near"]))
     wide = threshold - SLACK
-    a = np.repeat(np.arange(len(ids)), (near >= 0).sum(1))
-    b = near[near >= 0]
-    close = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]) >= wide
-    q, found = beam_search(x, near, wide)
+    a, b = np.repeat(np.arange(len(ids)), np.diff(first)), to
+    close = cosines(x, a, b) >= wide
+    q, found = range_search(x, to, first, wide)
     region = unite(len(ids), np.concatenate([a[close], q]), np.concatenate([b[close], found]))
     links, lefts, rights = np.zeros(len(ids), np.int64), [], []
     order = np.argsort(region, kind="stable")
@@ -340,7 +344,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("usable", F.coalesce(usable, F.lit(False)))
     rows = rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v"), "dim": F.size("v")})
     dim = rows.filter("usable").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    own = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    own = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("recall"))
     if dim is None:
         return own
     good = F.col("usable") & (F.col("dim") == dim["dim"])
@@ -358,7 +362,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         links = found.groupBy("cid").agg(F.sum("links").alias("links"))
         audited = spark.createDataFrame(list(truth.items()), "cid long, truth long")
         got = audited.join(links, "cid", "left").agg(F.avg(F.coalesce("links", F.lit(0)) / F.col("truth"))).first()[0]
-        if overlap >= k or got is None or got >= recall:
+        if overlap >= k or got is None or got >= recall:  # got: None without linked vectors
             break
         overlap = min(k, 2 * overlap)
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
@@ -373,5 +377,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        component.eqNullSafe(F.col("vec_id")).alias("kept"),
+        component.eqNullSafe(F.col("vec_id")).alias("kept"), F.lit(got).cast("double").alias("recall"),
     )

@@ -207,3 +207,18 @@ def test_stages_on_odd_tables(spark, tmp_path):
                 assert out.columns == docs.columns
             kept = out.count()
             assert kept == 0 if not made.count() else kept >= 1
+
+
+def test_range_search_takes_all_that_is_in_range():
+    """A blob much larger than the beam, and single pairs: on a whole graph every pair in range is found."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=16) + 0.05 * rng.normal(size=(3 * flatgraph.BEAM, 16)), rng.normal(size=(200, 16))])
+    x = np.concatenate([x, x[-30:] + 0.05 * rng.normal(size=(30, 16))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    a, b = flatgraph.build_graph(x)
+    ids = np.arange(len(x)) * 7
+    to, first = flatgraph.adjacency(ids, [[(ids[b[a == i]]).tobytes(), np.array([10**9]).tobytes()] for i in range(len(x))])
+    q, found = flatgraph.range_search(x, to, first, 0.9)
+    got = set(zip(q.tolist(), found.tolist()))
+    want = set(zip(*(z.tolist() for z in np.nonzero(x @ x.T >= 0.9))))
+    assert got <= want and len(got) >= 0.98 * len(want) and {p for p in want if max(p) < 3 * flatgraph.BEAM} <= got
