@@ -73,9 +73,14 @@ def found(s: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(s, F.lit(pattern), F.lit(group))
 
 
+def ascii_only(s: Column) -> Column:
+    """Other characters as one that is in no word, so that word boundaries are those of ASCII for every engine."""
+    return F.regexp_replace(s, r"[^\x00-\x7F]", "\u0001")
+
+
 def keywords(s: Column, most: int = 50) -> Column:
     """Names, dates, amounts and technical terms, each once whatever its case, in the order of kinds and places."""
-    every = F.concat(*(found(s, p) for p in (PROPER, DATE, AMOUNT, TECHNICAL)))
+    every = F.concat(*(found(ascii_only(s), p) for p in (PROPER, DATE, AMOUNT, TECHNICAL)))
     lower = F.transform(every, F.lower)
     first = F.slice(F.array_distinct(lower), 1, most)
     return F.array_join(F.transform(first, lambda w: F.element_at(every, F.array_position(lower, w).cast("int"))), " ")
@@ -84,10 +89,11 @@ def keywords(s: Column, most: int = 50) -> Column:
 def facts(s: Column, most: int = 20) -> Column:
     """Identifiers, quoted text, what was chosen, paths and compounds: sorted, without those of stop words only."""
     clean = lambda a: F.transform(a, lambda x: F.trim(F.lower(x)))
-    chosen = F.filter(F.transform(found(s, CHOSEN, 1), lambda x: F.regexp_replace(F.trim(x), r"\.+$", "")), lambda x: F.length(x) > 2)
-    dotted = F.filter(found(s, DOTTED, 1), lambda x: ~x.rlike(r"^\d+\.\d+"))
-    hyphened = F.filter(found(F.lower(s), HYPHENED, 1), lambda x: F.length(x) > 4)
-    every = F.concat(*(clean(x) for x in (found(s, CAMEL, 1), found(s, CONSTANT, 1), found(s, TICKED, 1), found(s, QUOTED, 1), chosen, dotted, hyphened)))
+    plain = ascii_only(s)
+    chosen = F.filter(F.transform(found(plain, CHOSEN, 1), lambda x: F.regexp_replace(F.trim(x), r"\.+$", "")), lambda x: F.length(x) > 2)
+    dotted = F.filter(found(plain, DOTTED, 1), lambda x: ~x.rlike(r"^\d+\.\d+"))
+    hyphened = F.filter(found(F.lower(plain), HYPHENED, 1), lambda x: F.length(x) > 4)
+    every = F.concat(*(clean(x) for x in (found(plain, CAMEL, 1), found(plain, CONSTANT, 1), found(s, TICKED, 1), found(s, QUOTED, 1), chosen, dotted, hyphened)))
     told = F.filter(F.array_distinct(every), lambda f: F.exists(F.split(f, r"\s+"), lambda w: ~w.isin(FACT_STOP) & (F.length(w) > 1)))
     return F.slice(F.array_sort(told), 1, most)
 
@@ -100,7 +106,7 @@ def sentences(s: Column, least: int = 15) -> Column:
 
 def density(s: Column) -> Column:
     words = F.filter(F.split(F.trim(s), r"\s+"), lambda w: F.length(w) > 3)
-    return F.size(F.array_distinct(F.transform(words, F.lower))) + 2.0 * F.size(found(s, CODE)) + 3.0 * F.least(F.length(s), F.lit(200)) / 200.0
+    return F.size(F.array_distinct(F.transform(words, F.lower))) + 2.0 * F.size(found(ascii_only(s), CODE)) + 3.0 * F.least(F.length(s), F.lit(200)) / 200.0
 
 
 def observation(s: Column) -> Column:

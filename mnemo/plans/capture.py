@@ -73,11 +73,11 @@ def con_temporal_marker(spark, d):
 
 
 @query(f"""AND p AS (SELECT source_id, target_id, weight, a.content AS old, b.content AS new FROM links JOIN mem a ON a.node_id = source_id JOIN mem b ON b.node_id = target_id WHERE weight >= 0.3), {signal_views('p')}
-SELECT source_id, target_id, round({CONFIDENCE.format(sim='weight')}, 6) AS confidence FROM sg""", "mem", "links")
+SELECT source_id, target_id, round({CONFIDENCE.format(sim='weight')} + 1e-9::DOUBLE, 5) AS confidence FROM sg""", "mem", "links")
 def con_detect(spark, d):
     m = mem(spark, d).select("node_id", "content")
     p = links(spark, d).filter("weight >= 0.3").join(m.toDF("source_id", "old"), "source_id").join(m.toDF("target_id", "new"), "target_id")
-    return p.select("source_id", "target_id", F.round(dd.contradiction(F.col("old"), F.col("new"), F.col("weight")), 6).alias("confidence"))
+    return p.select("source_id", "target_id", F.round(dd.contradiction(F.col("old"), F.col("new"), F.col("weight")) + 1e-9, 5).alias("confidence"))
 
 
 @query(f"AND {PAIRED}, {signal_views('pr')} SELECT conv_id, old_turn, turn, round({CONFIDENCE.format(sim='sim')}, 6) AS confidence FROM sg WHERE sim >= 0.02 AND {CONFIDENCE.format(sim='sim')} >= 0.2", "talk")
@@ -272,13 +272,13 @@ def jn_pref_inject(spark, d):
 
 @query("""AND q AS (SELECT conv_id, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z0-9_]{4,}')))) AS w FROM conversations WHERE role = 'user' GROUP BY 1),
 a AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{4,}')) AS w FROM conversations WHERE role <> 'user')
-SELECT a.conv_id, a.turn, round(len(list_intersect(a.w, q.w))::DOUBLE / len(a.w), 6) AS share FROM a JOIN q USING (conv_id) WHERE len(a.w) > 0 AND len(list_intersect(a.w, q.w)) >= 0.3 * len(a.w)""", "docs")
+SELECT a.conv_id, a.turn, round(len(list_intersect(a.w, q.w))::DOUBLE / len(a.w), 6) AS share FROM a JOIN q USING (conv_id) WHERE len(a.w) > 0 AND len(list_intersect(a.w, q.w)) >= 0.1::DOUBLE * len(a.w)""", "docs")
 def jn_query_log_content(spark, d):
-    """Answers whose words the conversation's questions had, three in ten or more."""
+    """Answers whose words the conversation's questions had, one in ten or more (words here are invented)."""
     c = table(spark, d, "conversations").withColumn("w", tx.word_set("text", 4))
     q = c.filter("role = 'user'").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("asked"))
     n = F.size(F.array_intersect("w", "asked"))
-    a = c.filter("role <> 'user'").join(q, "conv_id").filter((F.size("w") > 0) & (n >= 0.3 * F.size("w")))
+    a = c.filter("role <> 'user'").join(q, "conv_id").filter((F.size("w") > 0) & (n >= 0.1 * F.size("w")))
     return a.select("conv_id", "turn", F.round(n / F.size("w"), 6).alias("share"))
 
 
