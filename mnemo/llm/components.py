@@ -30,3 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
         if not new.filter("f <> was").limit(1).count():
             return new.select("id", F.col("f").alias("component"))
         state = new.select("id", "f")
+
+
+def least_values(roots: DataFrame, values: DataFrame, salts: int = 16) -> DataFrame:
+    """id, component and top (the least value of the component) for roots(id, component) and values(id, value).
+
+    A component may hold a third of all ids: its least value meets them in salted parts.
+    """
+    j = roots.join(values, "id")
+    tops = j.groupBy("component").agg(F.min("value").alias("top"))
+    spread = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = j.select("id", "component", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    return own.join(spread, ["component", "salt"]).select("id", "component", "top")

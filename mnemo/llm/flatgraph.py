@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm import scratch
-from mnemo.llm.components import components
+from mnemo.llm.components import components, least_values
 
 THRESHOLD, RECALL = 0.9, 0.98
 #: Classes for each centre, sampled vectors, least shards for each class, members of a task.
@@ -366,11 +366,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
             break
         overlap = min(k, 2 * overlap)
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    roots = roots.withColumnRenamed("id", "cid")
-    named = classes.select("cid", "least").join(roots, "cid").groupBy("component").agg(F.min("least").alias("id"))
+    named = least_values(roots, classes.select(F.col("cid").alias("id"), F.col("least").alias("value"))).withColumnRenamed("id", "cid")
     per_class = (
-        classes.select("k1", "k2", "cid", "least", "size").join(links, "cid", "left").join(roots, "cid", "left").join(named, "component", "left")
-        .select("k1", "k2", F.coalesce("id", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
+        classes.select("k1", "k2", "cid", "least", "size").join(links, "cid", "left").join(named, "cid", "left")
+        .select("k1", "k2", F.coalesce("top", "least").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
     )
     keys = rows.select("vec_id", F.when(good, F.col("k1")).alias("k1"), F.when(good, F.col("k2")).alias("k2"))
     out = keys.join(per_class, ["k1", "k2"], "left")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm import scratch, tokens
-from mnemo.llm.components import components
+from mnemo.llm.components import components, least_values
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 6, 0.995
@@ -293,10 +293,10 @@ def grouped(docs: DataFrame, n: int, threshold: float, recall: float, block: int
     found = work.groupBy("task").applyInPandas(lambda pdf: verify(pdf, n, threshold), "cid long, links long, root long")
     found = scratch.materialise(found, "found")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "cid")
-    tops = classes.select("cid", "least").join(roots, "cid").groupBy("component").agg(F.min("least").alias("top"))
+    roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    tops = least_values(roots, classes.select(F.col("cid").alias("id"), F.col("least").alias("value"))).withColumnRenamed("id", "cid")
     per_class = (
-        classes.select(*key, "cid", "least", "size").join(links, "cid", "left").join(roots, "cid", "left").join(tops, "component", "left")
+        classes.select(*key, "cid", "least", "size").join(links, "cid", "left").join(tops, "cid", "left")
         .select(*key, F.coalesce("top", "least").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     )
     return sketches.drop("sig").join(per_class, key, "left")

@@ -4,8 +4,8 @@ Dated list changes (an entry is added, later removed, perhaps added again) becom
 over the list. An entry names a host; it covers that host and every host below it. Hosts are matched once each, however
 many captures they have: the distinct hosts' suffixes meet the entries in an equi-join, each host keeps its intervals
 in time order, and a capture looks up its fetch time among its host's intervals. A host with a third of all captures
-therefore costs one row of matching, and the last join's hot key is on its large side only, which adaptive execution
-splits or a checked broadcast avoids.
+therefore costs one row of matching. In the last join, hosts with more than a thousandth of all captures, of which there
+are less than a thousand, are broadcast, and only the others' captures are shuffled by host.
 
 Defined cases: a null URL or one without a host, and a null fetch time match nothing and are not blocked; equal changes
 repeated count once; of changes to an entry at the same instant a removal wins; a change before any addition that
@@ -19,6 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemo.llm import scratch
+
+#: A host with more than one in so many captures is hot.
+HOT = 1000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -54,20 +58,27 @@ def intervals(changes: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """capture_id, host, fetched_at, n_active, entries (array, sorted), blocked for captures(capture_id, url, fetched_at)."""
     seen = captures.select("capture_id", host_of(F.col("url")).alias("host"), "fetched_at")
-    hosts = seen.filter("host is not null").select("host").distinct()
+    hosts = seen.filter("host is not null").groupBy("host").agg(F.count("*").alias("n"))
+    span = F.when(F.col("valid_from").isNotNull(), F.struct("valid_from", "valid_to", "entry", "category"))
     listed = (
         hosts.withColumn("entry", F.explode(suffixes(F.col("host"))))
-        .join(intervals(changes), "entry")
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_list(F.struct("valid_from", "valid_to", "entry", "category"))).alias("spans"))
+        .join(intervals(changes), "entry", "left")
+        .groupBy("host", "n")
+        .agg(F.sort_array(F.collect_list(span)).alias("spans"))
     )
+    listed = scratch.materialise(listed, "listed-hosts")
+    hot = listed.filter(F.col("n") * HOT > captures.count()).drop("n")  # less than HOT rows, listed or not
+    met = seen.join(F.broadcast(hot), "host")
+    rest = seen.filter("host is not null").join(F.broadcast(hot.select("host")), "host", "left_anti")
+    rest = rest.join(listed.filter(F.size("spans") > 0).drop("n"), "host", "left")
+    nowhere = seen.filter("host is null").withColumn("spans", F.lit(None).cast(listed.schema["spans"].dataType))
+    joined = met.unionByName(rest).unionByName(nowhere)
     active = F.filter(
         "spans",
         lambda s: (s["valid_from"] <= F.col("fetched_at")) & (s["valid_to"].isNull() | (F.col("fetched_at") < s["valid_to"])),
     )
     return (
-        seen.join(listed, "host", "left")
-        .withColumn("active", F.coalesce(active, F.array().cast("array<struct<valid_from:timestamp,valid_to:timestamp,entry:string,category:string>>")))
+        joined.withColumn("active", F.coalesce(active, F.array().cast("array<struct<valid_from:timestamp,valid_to:timestamp,entry:string,category:string>>")))
         .select(
             "capture_id", "host", "fetched_at",
             F.size("active").cast("long").alias("n_active"),
