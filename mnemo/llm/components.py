@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,17 @@ def least_values(roots: DataFrame, values: DataFrame, salts: int = 16) -> DataFr
     spread = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     own = j.select("id", "component", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
     return own.join(spread, ["component", "salt"]).select("id", "component", "top")
+
+
+def unite(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest position that the pairs (a, b) reach from each of n."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

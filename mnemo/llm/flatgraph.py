@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm import scratch
-from mnemo.llm.components import components, least_values
+from mnemo.llm.components import components, least_values, unite
 
 THRESHOLD, RECALL = 0.9, 0.98
 #: Classes for each centre, sampled vectors, least shards for each class, members of a task.
@@ -168,20 +168,6 @@ def adjacency(ids: np.ndarray, lists: list) -> tuple[np.ndarray, np.ndarray]:
     return pairs % len(ids), np.searchsorted(pairs // len(ids), np.arange(len(ids) + 1))
 
 
-def unite(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest position that the pairs (a, b) reach from each of n."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """x[a] times x[b], row by row."""
     parts = [np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)]

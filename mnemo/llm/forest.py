@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemo.llm import scratch, tokens
-from mnemo.llm.components import components, least_values
+from mnemo.llm.components import components, least_values, unite
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 6, 0.995
@@ -45,7 +45,7 @@ SHINGLES = 2_000_000
 #: Share of the signature in which a class agrees with a leader that stands for it, and with one that it is tied to.
 ALIKE, TIED = 0.75, 0.25
 #: Classes whose links, by signatures, measure recall; rows of trie nodes in a task.
-AUDITED, NODE_ROWS = 128, 20_000
+AUDITED, NODE_ROWS = 128, 60_000
 SKETCH = "row long, doc_id long, k1 long, k2 long, n long, sig binary, text string"
 _rng = np.random.Generator(np.random.PCG64(20240101))
 _MUL = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -207,12 +207,12 @@ def verify(pdf: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
 
 
 def tie(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Some trie nodes: pairs of a class and a leader that it is tied to. All nodes pick a leader at a time."""
+    """Some trie nodes: each class and the least one that ties connect it with here. All nodes pick a leader at a time."""
     pdf = pdf.sort_values(["node", "cid"], ignore_index=True)
-    cid, sig = pdf["cid"].to_numpy(np.int64), signatures(pa.array(pdf["sig"], pa.binary()))
+    sig = signatures(pa.array(pdf["sig"], pa.binary()))
+    ids, cid = np.unique(pdf["cid"].to_numpy(np.int64), return_inverse=True)
     run = np.cumsum(np.diff(pdf["node"].to_numpy(np.int64), prepend=pdf["node"].iloc[0]) != 0)
-    leader, stands = np.empty(run[-1] + 1, np.int64), np.zeros(len(cid), bool)
-    pairs = [np.zeros((2, 0), np.int64)]
+    leader, stands, root = np.empty(run[-1] + 1, np.int64), np.zeros(len(cid), bool), np.arange(len(ids))
     while not stands.all():
         left = np.flatnonzero(~stands)
         leader[:] = -1
@@ -223,9 +223,9 @@ def tie(pdf: pd.DataFrame) -> pd.DataFrame:
         like = np.concatenate([(sig[rows[i : i + 8192]] == sig[lead[i : i + 8192]]).mean(1) for i in range(0, len(rows), 8192)])
         stands[rows[like >= ALIKE]] = True
         tied = (like >= TIED) & (rows != lead)
-        pairs.append(np.stack([cid[rows[tied]], cid[lead[tied]]]))
-    a, b = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    return pd.DataFrame({"a": a, "b": b})
+        root = unite(len(ids), np.concatenate([np.arange(len(ids)), cid[rows[tied]]]), np.concatenate([root, cid[lead[tied]]]))
+    some = np.flatnonzero(root != np.arange(len(ids)))
+    return pd.DataFrame({"a": ids[some], "b": ids[root[some]]})
 
 
 def neighbourhoods(classes: DataFrame, depth: int, block: int) -> DataFrame:
@@ -287,8 +287,7 @@ def grouped(docs: DataFrame, n: int, threshold: float, recall: float, block: int
     classes = scratch.materialise(classes.withColumn("cid", F.col("least.row")), "classes")
     areas = neighbourhoods(classes, prefix_depth(threshold, recall, measured_recall(classes, threshold)), block)
     members = scratch.materialise(areas.join(classes.select("cid", "size", "n"), "cid"), "members")
-    # Written, so that the planner knows its size and shuffles the texts only if it is too large to broadcast.
-    dealt = scratch.materialise(deal(members, block, task, threshold), "dealt")
+    dealt = deal(members, block, task, threshold)
     work = dealt.join(sketches.select(F.col("row").alias("cid"), "text"), "cid")
     found = work.groupBy("task").applyInPandas(lambda pdf: verify(pdf, n, threshold), "cid long, links long, root long")
     found = scratch.materialise(found, "found")
