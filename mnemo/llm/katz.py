@@ -1,16 +1,22 @@
-"""A bigram language model with Katz backoff, trained and evaluated in bulk.
+"""A language model of n words with Katz backoff, trained, stored and evaluated in bulk.
 
-Good-Turing discounts (counts up to 5) at both orders. A word not seen after its context gets the context's left-over
-mass times its share of the lower order, by a weight that makes every context's probabilities sum to exactly one over
+Good-Turing discounts (counts up to 5) at every order. A word not seen after its context gets the context's left-over
+mass times its share of the next lower order, by a weight that makes every context's probabilities sum to exactly one over
 the vocabulary and one class of unknown words, which itself holds the unseen mass of the single words. Each text is
-framed by its end token: the first word's context is an end.
+framed by its end token: the first word's context is an end, and no context reaches further back. A token's probability
+is found order by order: of the words alone, then after one word, and so on; each order keeps the one below where it
+has not seen the word after the context.
 
-Texts are cut into chunks of whole texts. A chunk asks for what it needs once for each distinct word and word pair:
-requests go to buckets by word, a bucket counts what all chunks report and answers each in its own order. Training
-counts and questions travel in the same rows, so that a pair costs a few bytes in each chunk in which it occurs,
+Texts are cut into chunks of whole texts. A chunk asks for what it needs once for each distinct word and n-gram:
+requests go to buckets by context, a bucket counts what all chunks report and answers each in its own order. Training
+counts and questions travel in the same rows, so that an n-gram costs a few bytes in each chunk in which it occurs,
 however frequent it is. A context with more tokens than a bucket's share is spread over all buckets by its next words;
-there are at most as many such contexts as buckets, and only their sums come together. Counts and answers are written
-as tables partitioned by bucket; every later step starts from these.
+there are at most as many such contexts as buckets and order, and only their sums come together. An n-gram is known by
+its bucket and its number there, and so can be a context of the next order.
+
+The model is a folder of tables, a row for each bucket, partitioned by ranges of PART buckets: words, and for each order
+n from 2 grams-n (contexts, next words and counts, and what each chunk asked) and weights-n (contexts, denominators and
+backoff weights, but for spread contexts). See ``stored`` for reading it as plain rows.
 
 Defined cases: a null or empty text is one end token; a null doc_id counts as the empty text for the split; repeated
 rows count and are scored each; a table without training rows scores every token as unknown; an empty table gives no
@@ -19,7 +25,7 @@ rows; other columns are not read. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,11 +40,16 @@ DISCOUNTED = 5
 CHUNK_BYTES = 10 << 20
 BUCKET_BYTES = 6 << 20
 RANK_BITS = 26
-TEXTS, WORDS, WORD_ANSWERS, PAIR_ANSWERS, HOT, STATS = range(6)
+PART = 64
+#: Kinds of messages: a chunk's texts; questions; answers of order 1, 2 and so on are ANSWERS + order.
+TEXTS, QUESTIONS, ANSWERS = range(3)
 CHUNKS = "chunk long, kind int, bucket int, blob binary"
-_COUNTS = ", ".join(f"n{r} long" for r in range(1, DISCOUNTED + 2))
-ANSWERS = f"{CHUNKS}, word long, low double, total long, types long, {_COUNTS}"
-NAMES = [x.split()[0] for x in ANSWERS.split(", ")]
+STATS = ["total", "types", *(f"n{r}" for r in range(1, DISCOUNTED + 2))]
+_STATS = ", ".join(f"{x} long" for x in STATS)
+WORD_ROWS = f"{CHUNKS}, keys binary, {_STATS}"
+SUMS = f"spread array<struct<context: long, total: long, low: double, {', '.join(f'n{r}: long' for r in range(1, DISCOUNTED + 1))}>>"
+GRAM_ROWS = f"bucket int, contexts binary, grams binary, asked binary, chunks array<long>, {_STATS}, {SUMS}"
+WEIGHT_ROWS = "bucket int, weights binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -99,7 +110,7 @@ def cut(batches: Iterator[pa.RecordBatch], buckets: int, chunk_bytes: int) -> It
         counts = np.bincount(local[train], minlength=len(keys))
         rows = [(number, TEXTS, -1, pack(narrow(local), narrow(lens), ids, known_id, held_out))]
         for b, i, j in runs(bucket_of(keys, buckets)):
-            rows.append((number, WORDS, b, pack(np.diff(keys[i:j], prepend=np.uint64(0)), narrow(counts[i:j]))))
+            rows.append((number, QUESTIONS, b, pack(np.diff(keys[i:j], prepend=np.uint64(0)), narrow(counts[i:j]))))
         n = ["chunk", "kind", "bucket", "blob"]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], n)
@@ -121,14 +132,9 @@ def cut(batches: Iterator[pa.RecordBatch], buckets: int, chunk_bytes: int) -> It
         yield chunk()
 
 
-def frame(**columns) -> pd.DataFrame:
-    """Columns of ANSWERS; those not given are null."""
-    n = len(next(iter(columns.values())))
-    return pd.DataFrame({x: columns.get(x, [None] * n) for x in NAMES})
-
-
 def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: number its words, count them over all chunks, and answer each chunk in its order."""
+    """One bucket: number its words, count them over all chunks, and answer each chunk in its order. The bucket's own
+    row has chunk null: its words' hashes (keys) and counts (blob)."""
     parts = [unpack(x) for x in pdf["blob"]]
     keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     uniq, inverse = np.unique(keys, return_inverse=True)
@@ -137,15 +143,26 @@ def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
     counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]).astype(float), len(uniq)).astype(np.int64)
     at = np.cumsum([0, *(len(p[0]) for p in parts)])
     blobs = [pack(narrow(inverse[i:j]), narrow(counts[inverse[i:j]])) for i, j in zip(at[:-1], at[1:], strict=True)]
-    bucket = int(pdf["bucket"].iloc[0])
-    answers = frame(chunk=pdf["chunk"].tolist(), kind=[WORD_ANSWERS] * len(blobs), bucket=[bucket] * len(blobs), blob=blobs)
-    return pd.concat([answers, statistics(bucket, counts)])
+    out = pd.DataFrame({"chunk": [*pdf["chunk"], None], "kind": ANSWERS + 1, "bucket": pdf["bucket"].iloc[0], "blob": [*blobs, pack(narrow(counts))]})
+    out["chunk"] = out["chunk"].astype("Int64")
+    out["keys"] = [*([None] * len(blobs)), pack(steps(uniq))]
+    for name, n in statistics(counts).items():
+        out[name] = pd.array([*([None] * len(blobs)), n], "Int64")
+    return out
 
 
-def statistics(bucket: int, counts: np.ndarray) -> pd.DataFrame:
+def statistics(counts: np.ndarray) -> dict[str, int]:
     some = np.bincount(np.minimum(counts, DISCOUNTED + 2), minlength=DISCOUNTED + 3)
-    return frame(kind=[STATS], bucket=[bucket], total=[int(counts.sum())], types=[int((counts > 0).sum())],
-                 **{f"n{r}": [int(some[r])] for r in range(1, DISCOUNTED + 2)})
+    return dict(zip(STATS, [int(counts.sum()), int((counts > 0).sum()), *some[1 : DISCOUNTED + 2].tolist()], strict=True))
+
+
+def steps(ids: np.ndarray) -> np.ndarray:
+    """Differences of ids, modulo 2^64; np.cumsum undoes it."""
+    return np.diff(ids.astype(np.uint64), prepend=np.uint64(0))
+
+
+def from_steps(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a.astype(np.uint64), dtype=np.uint64)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -183,73 +200,121 @@ class LowerOrder:
 
 
 class Chunk:
-    """A chunk's texts and word answers: its word pairs, distinct and in the order in which buckets see them."""
+    """A chunk's texts with the n-grams of the highest order answered: for each token its n-gram (at), and for each
+    distinct n-gram its id, training count and probability."""
 
-    def __init__(self, pdf: pd.DataFrame, buckets: int, total: int):
+    def __init__(self, pdf: pd.DataFrame, buckets: int, lower: LowerOrder, factors: list[np.ndarray]):
+        self.buckets, self.lower = buckets, lower
         local, lens, self.ids, self.known_id, self.held_out = unpack(pdf["blob"][pdf["kind"] == TEXTS].iloc[0])
-        self.local, self.lens = local.astype(np.int64), lens.astype(np.int64)
-        answers = pdf[pdf["kind"] == WORD_ANSWERS].sort_values("bucket")
-        parts = [unpack(x) for x in answers["blob"]]
-        home = np.repeat(answers["bucket"].to_numpy(np.int64), [len(p[0]) for p in parts])
-        self.word = (home << RANK_BITS) | np.concatenate([p[0] for p in parts]).astype(np.int64)
-        self.count = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        # The local number of the end token: the last of the first text.
-        before = np.empty_like(self.local)
-        before[1:] = self.local[:-1]
-        before[0] = self.local[self.lens[0] - 1]
+        self.lens = lens.astype(np.int64)
+        self.train = np.repeat(~self.held_out, self.lens)
+        self.place = np.arange(len(local)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        self.local = self.at = local.astype(np.int64)
+        home, parts = self.answers(pdf, 1)
+        self.word = self.id = (np.repeat(home, [len(p[0]) for p in parts]) << RANK_BITS) | np.concatenate([p[0] for p in parts]).astype(np.int64)
+        self.word_count = self.count = np.concatenate([p[1] for p in parts]).astype(np.int64)
+        self.probability = lower(self.count)
+        self.token_probability = self.probability[self.local]
+        self.order = 1
+        for factor in factors:
+            self.look()
+            self.learn(self.answers(pdf, self.order + 1)[1], factor)
+
+    @staticmethod
+    def answers(pdf: pd.DataFrame, order: int) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+        some = pdf[pdf["kind"] == ANSWERS + order].sort_values("bucket")
+        return some["bucket"].to_numpy(np.int64), [unpack(x) for x in some["blob"]]
+
+    def look(self) -> None:
+        """The distinct n-grams of the next order, as contexts (n-grams of this order) and next words, by buckets."""
+        self.deep = np.flatnonzero(self.place >= self.order - 1)
+        before = self.at[self.deep - 1]
+        if self.order == 1:  # the end token; it is the last of the first text
+            before[0] = self.local[self.lens[0] - 1]
         words = len(self.word)
-        pairs, self.pair = np.unique(before * words + self.local, return_inverse=True)
-        self.context, self.next = pairs // words, pairs % words
-        spread = self.count > total // buckets
-        bucket = home[self.context]
-        hot = spread[self.context]
-        bucket[hot] = (tokens.mix(self.word[self.next[hot]].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.bucket, self.spread = bucket[self.order], spread
-
-
-def ask_pairs(pdf: pd.DataFrame, buckets: int, total: int) -> pd.DataFrame:
-    c = Chunk(pdf, buckets, total)
-    train = np.repeat(~c.held_out, c.lens)
-    counts = np.bincount(c.pair[train], minlength=len(c.context))[c.order]
-    context, following = c.context[c.order], c.next[c.order]
-    rows = []
-    for b, i, j in runs(c.bucket):
-        heads, sizes = np.unique(context[i:j], return_counts=True)
-        w = following[i:j]
-        rows.append((b, pack(c.word[heads], c.spread[heads], narrow(sizes), narrow(c.word[w]), narrow(c.count[w]), narrow(counts[i:j]))))
-    return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])] * len(rows), "kind": [WORDS] * len(rows), "bucket": [r[0] for r in rows], "blob": [r[1] for r in rows]})
-
-
-def count_pairs(pdf: pd.DataFrame, lower: LowerOrder) -> pd.DataFrame:
-    """One bucket: counts of its pairs over all chunks, sums of its contexts, and each chunk's answer."""
+        grams, self.first, self.new_at = np.unique(before * words + self.local[self.deep], return_index=True, return_inverse=True)
+        self.context, self.next = grams // words, grams % words
+        self.spread = self.count > self.lower.total // self.buckets
+        bucket = self.id[self.context] >> RANK_BITS
+        hot = self.spread[self.context]
+        bucket[hot] = (tokens.mix(self.word[self.next[hot]].astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+        self.by_bucket = np.argsort(bucket, kind="stable")
+        self.ranges = list(runs(bucket[self.by_bucket]))
+
+    def ask(self) -> list[tuple[int, bytes]]:
+        """For each bucket: contexts, whether they are spread, and their numbers of next words; words; what gives the lower
+        order's probability (counts of the words, or a probability for each n-gram); next words and training counts."""
+        counts = np.bincount(self.new_at[self.train[self.deep]], minlength=len(self.context))
+        out = []
+        for b, i, j in self.ranges:
+            some = self.by_bucket[i:j]
+            heads, sizes = np.unique(self.context[some], return_counts=True)
+            words, index = np.unique(self.next[some], return_inverse=True)
+            low = narrow(self.word_count[words]) if self.order == 1 else self.token_probability[self.deep[self.first[some]]]
+            out.append((b, pack(steps(self.id[heads]), self.spread[heads], narrow(sizes), steps(self.word[words]), low, narrow(index), narrow(counts[some]))))
+        return out
+
+    def learn(self, parts: list[list[np.ndarray]], factor: np.ndarray) -> None:
+        """Go up an order by the buckets' answers: ranks and counts of n-grams, denominators and weights of contexts."""
+        n = len(self.context)
+        ids, counts, size, weight = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n), np.empty(n)
+        for (b, i, j), (ranks, found, sizes, weights) in zip(self.ranges, parts, strict=True):
+            some = self.by_bucket[i:j]
+            _, head = np.unique(self.context[some], return_inverse=True)
+            ids[some], counts[some] = (b << RANK_BITS) | from_steps(ranks).astype(np.int64), found
+            size[some], weight[some] = sizes[head], weights[head]
+        low = self.token_probability[self.deep[self.first]]
+        seen = factor[np.minimum(counts, DISCOUNTED + 1)] * counts / np.maximum(size, 1)
+        self.id, self.count, self.probability = ids, counts, np.where(counts > 0, seen, weight * low)
+        self.at = np.full(len(self.local), -1)
+        self.at[self.deep] = self.new_at
+        self.token_probability[self.deep] = self.probability[self.new_at]
+        self.order += 1
+
+
+def ask(pdf: pd.DataFrame, buckets: int, lower: LowerOrder, factors: list[np.ndarray]) -> pd.DataFrame:
+    c = Chunk(pdf, buckets, lower, factors)
+    c.look()
+    rows = [(int(pdf["chunk"].iloc[0]), QUESTIONS, b, blob) for b, blob in c.ask()]
+    return pd.DataFrame(rows, columns=["chunk", "kind", "bucket", "blob"])
+
+
+def asking(buckets: int, lower: LowerOrder, factors: list[np.ndarray]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: ask(pdf, buckets, lower, factors)
+
+
+def count_grams(pdf: pd.DataFrame, lower: LowerOrder) -> pd.DataFrame:
+    """One bucket's row: its n-grams and their counts over all chunks, sums of its contexts, and each chunk's questions."""
     parts = [unpack(x) for x in pdf["blob"]]
-    heads = [p[0] for p in parts]
-    all_heads, head_at = np.unique(np.concatenate(heads), return_inverse=True)
-    split = np.cumsum([0, *map(len, heads)])
-    head = np.concatenate([np.repeat(head_at[i:j], p[2]) for p, i, j in zip(parts, split[:-1], split[1:], strict=True)])
-    _, word = np.unique(np.concatenate([p[3].astype(np.uint64) for p in parts]), return_inverse=True)
-    uniq, first, inverse = np.unique((head << 32) | word, return_index=True, return_inverse=True)
-    counts = np.bincount(inverse, np.concatenate([p[5] for p in parts]).astype(float), len(uniq)).astype(np.int64)
-    own = head[first]
-    low = lower(np.concatenate([p[4] for p in parts])[first].astype(np.int64))
+    contexts, context_at = np.unique(np.concatenate([from_steps(p[0]) for p in parts]), return_inverse=True)
+    words, word_at = np.unique(np.concatenate([from_steps(p[3]) for p in parts]), return_inverse=True)
+    c_at, w_at, g_at = (np.cumsum([0, *(len(p[k]) for p in parts)]) for k in (0, 3, 5))
+    own = np.concatenate([np.repeat(context_at[i:j], p[2]) for p, i, j in zip(parts, c_at[:-1], c_at[1:], strict=True)])
+    word = np.concatenate([word_at[i:j][p[5]] for p, i, j in zip(parts, w_at[:-1], w_at[1:], strict=True)])
+    low = np.concatenate([lower(p[4].astype(np.int64))[p[5]] if p[4].dtype.kind == "u" else p[4] for p in parts])
+    uniq, first, inverse = np.unique((own << 32) | word, return_index=True, return_inverse=True)
+    if len(uniq) >= 1 << RANK_BITS:
+        raise ValueError("too many n-grams in a bucket: use smaller buckets")
+    counts = np.bincount(inverse, np.concatenate([p[6] for p in parts]).astype(float), len(uniq)).astype(np.int64)
+    own, low, n = own[first], low[first], len(contexts)
     seen = counts > 0
-    n = len(all_heads)
     sums = [np.bincount(own, counts, n).astype(np.int64), np.bincount(own[seen], low[seen], n)]
     sums += [np.bincount(own[counts == r], minlength=n) for r in range(1, DISCOUNTED + 1)]
-    at = np.cumsum([0, *(len(p[3]) for p in parts)])
-    blobs = [
-        pack(narrow(counts[inverse[i:j]]), sums[1][h := head_at[k:m]], *(narrow(s[h]) for s in (sums[0], *sums[2:])))
-        for i, j, k, m in zip(at[:-1], at[1:], split[:-1], split[1:], strict=True)
+    hot = np.zeros(n, bool)
+    hot[context_at[np.concatenate([p[1] for p in parts]).astype(bool)]] = True
+    asked = [
+        x
+        for i, j, k, m in zip(c_at[:-1], c_at[1:], g_at[:-1], g_at[1:], strict=True)
+        for x in (narrow(context_at[i:j]), steps(inverse[k:m]))
     ]
-    bucket = int(pdf["bucket"].iloc[0])
-    out = [frame(chunk=pdf["chunk"].tolist(), kind=[PAIR_ANSWERS] * len(blobs), bucket=[bucket] * len(blobs), blob=blobs)]
-    out.append(statistics(bucket, counts))
-    hot = np.unique(head_at[np.concatenate([p[1] for p in parts])])
-    if len(hot):
-        out.append(frame(kind=[HOT] * len(hot), bucket=[bucket] * len(hot), word=all_heads[hot].tolist(), total=sums[0][hot].tolist(),
-                         low=sums[1][hot].tolist(), **{f"n{r}": sums[r + 1][hot].tolist() for r in range(1, DISCOUNTED + 1)}))
-    return pd.concat(out)
+    names = ["context", "total", "low", *(f"n{r}" for r in range(1, DISCOUNTED + 1))]
+    spread = [dict(zip(names, x, strict=True)) for x in zip(*(a[hot].tolist() for a in (contexts.astype(np.int64), *sums)), strict=True)]
+    row = {
+        "bucket": int(pdf["bucket"].iloc[0]), "contexts": pack(steps(contexts), hot, narrow(sums[0]), sums[1], *map(narrow, sums[2:])),
+        "grams": pack(narrow(np.bincount(own, minlength=n)), steps(words), narrow(uniq & 0xFFFFFFFF), narrow(counts)),
+        "asked": pack(*asked), "chunks": pdf["chunk"].tolist(), **statistics(counts), "spread": spread,
+    }
+    return pd.DataFrame([row])
 
 
 def backoff(total: np.ndarray, low: np.ndarray, singles: list[np.ndarray], factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,44 +325,96 @@ def backoff(total: np.ndarray, low: np.ndarray, singles: list[np.ndarray], facto
     return size, np.where(total > 0, left / size / np.maximum(1 - low, 1e-300), 1.0)
 
 
-def score_chunk(pdf: pd.DataFrame, buckets: int, lower: LowerOrder, factor: np.ndarray, hot: dict[int, tuple]) -> pd.DataFrame:
-    c = Chunk(pdf, buckets, lower.total)
-    answers = pdf[pdf["kind"] == PAIR_ANSWERS].sort_values("bucket")
-    parts = [unpack(x) for x in answers["blob"]]
-    context = c.context[c.order]
-    sums = [np.zeros(len(c.word)) for _ in range(DISCOUNTED + 2)]
-    for (_, i, j), p in zip(runs(c.bucket), parts, strict=True):
-        heads = np.unique(context[i:j])
-        for s, x in zip(sums, [p[2], p[1], *p[3:]], strict=True):
-            s[heads] = x
-    for k in np.flatnonzero(c.spread):
-        if found := hot.get(int(c.word[k])):
-            for s, x in zip(sums, found, strict=True):
-                s[k] = x
-    counts = np.empty(len(c.context), np.int64)
-    counts[c.order] = np.concatenate([p[0] for p in parts])
-    size, weight = backoff(sums[0], sums[1], sums[2:], factor)
-    seen = factor[np.minimum(counts, DISCOUNTED + 1)] * counts / np.maximum(size[c.context], 1)
-    p = np.where(counts > 0, seen, weight[c.context] * lower(c.count)[c.next])
+def weigh(contexts: bytes, factor: np.ndarray, spread: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's contexts, which are spread, and all their denominators and weights, by the sums over all buckets."""
+    steps_of, hot, *sums = unpack(contexts)
+    ids, sums = from_steps(steps_of).astype(np.int64), [x.astype(float) for x in sums]
+    for k in np.flatnonzero(hot):
+        for s, x in zip(sums, spread[int(ids[k])], strict=True):
+            s[k] = x
+    return ids, hot.astype(bool), *backoff(sums[0], sums[1], sums[2:], factor)
+
+
+def weights(batches: Iterator[pa.RecordBatch], factor: np.ndarray, spread: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket: contexts that are its own, denominators and backoff weights."""
+    for batch in batches:
+        blobs = []
+        for x in batch.column("contexts"):
+            ids, hot, size, weight = weigh(x.as_py(), factor, spread)
+            blobs.append(pack(steps(ids[~hot]), size[~hot], weight[~hot]))
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(blobs, pa.binary())], ["bucket", "weights"])
+
+
+def answer(batches: Iterator[pa.RecordBatch], order: int, factor: np.ndarray, spread: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's answers, in its order: ranks and counts of its n-grams, denominators and weights of its contexts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            bucket, contexts, grams, asked, chunks = (batch.column(x)[i].as_py() for x in ("bucket", "contexts", "grams", "asked", "chunks"))
+            _, _, size, weight = weigh(contexts, factor, spread)
+            counts, questions = unpack(grams)[3], unpack(asked)
+            blobs = []
+            for heads, ranks in zip(questions[::2], questions[1::2], strict=True):
+                blobs.append(pack(ranks, counts[from_steps(ranks).astype(np.int64)], size[heads], weight[heads]))
+            n = len(chunks)
+            columns = [pa.array(chunks, pa.int64()), pa.array([ANSWERS + order] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "kind", "bucket", "blob"])
+
+
+def score_chunk(pdf: pd.DataFrame, buckets: int, lower: LowerOrder, factors: list[np.ndarray]) -> pd.DataFrame:
+    c = Chunk(pdf, buckets, lower, factors)
     first = np.cumsum(c.lens) - c.lens
     return pd.DataFrame({
         "doc_id": pd.Series(c.ids, dtype="Int64").mask(~c.known_id),
         "held_out": c.held_out, "n_tokens": c.lens,
-        "n_known": np.add.reduceat((c.count > 0)[c.local].astype(np.int64), first), "train_tokens": lower.total,
-        "base_score": np.add.reduceat(lower.base(c.count)[c.local], first),
-        "score": np.add.reduceat(np.log10(p)[c.pair], first),
+        "n_known": np.add.reduceat((c.word_count > 0)[c.local].astype(np.int64), first), "train_tokens": lower.total,
+        "base_score": np.add.reduceat(lower.base(c.word_count)[c.local], first),
+        "score": np.add.reduceat(np.log10(c.token_probability), first),
     })
 
 
-def totals(answers: DataFrame) -> dict:
-    row = answers.filter(F.col("kind") == STATS).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in NAMES[6:])).first()
-    return row.asDict()
+def totals(rows: DataFrame) -> dict:
+    return rows.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in STATS)).first().asDict()
+
+
+def numbers(t: dict) -> list[int]:
+    return [t[f"n{r}"] for r in range(1, DISCOUNTED + 2)]
+
+
+def keep(df: DataFrame, path: str) -> DataFrame:
+    """Write a table of the model, partitioned by ranges of buckets, and read it back."""
+    df.withColumn("part", F.floor(F.col("bucket") / PART).cast("int")).write.option("compression", "zstd").partitionBy("part").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def stored(spark, path: str, order: int) -> DataFrame:
+    """The stored n-grams of an order as rows: context and word (ids: bucket and number there), count in training and,
+    for contexts that aren't spread, the context's denominator and backoff weight."""
 
-def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Scores of docs(doc_id, text) by a model of those whose crc32(doc_id) modulo 10 isn't 0; see SCORES."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                heads, grams, own = (unpack(batch.column(x)[i].as_py()) for x in ("contexts", "grams", "weights"))
+                ids, sizes, words = from_steps(heads[0]).astype(np.int64), grams[0], from_steps(grams[1]).astype(np.int64)
+                size, weight = np.full((2, len(ids)), np.nan)
+                size[~heads[1].astype(bool)], weight[~heads[1].astype(bool)] = own[1], own[2]
+                at = np.repeat(np.arange(len(ids)), sizes)
+                out = [ids[at], words[grams[2]], grams[3].astype(np.int64), size[at], weight[at]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, out)], ["context", "word", "count", "size", "weight"])
+
+    scratch.ship_code(spark)
+    both = spark.read.parquet(f"{path}/grams-{order}").join(spark.read.parquet(f"{path}/weights-{order}"), ["part", "bucket"])
+    return both.select("contexts", "grams", "weights").mapInArrow(rows, "context long, word long, count long, size double, weight double")
+
+
+def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, chunk_bytes: int = CHUNK_BYTES, order: int = 2, store: str | None = None) -> DataFrame:
+    """Scores of docs(doc_id, text) by a model of those whose crc32(doc_id) modulo 10 isn't 0; see SCORES.
+
+    The model has contexts of up to order - 1 words and is stored in the folder ``store`` (new; by default in scratch
+    space). Each order writes, sends and reads about as much as the second.
+    """
     spark = docs.sparkSession
     scratch.ship_code(spark)
+    store = store or scratch.scratch_path(spark, "lm-model")
     buckets = scratch.bucket_count(docs, "text", bucket_bytes, 8)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -305,19 +422,22 @@ def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, chunk_bytes: int =
         (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"),
     )
     chunks = scratch.materialise(rows.mapInArrow(lambda b: cut(b, buckets, chunk_bytes), CHUNKS), "lm-chunks")
-    words = scratch.materialise(chunks.filter(F.col("kind") == WORDS).groupBy("bucket").applyInPandas(count_words, ANSWERS), "lm-words")
+    words = keep(chunks.filter(F.col("kind") == QUESTIONS).groupBy("bucket").applyInPandas(count_words, WORD_ROWS), f"{store}/words")
     t = totals(words)
-    lower = LowerOrder(t["total"], t["types"], [t[f"n{r}"] for r in range(1, DISCOUNTED + 2)])
-    own = chunks.filter(F.col("kind") == TEXTS).unionByName(words.filter(F.col("kind") == WORD_ANSWERS).select(*chunks.columns))
-    asked = own.groupBy("chunk").applyInPandas(lambda pdf: ask_pairs(pdf, buckets, lower.total), CHUNKS)
-    pairs = scratch.materialise(asked.groupBy("bucket").applyInPandas(lambda pdf: count_pairs(pdf, lower), ANSWERS), "lm-pairs")
-    t = totals(pairs)
-    factor = discounts([t[f"n{r}"] for r in range(1, DISCOUNTED + 2)])
-    # At most one context for each bucket is this frequent; their sums are a few numbers each.
-    sums = ["total", "low", *(f"n{r}" for r in range(1, DISCOUNTED + 1))]
-    hot = {
-        r["word"]: tuple(r[x] for x in sums)
-        for r in pairs.filter(F.col("kind") == HOT).groupBy("word").agg(*(F.sum(x).alias(x) for x in sums)).collect()
-    }
-    answered = own.unionByName(pairs.filter(F.col("kind") == PAIR_ANSWERS).select(*chunks.columns))
-    return answered.groupBy("chunk").applyInPandas(lambda pdf: score_chunk(pdf, buckets, lower, factor, hot), SCORES)
+    lower = LowerOrder(t["total"], t["types"], numbers(t))
+    known = chunks.filter(F.col("kind") == TEXTS).unionByName(words.filter(F.col("chunk").isNotNull()).select(*chunks.columns))
+    factors: list[np.ndarray] = []
+    for n in range(2, order + 1):
+        questions = known.groupBy("chunk").applyInPandas(asking(buckets, lower, list(factors)), CHUNKS)
+        grams = keep(questions.groupBy("bucket").applyInPandas(lambda pdf: count_grams(pdf, lower), GRAM_ROWS), f"{store}/grams-{n}")
+        factor = discounts(numbers(totals(grams)))
+        # At most one context for each bucket is this frequent; their sums are a few numbers each.
+        names = ["total", "low", *(f"n{r}" for r in range(1, DISCOUNTED + 1))]
+        hot = grams.select(F.inline("spread")).groupBy("context").agg(*(F.sum(x).alias(x) for x in names)).collect()
+        spread = {r["context"]: tuple(r[x] for x in names) for r in hot}
+        own = grams.select("bucket", "contexts").mapInArrow(lambda b, f=factor, s=spread: weights(b, f, s), WEIGHT_ROWS)
+        keep(own, f"{store}/weights-{n}")
+        asked = grams.select("bucket", "contexts", "grams", "asked", "chunks")
+        known = known.unionByName(asked.mapInArrow(lambda b, n=n, f=factor, s=spread: answer(b, n, f, s), CHUNKS))
+        factors.append(factor)
+    return known.groupBy("chunk").applyInPandas(lambda pdf: score_chunk(pdf, buckets, lower, factors), SCORES)

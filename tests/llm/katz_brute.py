@@ -32,18 +32,20 @@ def factors(counts):
 
 
 class Brute:
-    def __init__(self, docs):
-        self.one, self.two = Counter(), defaultdict(Counter)
+    def __init__(self, docs, order=2):
+        self.order, self.one = order, Counter()
+        self.after = [None, None] + [defaultdict(Counter) for _ in range(2, order + 1)]
         for doc_id, text in docs:
             if not held_out(doc_id):
-                before = None
+                said = [None]
                 for t in tokens_of(text):
                     self.one[t] += 1
-                    self.two[before][t] += 1
-                    before = t
+                    for k in range(2, min(order, len(said) + 1) + 1):
+                        self.after[k][tuple(said[1 - k :])][t] += 1
+                    said.append(t)
         self.N, self.V = sum(self.one.values()), len(self.one)
         self.d1 = factors(self.one.values())
-        self.d2 = factors([c for x in self.two.values() for c in x.values()])
+        self.d = [None, None] + [factors([c for x in self.after[k].values() for c in x.values()]) for k in range(2, order + 1)]
         kept = sum(self.d1.get(c, 1.0) * c for c in self.one.values())
         self.size = self.N if kept < self.N - 1e-9 else self.N + 1
         self.unknown = (self.size - kept) / self.size
@@ -54,23 +56,26 @@ class Brute:
         return self.d1.get(c, 1.0) * c / self.size if c else self.unknown
 
     def p(self, h, t):
-        seen = self.two.get(h)
-        if not seen:
+        """Probability of t after the words h, a tuple."""
+        if not h:
             return self.low(t)
+        seen, d = self.after[len(h) + 1].get(h), self.d[len(h) + 1]
+        if not seen:
+            return self.p(h[1:], t)
         total = sum(seen.values())
-        kept = sum(self.d2.get(c, 1.0) * c for c in seen.values())
+        kept = sum(d.get(c, 1.0) * c for c in seen.values())
         size = total if kept < total - 1e-9 else total + 1
         if t in seen:
-            return self.d2.get(seen[t], 1.0) * seen[t] / size
+            return d.get(seen[t], 1.0) * seen[t] / size
         if h not in self.weights:
-            self.weights[h] = (size - kept) / size / (1 - sum(self.low(w) for w in seen))
-        return self.weights[h] * self.low(t)
+            self.weights[h] = (size - kept) / size / (1 - sum(self.p(h[1:], w) for w in seen))
+        return self.weights[h] * self.p(h[1:], t)
 
     def score(self, text):
-        before, out, base, known = None, 0.0, 0.0, 0
+        said, out, base, known = [None], 0.0, 0.0, 0
         for t in (ts := tokens_of(text)):
-            out += math.log10(self.p(before, t))
+            out += math.log10(self.p(tuple(said[-(self.order - 1) :] if self.order > 1 else ()), t))
             base += math.log10((self.one.get(t, 0) + 0.1) / (self.N + 0.1 * (self.V + 1)))
             known += t in self.one
-            before = t
+            said.append(t)
         return len(ts), known, base, out

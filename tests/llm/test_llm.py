@@ -83,20 +83,38 @@ def test_packing_random_texts():
 
 
 # 2: scoring.
-@pytest.mark.parametrize("chunk", [300, 1 << 24])
-def test_katz_equals_brute_force(spark, docs, odd, chunk):
+@pytest.mark.parametrize(("chunk", "order"), [(300, 2), (1 << 24, 2), (300, 3), (1 << 24, 4), (3000, 1)])
+def test_katz_equals_brute_force(spark, docs, odd, chunk, order):
     rows = [(r["doc_id"], r["text"]) for r in docs.limit(60).select("doc_id", "text").collect()] + [(i and i + 10**6, t) for i, t in ODD]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit("x"))
-    brute = Brute(rows)
-    got = sorted(katz.score(df, bucket_bytes=2000, chunk_bytes=chunk).collect(), key=lambda r: (r["doc_id"] or 0, r["score"]))
+    brute = Brute(rows, order)
+    got = sorted(katz.score(df, bucket_bytes=2000, chunk_bytes=chunk, order=order).collect(), key=lambda r: (r["doc_id"] or 0, r["score"]))
     want = sorted(((i, *brute.score(t)) for i, t in rows), key=lambda r: (r[0] or 0, r[4]))
     for g, (i, n, known, base, score) in zip(got, want, strict=True):
         assert (g["doc_id"], g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (i, held_out(i), n, known, brute.N)
         assert g["base_score"] == pytest.approx(base, rel=1e-9) and g["score"] == pytest.approx(score, rel=1e-9)
-    for h in [None, "the", "word"]:
+    for h in [(None,), ("the",), ("word",), ("word", "word"), ("no", "id")]:
+        h = h[: order - 1]
         assert sum(brute.p(h, w) for w in brute.one) + brute.p(h, "unknown word") == pytest.approx(1)
 
 
+def test_katz_stores_its_model(spark, docs, tmp_path):
+    rows = [(r["doc_id"], r["text"]) for r in docs.limit(40).select("doc_id", "text").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    katz.score(df, bucket_bytes=20_000, chunk_bytes=5000, order=3, store=f"file://{tmp_path}/model").count()
+    brute = Brute(rows, 3)
+    for n in (2, 3):
+        found = katz.stored(spark, f"file://{tmp_path}/model", n).filter("count > 0").collect()
+        assert sorted(r["count"] for r in found) == sorted(c for x in brute.after[n].values() for c in x.values())
+        assert len({(r["context"], r["word"]) for r in found}) == len(found)
+        per = {r["context"]: r["weight"] for r in found if r["weight"] == r["weight"]}
+        for h in brute.after[n]:
+            brute.p(h, "unknown word")
+        want = sorted(brute.weights[h] for h in brute.after[n])
+        assert len(per) > 0.9 * len(want) and all(min(abs(w - x) for x in want) < 1e-9 for w in list(per.values())[:200])
+    assert all(p.name.startswith(("part=", "_", ".")) for p in (tmp_path / "model" / "grams-2").iterdir())
+
+
 def test_katz_without_rows_or_training(spark, empty):
     assert katz.score(empty).count() == 0
     only = next(i for i in range(100) if held_out(i))
