@@ -416,20 +416,23 @@ def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, chunk_bytes: int =
     scratch.ship_code(spark)
     store = store or scratch.scratch_path(spark, "lm-model")
     buckets = scratch.bucket_count(docs, "text", bucket_bytes, 8)
+    # Tasks in proportion to the input: about one bucket or one chunk each.
+    by_bucket = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+    by_chunk = lambda df: df.repartition(max(8, -(-buckets * bucket_bytes // chunk_bytes)), "chunk").groupBy("chunk")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
         (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"),
     )
     chunks = scratch.materialise(rows.mapInArrow(lambda b: cut(b, buckets, chunk_bytes), CHUNKS), "lm-chunks")
-    words = keep(chunks.filter(F.col("kind") == QUESTIONS).groupBy("bucket").applyInPandas(count_words, WORD_ROWS), f"{store}/words")
+    words = keep(by_bucket(chunks.filter(F.col("kind") == QUESTIONS)).applyInPandas(count_words, WORD_ROWS), f"{store}/words")
     t = totals(words)
     lower = LowerOrder(t["total"], t["types"], numbers(t))
     known = chunks.filter(F.col("kind") == TEXTS).unionByName(words.filter(F.col("chunk").isNotNull()).select(*chunks.columns))
     factors: list[np.ndarray] = []
     for n in range(2, order + 1):
-        questions = known.groupBy("chunk").applyInPandas(asking(buckets, lower, list(factors)), CHUNKS)
-        grams = keep(questions.groupBy("bucket").applyInPandas(lambda pdf: count_grams(pdf, lower), GRAM_ROWS), f"{store}/grams-{n}")
+        questions = by_chunk(known).applyInPandas(asking(buckets, lower, list(factors)), CHUNKS)
+        grams = keep(by_bucket(questions).applyInPandas(lambda pdf: count_grams(pdf, lower), GRAM_ROWS), f"{store}/grams-{n}")
         factor = discounts(numbers(totals(grams)))
         # At most one context for each bucket is this frequent; their sums are a few numbers each.
         names = ["total", "low", *(f"n{r}" for r in range(1, DISCOUNTED + 1))]
@@ -440,4 +443,4 @@ def score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, chunk_bytes: int =
         asked = grams.select("bucket", "contexts", "grams", "asked", "chunks")
         known = known.unionByName(asked.mapInArrow(lambda b, n=n, f=factor, s=spread: answer(b, n, f, s), CHUNKS))
         factors.append(factor)
-    return known.groupBy("chunk").applyInPandas(lambda pdf: score_chunk(pdf, buckets, lower, factors), SCORES)
+    return by_chunk(known).applyInPandas(lambda pdf: score_chunk(pdf, buckets, lower, factors), SCORES)
