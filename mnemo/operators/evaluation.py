@@ -97,3 +97,13 @@ def adaptive_filter(df: DataFrame, least: float, few: int, most: int) -> DataFra
     kept = df.filter((F.col("rank") <= few) | ((F.col("rank") <= most) & (F.col("relevance") >= least)))
     w = Window.partitionBy("query_id").orderBy("created_at", "node_id")
     return kept.withColumn("place", F.row_number().over(w))
+
+
+def returned_ndcg(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """nDCG of each probe by results(probe_id, doc_id, rank) and the pairs that are relevant; the ideal order is of what was
+    returned in the first k, not of all that is relevant."""
+    hit = F.col("relevant").cast("double")
+    j = results.filter(F.col("rank") <= k).join(relevant.select("probe_id", "doc_id").distinct().withColumn("relevant", F.lit(1)), ["probe_id", "doc_id"], "left")
+    got = j.groupBy("probe_id").agg(F.coalesce(F.sum(gain(hit, F.col("rank"))), F.lit(0.0)).alias("dcg"), F.count("relevant").cast("int").alias("hits"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest("hits", F.lit(1))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    return got.select("probe_id", F.when(F.col("hits") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"))

@@ -53,6 +53,21 @@ LESSONS = [
     r"\bthe\s+fix\s+was\b", r"\bthe\s+problem\s+was\b", r"\bdon'?t\s+forget\b", r"\bimportant:\s*\S",
     r"\bkey\s+(?:insight|takeaway|learning)\b", r"\bnever\s+(?:again|do|use)\b", r"\balways\s+(?:make\s+sure|remember|check)\b",
 ]
+FACT_SPEAKER = (
+    r"\b(?:we|our|my|i)\s+|\b(?:the|our)\s+(?:db|database|server|api|config|project|repo|app|service|endpoint|url|path|port)\b"
+)
+FACT_CLAIMS = [
+    r"\b(?:is|are|was|were)\s+\w", r"\b(?:we\s+use|using|uses?|adopted?|switched?\s+to)\s+\w",
+    r"\b(?:moved?\s+to|lives?\s+in|located?\s+(?:in|at)|based\s+in)\s+\w", r"\b(?:password|key|token|secret|api.?key)\s+(?:is|=|:)\s*\S",
+]
+COUNTING = ["how many", "how much", "how often", "total number", "count"]
+COUNTING_CUE = "every instance all occurrences each time"
+NAMES = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+COMMON_NAMES = [
+    "I", "The", "A", "An", "My", "What", "When", "Where", "Who", "How", "Which", "Why", "Do", "Does", "Did", "Is", "Are", "Was", "Were",
+    "Have", "Has", "Had", "Can", "Could", "Would", "Should", "Will", "If", "In", "On", "At", "To", "For", "Of", "And", "Or", "But",
+    "Not", "That", "This", "It", "He", "She", "They", "We", "You", "Please", "Tell", "Me", "About",
+]
 ERROR_MARKS = [
     "Error:", "ERROR:", "error:", "FAILED", "Failed", "fatal:", "FATAL:", "panic:", "command not found",
     "No such file or directory", "Permission denied", "Connection refused",
@@ -119,6 +134,26 @@ def observation(s: Column) -> Column:
     return F.when((F.length(s) >= 150) & (F.size(best) > 0), F.when(F.length(text) > 200, F.concat(F.substring(text, 1, 197), F.lit("..."))).otherwise(text))
 
 
+def atomic_facts(s: Column) -> Column:
+    """Up to five sentences of 15 to 200 characters that a user states as facts, each once; none of texts under 50."""
+    parts = F.split(F.regexp_replace(s, r"([.!?])\s+", "$1\u0001"), "\u0001")
+    trimmed = F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    says = lambda x, p: ascii_only(F.lower(x)).rlike(p)
+    claim = "|".join(FACT_CLAIMS)
+    facts = F.filter(trimmed, lambda x: F.length(x).between(15, 200) & says(x, FACT_SPEAKER) & says(x, claim))
+    lower = F.transform(facts, F.lower)
+    once = F.transform(F.array_distinct(lower), lambda w: F.element_at(facts, F.array_position(lower, w).cast("int")))
+    return F.when(F.length(s) >= 50, F.slice(once, 1, 5)).otherwise(F.array().cast("array<string>"))
+
+
+def expand_query(s: Column, dates: Column | None = None) -> Column:
+    """A question with a cue for counting, the dates it names (an array of strings, if given) and its proper nouns."""
+    counts = F.when(F.lower(s).rlike("|".join(COUNTING)), F.lit(COUNTING_CUE))
+    names = F.filter(found(ascii_only(s), NAMES), lambda x: ~x.isin(COMMON_NAMES))
+    said = [counts, *([F.when(F.size(dates) > 0, F.array_join(dates, " "))] if dates is not None else []), F.when(F.size(names) > 0, F.array_join(names, " "))]
+    return F.concat_ws(" ", s, *said)
+
+
 def preferences(s: Column) -> Column:
     """Preference statements of 10 to 300 characters with their confidence, each once, by pattern and place."""
     trimmed = lambda x: F.regexp_replace(F.trim(x), r"[.,;:]+$", "")

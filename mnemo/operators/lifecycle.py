@@ -104,3 +104,24 @@ def roll_up(df: DataFrame, summarise, *keys: str) -> DataFrame:
     """Roll-up memories by an injected summariser, a function of a Column; deterministic ids."""
     t = rollup_text(df, *keys)
     return t.select(F.concat(F.lit("mem-"), F.substring(F.sha2(F.concat_ws("|", *keys), 256), 1, 12)).alias("node_id"), *keys, "records", summarise(F.col("text")).alias("content"))
+
+
+# Name, days between runs, and whether the job waits until nothing else runs.
+JOBS = [
+    ("rollup", 1, False), ("enrich", 1, False), ("link", 1, False), ("gc", 7, True),
+    ("consolidate", 3, False), ("compact", 3, False), ("backup", 7, False), ("behavioral", 3, False),
+]
+
+
+def due_jobs(runs: DataFrame, now: Column, idle: bool = True) -> DataFrame:
+    """Jobs to run now, in their order, by runs(name, ran_at) so far: those never run, or not within their days. A job that
+    waits for idleness isn't due without it, and so stays due."""
+    jobs = runs.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(JOBS)], "place int, name string, days int, needs_idle boolean")
+    last = runs.groupBy("name").agg(F.max("ran_at").alias("last_run"))  # a row for each job
+    due = F.col("last_run").isNull() | (F.unix_micros(now) - F.unix_micros("last_run") >= F.col("days") * F.lit(86_400_000_000))
+    return jobs.join(F.broadcast(last), "name", "left").filter(due & (F.lit(idle) | ~F.col("needs_idle"))).select("place", "name", "last_run")
+
+
+def mark_run(runs: DataFrame, due: DataFrame, now: Column) -> DataFrame:
+    """runs with those of the due jobs, which are then not due until their days are over."""
+    return runs.unionByName(due.select("name", now.alias("ran_at")))

@@ -193,3 +193,27 @@ def con_pref_polarity(spark, d):
     t = turns(spark, d).withColumn("old", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("old is not null")
     overlap, flip = ex.polarity_flip(F.col("text"), F.col("old"))
     return t.select("conv_id", "turn", F.round(overlap, 6).alias("overlap"), flip.alias("flip"))
+
+
+CLAIM = "|".join(ex.FACT_CLAIMS)
+
+
+@query(f"""AND p AS (SELECT conv_id, turn, text, list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS parts FROM talk),
+f AS (SELECT *, list_filter(parts, lambda x: length(x) BETWEEN 15 AND 200 AND regexp_matches(lower(x), {quoted(ex.FACT_SPEAKER)}) AND regexp_matches(lower(x), {quoted(CLAIM)})) AS k FROM p)
+SELECT conv_id, turn, CASE WHEN length(text) >= 50 THEN array_to_string(list_slice({ONCE.format(x='k')}, 1, 5), '|') WHEN text IS NOT NULL THEN '' END AS facts FROM f""", "talk")
+def fn_atomic_facts(spark, d):
+    t = turns(spark, d)
+    return t.select("conv_id", "turn", F.when(F.col("text").isNotNull(), F.array_join(ex.atomic_facts(F.col("text")), "|")).alias("facts"))
+
+
+COUNTED = " OR ".join(f"contains(lower(text), {quoted(x)})" for x in ex.COUNTING)
+COMMON = ", ".join(quoted(x) for x in ex.COMMON_NAMES)
+
+
+@query(f"""AND asked AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'How many of these: ' ELSE '' END || coalesce(text, '') AS text FROM talk)
+SELECT conv_id, turn, concat_ws(' ', text, CASE WHEN {COUNTED} THEN {quoted(ex.COUNTING_CUE)} END, CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') END) AS expanded
+FROM (SELECT *, list_filter(regexp_extract_all(text, {quoted(ex.NAMES)}), lambda x: x NOT IN ({COMMON})) AS k FROM asked)""", "talk")
+def fn_expand_rule(spark, d):
+    """Turns as questions, every third of them one that counts."""
+    asked = F.concat(F.when(F.col("turn") % 3 == 0, "How many of these: ").otherwise(""), F.coalesce("text", F.lit("")))
+    return turns(spark, d).select("conv_id", "turn", ex.expand_query(asked).alias("expanded"))

@@ -358,6 +358,11 @@ def ev_ndcg_qrels(spark, d):
     return ev.ndcg(results(spark, d), qrels(spark, d), 10).withColumn("ndcg", F.round("ndcg", 6))
 
 
+@query(RESULTS + ", b AS (SELECT probe_id, rank, CASE WHEN grade >= 2 THEN 1 ELSE 0 END AS rel FROM j WHERE rank <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY rel DESC, rank) AS place FROM b) SELECT probe_id, round(coalesce(sum(rel / log2(rank + 1)) / nullif(sum(rel / log2(place + 1)), 0), 0), 6) AS ndcg FROM o GROUP BY 1", "mem")
+def ev_lme_ndcg(spark, d):
+    return ev.returned_ndcg(results(spark, d), qrels(spark, d).filter("grade >= 2"), 10).withColumn("ndcg", F.round("ndcg", 6))
+
+
 @query(RESULTS + ", a AS (SELECT * FROM q WHERE grade = 3) SELECT a.probe_id, bool_or(coalesce(rank <= 5, false)) AS any_5, bool_or(coalesce(rank <= 20, false)) AS any_20, bool_and(coalesce(rank <= 5, false)) AS all_5, bool_and(coalesce(rank <= 20, false)) AS all_20 FROM a LEFT JOIN r USING (probe_id, doc_id) GROUP BY 1", "mem")
 def ev_recall(spark, d):
     return ev.recall(results(spark, d), qrels(spark, d).filter("grade = 3").select("probe_id", "doc_id"), [5, 20])

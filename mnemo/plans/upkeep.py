@@ -698,3 +698,29 @@ def st_monthly_rollup(spark, d):
 def st_retention(spark, d):
     kept = lc.retained(stream(spark, d), "created_at", as_of(), 12)
     return finished(kept, "st_retention").agg(F.count("*").alias("n"))
+
+
+JOB_ROWS = ", ".join(f"({i}, '{name}', {days}, {str(idle).lower()})" for i, (name, days, idle) in enumerate(lc.JOBS))
+TICKS = "TIMESTAMP '2024-01-31 00:00:00'", "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+@query(f"""AND jobs AS (SELECT * FROM (VALUES {JOB_ROWS}) j(place, name, days, needs_idle)),
+runs AS (SELECT event_no % 9 AS place, created_at FROM (SELECT CAST(regexp_extract(node_id, '[0-9]+') AS BIGINT) AS event_no, created_at FROM mem)
+  WHERE event_no % 9 <> 5 AND created_at < TIMESTAMP '2024-01-22 00:00:00' + (event_no % 9) * INTERVAL 1 DAY),
+a AS (SELECT j.*, last_run, NOT needs_idle AND coalesce(last_run <= {TICKS[0]} - days * INTERVAL 1 DAY, true) AS due
+  FROM jobs j LEFT JOIN (SELECT place, max(created_at) AS last_run FROM runs GROUP BY 1) USING (place)),
+b AS (SELECT place, name, days, CASE WHEN due THEN {TICKS[0]} ELSE last_run END AS last_run FROM a)
+SELECT 1 AS tick, place, name, strftime(last_run, '%Y-%m-%d') AS last_run FROM a WHERE due
+UNION ALL SELECT 2, place, name, strftime(last_run, '%Y-%m-%d') FROM b WHERE coalesce(last_run <= {TICKS[1]} - days * INTERVAL 1 DAY, true)""", "mem")
+def lc_scheduler(spark, d):
+    """Jobs due at two ticks a day apart, the first without idleness; what the first ran is marked before the second.
+    Earlier runs are made from memories."""
+    names = F.array(*(F.lit(name) for name, _, _ in lc.JOBS))
+    m = mem(spark, d).withColumn("place", (F.regexp_extract("node_id", "[0-9]+", 0).cast("long") % 9).cast("int"))
+    m = m.filter(F.col("place").isin(0, 1, 2, 3, 4, 6, 7) & (F.col("created_at") < as_of("2024-01-22 00:00:00") + F.make_dt_interval("place")))
+    runs = m.select(F.get(names, "place").alias("name"), F.col("created_at").alias("ran_at"))
+    ticks = [as_of("2024-01-31 00:00:00"), as_of("2024-02-01 00:00:00")]
+    first = lc.due_jobs(runs, ticks[0], idle=False)
+    second = lc.due_jobs(lc.mark_run(runs, first, ticks[0]), ticks[1])
+    out = first.withColumn("tick", F.lit(1)).unionByName(second.withColumn("tick", F.lit(2)))
+    return out.withColumn("last_run", F.date_format("last_run", "yyyy-MM-dd")).select("tick", "place", "name", "last_run")
