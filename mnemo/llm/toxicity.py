@@ -5,8 +5,9 @@ Categories are predicted in order. Each has a logistic regression over the prese
 In training those log odds are out-of-fold: each row's come from models that were fitted without its fold. The last
 category decides, against the threshold that does best on the out-of-fold predictions.
 
-Models are fitted on the driver from a bounded sample of labelled rows: at most max_rows of at most MAX_BYTES in all, the least by a hash, half of
-them from rows with the last category as far as there are such; weights undo the unequal sampling. Every feature in
+Models are fitted on the driver from a bounded sample of labelled rows: at most max_rows of at most MAX_BYTES in all, the
+least by a hash, half of them from rows with the last category as far as there are such; weights undo the unequal
+sampling. A labelled text of more than an eighth of those bytes is scored but not fitted on. Every feature in
 enough of those rows is counted by category and fold, however common it is; pairs of row and feature are kept only for
 what some fit chooses by these counts. Scoring is one pass over the texts with tables of at most a few thousand features
 for each category.
@@ -256,6 +257,7 @@ def fit(labelled: DataFrame, categories: list[str], max_rows: int = MAX_ROWS, ma
     text = F.col("text").cast("string")
     flags = [F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"y{k}") for k, c in enumerate(categories)]
     rows = labelled.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.octet_length(text).alias("size"), text.alias("text"), *flags)
+    rows = rows.filter(F.col("size") <= max_bytes // 8)  # else one text could take a whole half's share
     rows = scratch.materialise(rows, "labelled")  # the documents are read for them once
     last = f"y{len(categories) - 1}"
     counts = {r[0]: r["n"] for r in rows.groupBy(F.col(last) == 1).agg(F.count("*").alias("n")).collect()}

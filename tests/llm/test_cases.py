@@ -189,6 +189,14 @@ def test_toxicity_fits_within_its_bytes(spark):
     assert toxicity.fit(df, ["toxic"], max_bytes=10).models[0].intercept == -12.0
 
 
+def test_toxicity_fits_without_a_text_that_takes_the_room(spark):
+    rows = [(i, "vile scum here" if i % 2 else "kind words here", i % 2) for i in range(40)]
+    df = spark.createDataFrame([*rows, (100, "vile " * 5000, 1)], "doc_id long, text string, toxic int")
+    chain = toxicity.fit(df, ["toxic"], max_bytes=20_000)
+    assert chain.quality["rows"] == 40
+    assert toxicity.classify(df, chain).filter("toxic").count() == 21
+
+
 # Stages of the pipeline on odd tables.
 def test_stages_on_odd_tables(spark, tmp_path):
     import corpus_pipeline
