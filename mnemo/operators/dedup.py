@@ -215,3 +215,65 @@ def consolidated(clusters: DataFrame, rows: DataFrame, least: int = 3, tags: int
     ).filter(F.col("members") >= least)
     quality = F.least(F.lit(3.0), 1 + 0.3 * (F.col("members") - least))
     return out.withColumns({"tags": F.slice(F.array_distinct("tags"), 1, tags), "quality": quality})
+
+
+def split_words(s: Column) -> Column:
+    """Words between white space, as they stand."""
+    return F.filter(F.split(s, r"\s+"), lambda w: w != "")
+
+
+def long_words(s: Column) -> Column:
+    return F.filter(split_words(F.lower(s)), lambda w: F.length(w) > 3)
+
+
+def smart_extract(clusters: DataFrame, rows: DataFrame, by: str = "leader", most: int = 8, cap: int = 1000) -> DataFrame:
+    """Of clusters(node_id, leader) of rows(node_id, content, created_at), each one's densest sentences that differ, by time.
+
+    Density counts long words, capitals, code, length, and words that two members or more use. Clusters of five or more
+    begin with their commonest pair of long words if it occurs three times. Longest members come first, then by node_id;
+    ties go to the first sentence, and to the least pair. A cluster's sentences meet in one array, so clusters must be
+    bounded (leader_clusters bounds them). Clusters without a sentence of 15 characters have an empty text.
+    """
+    m = clusters.select("node_id", by).join(rows.select("node_id", "content", "created_at"), "node_id").filter("content is not null")
+    used = m.select(by, "node_id", F.explode(F.array_distinct(long_words(F.col("content")))).alias("w"))
+    common = used.groupBy(by, "w").agg(F.count("*").alias("n")).filter("n >= 2").select(by, "w", F.lit(1).alias("common"))
+    parts = F.transform(F.split("content", r"(?<=[.!?])\s+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    long = m.select(by, "node_id", "created_at", (-F.length("content")).alias("size"), F.posexplode(parts).alias("i", "s")).filter(F.length("s") >= 15)
+    place = F.struct("size", "node_id", "i")
+    key = F.substring(F.array_join(split_words(F.lower("s")), " "), 1, 100)
+    once = long.groupBy(by, key.alias("key")).agg(F.min_by(F.struct("s", "created_at", place.alias("place")), place).alias("x")).select(by, "key", "x.*")
+    words = once.select(by, "key", F.explode(split_words(F.lower("s"))).alias("w")).join(common, [by, "w"]).groupBy(by, "key").agg(F.count("*").alias("shared"))
+    capitals = F.size(F.filter(F.slice(split_words(F.col("s")), 2, 1 << 30), lambda w: w.rlike(r"^\p{Lu}")))
+    code = F.size(F.regexp_extract_all(F.col("s"), F.lit(r"`[^`]+`|/[\w/.]+|\b[A-Z][a-z]+[A-Z]\w*\b"), F.lit(0)))
+    density = F.size(F.array_distinct(long_words(F.col("s")))) + 1.5 * capitals + 2.0 * code + 3.0 * F.least(F.length("s"), F.lit(200)) / 200.0
+    scored = once.join(words, [by, "key"], "left").select(
+        by, F.struct((-F.round(density + 0.8 * F.coalesce("shared", F.lit(0)), 9)).alias("d"), "place", "created_at", "s", tx.word_set("s", 3).alias("w")).alias("x")
+    )
+    best = scored.groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    none = F.filter("x", lambda _: F.lit(False))
+    unlike = lambda chosen, x: F.forall(chosen, lambda y: tx.jaccard(x["w"], y["w"]) < 0.7)
+    chosen = F.aggregate("x", none, lambda a, x: F.when((F.size(a) < most) & unlike(a, x), F.concat(a, F.array(x))).otherwise(a))
+    timed = F.array_sort(F.transform(chosen, lambda x, i: F.struct(x["created_at"].alias("at"), i.alias("i"), x["s"].alias("s"))))
+    texts = best.select(by, F.array_join(F.transform(timed, lambda x: x["s"]), " ").alias("said"))
+    lw = m.select(by, "node_id", long_words(F.col("content")).alias("lw")).filter(F.size("lw") >= 2)
+    pairs = lw.select(by, F.explode(F.arrays_zip(F.expr("slice(lw, 1, size(lw) - 1)").alias("a"), F.expr("slice(lw, 2, size(lw) - 1)").alias("b"))).alias("p"))
+    counted = pairs.groupBy(by, F.concat_ws(" ", "p.a", "p.b").alias("pair")).agg(F.count("*").alias("n")).filter("n >= 3")
+    theme = counted.groupBy(by).agg(F.min_by("pair", F.struct(-F.col("n"), F.col("pair"))).alias("theme"))
+    sizes = clusters.groupBy(by).agg(F.count("*").alias("members"))
+    full = F.when((F.col("members") >= 5) & F.col("theme").isNotNull() & F.col("said").isNotNull(), F.concat(F.lit("Strategy: "), "theme", F.lit(". "), "said")).otherwise(F.coalesce("said", F.lit("")))
+    out = sizes.join(texts, by, "left").join(theme, by, "left").withColumn("full", full)
+    return out.select(by, "members", F.when(F.length("full") > cap, F.concat(F.substring("full", 1, cap - 3), F.lit("..."))).otherwise(F.col("full")).alias("text"))
+
+
+def synthesized(insights: DataFrame, threshold: float = 0.50, least: int = 3) -> DataFrame:
+    """insights(node_id, event_type, created_at, content, tags, access_count): a brief for each cluster of `least` or more
+    like ones: subsystem (the commonest tag, the least on ties), tags, accesses, members superseded, text."""
+    clusters = leader_clusters(insights, threshold).select("node_id", "leader")
+    j = clusters.join(insights.select("node_id", "tags", "access_count"), "node_id")
+    tag = j.select("leader", F.explode(F.array_distinct("tags")).alias("tag")).groupBy("leader", "tag").agg(F.count("*").alias("n"))
+    subsystem = tag.groupBy("leader").agg(F.min_by("tag", F.struct(-F.col("n"), F.col("tag"))).alias("subsystem"), F.array_sort(F.collect_list("tag")).alias("tags"))
+    own = j.groupBy("leader").agg(F.sum("access_count").alias("access_count"), F.array_sort(F.collect_list("node_id")).alias("compacted_from"))
+    out = smart_extract(clusters, insights).filter(F.col("members") >= least).join(own, "leader").join(subsystem, "leader", "left")
+    name = F.coalesce("subsystem", F.lit("general"))
+    text = F.concat(F.lit("[Subsystem brief: "), name, F.lit("] "), "text")
+    return out.select("leader", name.alias("subsystem"), "members", "access_count", F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 15).alias("tags"), "compacted_from", text.alias("content"))

@@ -74,6 +74,32 @@ ERROR_MARKS = [
 ]
 TASK_SKIPPED = ["MEMORY HANDOFF", "[Request interrupted", "Implement the following plan", "Execute this plan", "Follow this plan", "Here is the plan"]
 TASK_EXACT = ["proceed", "continue", "yes", "no", "ok", "go ahead", "lgtm"]
+TAG_LANGUAGES = ["python", "javascript", "typescript", "rust", "go", "java", "ruby", "swift", "kotlin", "c++", "c#", "php", "sql", "bash", "zsh", "html", "css"]
+TAG_TOOLS = [
+    "react", "next.js", "nextjs", "django", "flask", "fastapi", "docker", "kubernetes", "git", "npm", "pip", "pytest", "webpack", "vite",
+    "redis", "postgres", "sqlite", "mongodb", "aws", "gcp", "azure", "vercel", "nginx", "mysql", "jest", "vitest", "yarn", "pnpm", "bun",
+    "deno", "supabase", "onnx", "mcp", "asyncio", "threading", "sqlalchemy", "celery", "graphql", "prisma", "terraform", "ansible", "helm",
+    "zustand", "tailwind", "shadcn", "storybook", "playwright", "cypress", "openai", "anthropic", "langchain", "chromadb", "pinecone",
+    "homebrew", "launchd", "systemd", "cron",
+]
+TAG_ALIASES = {
+    "postgresql": "postgres", "k8s": "kubernetes", "js": "javascript", "ts": "typescript", "py": "python", "rb": "ruby", "tf": "terraform",
+    "cdk": "aws-cdk", "nextjs": "next.js", "reactjs": "react", "sqlite3": "sqlite", "onnxruntime": "onnx", "fts5": "sqlite", "sqlitevec": "sqlite",
+}
+GO_WORDS = ["goroutine", "goroutines", "chan", "defer", "func", "gomod", "gofmt"]
+TAG_CONCEPTS = [
+    "hook", "hooks", "daemon", "migration", "api", "config", "configuration", "testing", "test", "tests", "debug", "debugging", "performance",
+    "cache", "caching", "auth", "authentication", "authorization", "deploy", "deployment", "refactor", "refactoring", "schema", "embedding",
+    "embeddings", "vector", "coordination", "concurrency", "async", "sync",
+]
+CONCEPT_NAMES = {
+    "hooks": "hook", "tests": "testing", "test": "testing", "debugging": "debug", "caching": "cache", "authentication": "auth",
+    "authorization": "auth", "deployment": "deploy", "refactoring": "refactor", "configuration": "config", "embeddings": "embedding",
+}
+MENTIONED_EXTENSIONS = {"py": "python", "js": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "rb": "ruby", "sh": "bash"}
+TAG_WORD = r"\b[\w.+#]+\b"
+TAG_PATH = r"(?:/[\w.-]+){2,}"
+TAG_FILE = r"\b\w+\.(py|js|ts|tsx|rs|go|rb|java|swift|sql|sh|yaml|json|toml)\b"
 EXTENSION_TAGS = {
     ".py": ["python"], ".js": ["javascript"], ".ts": ["typescript"], ".tsx": ["typescript", "react"], ".jsx": ["javascript", "react"],
     ".rs": ["rust"], ".go": ["go"], ".rb": ["ruby"], ".java": ["java"], ".swift": ["swift"], ".sh": ["bash"], ".sql": ["sql"],
@@ -205,6 +231,34 @@ def task_title(s: Column, most: int = 60) -> Column:
     return F.when(none | (F.length(title) < 8), "").otherwise(title)
 
 
+def renamed(words: Column, names: dict[str, str], rest: bool = False) -> Column:
+    """Words by their names in a table; others are left out, or kept as they are."""
+    table = F.create_map(*(F.lit(y) for x in names.items() for y in x))
+    return F.array_compact(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w) if rest else F.try_element_at(table, w)))
+
+
+def tags(s: Column, project: Column | None = None, most: int = 10) -> Column:
+    """Languages, tools, concepts, paths and kinds of files that a text names, and the project's last part: sorted.
+
+    "go" is a language only beside words of that language. A null text has the project's tag only.
+    """
+    plain = ascii_only(F.coalesce(s, F.lit("")))
+    words = F.array_distinct(found(F.lower(plain), TAG_WORD))
+    go = F.arrays_overlap(words, F.array(*map(F.lit, GO_WORDS)))
+    every = [
+        renamed(words, TAG_ALIASES),
+        F.filter(words, lambda w: w.isin(TAG_LANGUAGES) & ((w != "go") | go)),
+        F.filter(words, lambda w: w.isin(TAG_TOOLS)),
+        renamed(F.filter(words, lambda w: w.isin(TAG_CONCEPTS)), CONCEPT_NAMES, rest=True),
+        found(plain, TAG_PATH),
+        renamed(found(F.lower(plain), TAG_FILE, 1), MENTIONED_EXTENSIONS),
+    ]
+    if project is not None:
+        own = F.lower(F.element_at(F.split(project, "/"), -1))
+        every.append(F.filter(F.array_compact(F.array(own)), lambda x: x != ""))
+    return F.slice(F.array_sort(F.array_distinct(F.concat(*every))), 1, most)
+
+
 def extension_tags(path: Column) -> Column:
     tags = F.create_map(*(y for k, v in EXTENSION_TAGS.items() for y in (F.lit(k), F.array(*map(F.lit, v)))))
     ext = F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))

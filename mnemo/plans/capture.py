@@ -235,6 +235,26 @@ def dd_compact(spark, d):
     return dd.consolidated(dd.leader_clusters(m, 0.6), rows, 2).select("event_type", "leader", "members", "keeper", "quality", F.array_join("tags", ",").alias("tags"))
 
 
+@query()
+def dd_smart_extract(spark, d):
+    """Held against a plain twin in the tests."""
+    m = docs(spark, d)
+    return dd.smart_extract(dd.leader_clusters(m, 0.6), m)
+
+
+def insights(spark, d):
+    m = mem(spark, d).filter("event_type = 'decision'")
+    content = F.concat("content", F.lit(". Owned by Team"), F.col("user_id") % 3, F.lit(" since "), F.date_format("created_at", "yyyy-MM-dd"), F.lit("."))
+    return m.select("node_id", "event_type", "created_at", content.alias("content"), F.array("project", "entity_id").alias("given"), "access_count").withColumn("tags", F.array_compact("given"))
+
+
+@query()
+def dd_synthesize(spark, d):
+    """Held against a plain twin in the tests."""
+    found = dd.synthesized(insights(spark, d))
+    return found.withColumns({"tags": F.array_join("tags", ","), "compacted_from": F.array_join("compacted_from", ",")})
+
+
 # Reminders and rules that new texts call up.
 SHARED = """rw AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{4,}'))) AS w FROM benchmark),
 dw AS (SELECT node_id, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]{4,}'))) AS w FROM docs WHERE event_type = 'decision'),

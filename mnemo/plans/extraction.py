@@ -106,6 +106,32 @@ def fn_task_clean(spark, d):
     return turns(spark, d).select("conv_id", "turn", ex.task_title(F.col("text")).alias("title"))
 
 
+def listed(words: list[str]) -> str:
+    return ", ".join(map(quoted, words))
+
+
+def case_of(x: str, names: dict[str, str], rest: str = "NULL") -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in names.items()) + f" ELSE {rest} END"
+
+
+TOOLED = """concat(text, CASE turn % 5 WHEN 0 THEN ' k8s runs main.rs from /usr/local/bin/run, tests of the API cache' WHEN 1 THEN ' go defer func in Next.js and pytest'
+ WHEN 2 THEN ' go to /opt, then use sqlite3 hooks and app.TSX' ELSE '' END)"""
+
+
+@query(f"""AND t AS (SELECT conv_id, turn, {TOOLED} AS s FROM talk),
+w AS (SELECT *, list_distinct(regexp_extract_all(lower(s), {quoted(ex.TAG_WORD)})) AS w FROM t),
+g AS (SELECT conv_id, turn, list_transform(w, lambda x: {case_of('x', ex.TAG_ALIASES)})
+  || list_filter(w, lambda x: x IN ({listed(ex.TAG_LANGUAGES)}) AND (x <> 'go' OR list_has_any(w, [{listed(ex.GO_WORDS)}])))
+  || list_filter(w, lambda x: x IN ({listed(ex.TAG_TOOLS)}))
+  || list_transform(list_filter(w, lambda x: x IN ({listed(ex.TAG_CONCEPTS)})), lambda x: {case_of('x', ex.CONCEPT_NAMES, 'x')})
+  || regexp_extract_all(s, {quoted(ex.TAG_PATH)})
+  || list_transform(regexp_extract_all(lower(s), {quoted(ex.TAG_FILE)}, 1), lambda x: {case_of('x', ex.MENTIONED_EXTENSIONS)}) || ['talk'] AS g FROM w)
+SELECT conv_id, turn, array_to_string(list_slice(list_sort(list_distinct(list_filter(g, lambda x: x IS NOT NULL))), 1, 10), '|') AS tags FROM g""", "talk")
+def fn_tags(spark, d):
+    found = ex.tags(F.expr(TOOLED), F.lit("/home/Talk"))
+    return turns(spark, d).select("conv_id", "turn", F.array_join(found, "|").alias("tags"))
+
+
 EXTENSIONS = list(ex.EXTENSION_TAGS)
 PATH = "concat('src/f', page_id, CASE page_id % 5 " + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate([".py", ".tsx", ".Vue", ".unknown"])) + " ELSE '' END)"
 

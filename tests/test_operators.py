@@ -108,3 +108,74 @@ def test_merge_new_is_by_content(spark):
     a = spark.createDataFrame([("1", "x")], "node_id string, content string")
     b = spark.createDataFrame([("2", "x"), ("3", "y"), ("4", "y")], "node_id string, content string")
     assert io.merge_new(a, b).count() == 2
+
+
+def plain_extract(members):
+    """One cluster's extract, sentence by sentence: members are (node_id, content, created_at)."""
+    import re
+    from collections import Counter
+
+    members = sorted((m for m in members if m[1] is not None), key=lambda m: (-len(m[1]), m[0]))
+    long = lambda s: [w for w in s.lower().split() if len(w) > 3]
+    uses = Counter(w for m in members for w in set(long(m[1])))
+    found, keys = [], set()
+    for _, text, at in members:
+        for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+", text)):
+            key = " ".join(s.lower().split())[:100]
+            if len(s) >= 15 and key not in keys:
+                keys.add(key)
+                score = len(set(long(s))) + 1.5 * sum(w[0].isupper() for w in s.split()[1:]) + 3 * min(len(s), 200) / 200
+                score += 2 * len(re.findall(r"`[^`]+`|/[\w/.]+|\b[A-Z][a-z]+[A-Z]\w*\b", s, re.ASCII)) + 0.8 * sum(uses[w] > 1 for w in s.lower().split())
+                found.append((round(score, 9), at, s, set(re.findall(r"[a-z0-9_]{3,}", s.lower()))))
+    chosen = []
+    for x in sorted(found, key=lambda x: -x[0]):
+        if len(chosen) < 8 and all(not x[3] | y[3] or len(x[3] & y[3]) / len(x[3] | y[3]) < 0.7 for y in chosen):
+            chosen.append(x)
+    text = " ".join(x[2] for x in sorted(chosen, key=lambda x: x[1]))
+    pairs = Counter(" ".join(p) for m in members for p in zip(long(m[1]), long(m[1])[1:]))
+    n, theme = min(((-n, p) for p, n in pairs.items()), default=(0, ""))
+    if len(members) >= 5 and n <= -3 and text:
+        text = f"Strategy: {theme}. {text}"
+    return text[:997] + "..." if len(text) > 1000 else text
+
+
+def test_smart_extract_equals_a_plain_twin(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(5)
+    words = "the build cache Redis needs warm start after `make all` in /usr/lib/x.so FooBar deploy never again staging".split(" ")
+    rows = []
+    for i in range(60):
+        sentences = [" ".join(rng.choices(words, k=rng.randint(1, 12))) + rng.choice([".", "!", "?"]) for _ in range(rng.randint(0, 9))]
+        rows.append((f"n{i:02}", "  ".join(sentences), datetime(2024, 1, 1) + timedelta(hours=rng.randrange(9)), f"c{i % 7}" if i < 50 else "c9"))
+    rows += [("e1", "", datetime(2024, 1, 1), "empty"), ("e2", "short.", datetime(2024, 1, 1), "empty"), ("z", None, None, "null")]
+    df = spark.createDataFrame(rows, "node_id string, content string, created_at timestamp, leader string")
+    got = {r["leader"]: r for r in dd.smart_extract(df.select("node_id", "leader"), df).collect()}
+    for c in {r[3] for r in rows}:
+        of = [r[:3] for r in rows if r[3] == c]
+        assert got[c]["members"] == len(of)
+        assert got[c]["text"] == plain_extract(of)
+
+
+def test_synthesized(spark):
+    from datetime import datetime
+
+    said = "the build cache needs warm start before deploy number "
+    rows = [(f"n{i}", "advisor_insight", datetime(2024, 1, 1 + i), said + f"extra{i % 2} today.", ["cache", f"t{i}"], 2) for i in range(4)]
+    rows += [("x", "advisor_insight", datetime(2024, 1, 9), "nothing like those others written here.", None, 1)]
+    df = spark.createDataFrame(rows, "node_id string, event_type string, created_at timestamp, content string, tags array<string>, access_count int")
+    (r,) = dd.synthesized(df).collect()
+    assert (r["leader"], r["subsystem"], r["members"], r["access_count"]) == ("n3", "cache", 4, 8)
+    assert r["compacted_from"] == ["n0", "n1", "n2", "n3"] and r["tags"] == ["cache", "t0", "t1", "t2", "t3"]
+    assert r["content"].startswith("[Subsystem brief: cache] the build cache")
+    assert dd.synthesized(df, least=9).count() == 0 == dd.synthesized(df.limit(0)).count()
+
+
+def test_tags(spark):
+    from mnemo.operators import extract as ex
+
+    s = "K8s and PostgreSQL tests; go figure. See /opt/app/main.py, a.TS and hooks"
+    assert one(spark, ex.tags(F.lit(s), F.lit("/home/me/Proj"))) == ["/opt/app/main.py", "hook", "kubernetes", "postgres", "proj", "python", "testing", "typescript"]
+    assert one(spark, ex.tags(F.lit("go func"))) == ["go"]
+    assert one(spark, ex.tags(F.lit(None).cast("string"), F.lit("a/"))) == []
