@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _UNIT = r"(day|week|month|year)s?"
+# Names and number words that results depend on.
+DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+NUMBERS = {
+    "one": 1, "a": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
+    "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "twenty": 20, "thirty": 30,
+}
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
 
@@ -42,3 +48,49 @@ def temporal_range(text: Column, now: Column) -> Column:
         .when(t.rlike(iso), span(on, on + days(one)))
         .when(t.rlike(in_year), span(year, F.add_months(year, 12)))
     )
+
+
+def date_keywords(text: Column, now: Column) -> Column:
+    """The dates that a text means by relative expressions, as words to search by: an array of strings, one for each kind
+    of expression (its first occurrence), in a fixed order; empty for a null text. Numbers above 100,000 mean nothing."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    day = F.to_date(now)
+    iso = lambda d: F.date_format(d, "yyyy-MM-dd")
+    name = lambda d: F.date_format(d, "MMMM")
+    number = lambda d: F.date_format(d, "dd")
+    said = lambda when, *parts: F.when(when, F.concat_ws(" ", *parts))
+    part = lambda p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
+    table = F.create_map(*(F.lit(y) for x in NUMBERS.items() for y in x))
+
+    def back(pattern: str) -> Column:
+        """Days that a number and a unit of time span."""
+        n = F.coalesce(F.try_element_at(table, part(pattern, 1)), part(pattern, 1).try_cast("int"))
+        unit = part(pattern, 2)
+        return F.when(n <= 100_000, n * F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).otherwise(365))
+
+    weekday = part(rf"last\s+({'|'.join(DAYS)})", 1)
+    since = F.pmod(F.weekday(day) - F.array_position(F.array(*map(F.lit, DAYS)), weekday) + 1, F.lit(7)).cast("int")
+    then = F.date_sub(day, F.when(since == 0, 7).otherwise(since))
+    sat = F.date_sub(day, F.when(F.weekday(day) == 5, 7).otherwise((F.weekday(day) + 2) % 7))
+    yesterday = F.date_sub(day, 1)
+    monday = F.date_sub(day, F.weekday(day) + 7)
+    ago = back(rf"([0-9]+|[a-z]+)\s+{_UNIT}\s+ago")
+    center = F.date_sub(day, ago)
+    past = back(rf"(?:last|past|previous)\s+([0-9]+|[a-z]+)\s+{_UNIT}")
+    start = F.date_sub(day, past)
+    place = lambda m: F.array_position(F.array(*map(F.lit, MONTHS)), m).cast("int")
+    in_month = lambda m, y: F.concat_ws(" ", F.initcap(m), y, F.concat(y, F.lit("-"), F.lpad(place(m).cast("string"), 2, "0")))
+    bare = part(rf"in\s+({'|'.join(MONTHS)})\b", 1)
+    dated = rf"in\s+({'|'.join(MONTHS)})\s+([0-9]{{4}})"
+    its_year = F.regexp_like(t, F.concat(F.lit(r"in\s+"), F.coalesce(bare, F.lit("-")), F.lit(r"\s+[0-9]{4}")))
+    latest = (F.year(day) - F.when(place(bare) <= F.month(day), 0).otherwise(1)).cast("string")
+    return F.array_compact(F.array(
+        said(weekday.isNotNull(), F.initcap(weekday), iso(then), name(then), number(then)),
+        said(t.contains("last weekend"), F.lit("Saturday Sunday"), iso(sat), iso(F.date_add(sat, 1))),
+        said(t.contains("yesterday"), iso(yesterday), name(yesterday), number(yesterday)),
+        said(t.contains("last week") & ~t.contains("weekend"), iso(monday), iso(F.date_add(monday, 6))),
+        said(ago.isNotNull(), iso(center), name(center), number(center)),
+        said(past.isNotNull(), iso(start), iso(day), name(start), name(day)),
+        F.when(bare.isNotNull() & ~its_year, in_month(bare, latest)),
+        F.when(part(dated, 1).isNotNull(), in_month(part(dated, 1), part(dated, 2))),
+    ))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mnemo.functions import dates
 from mnemo.functions import text as tx
 from mnemo.operators import extract as ex
 from mnemo.plans.registry import query
@@ -75,6 +76,26 @@ def fn_preferences(spark, d):
     return turns(spark, d).select("conv_id", "turn", F.inline(ex.preferences(F.col("text"))))
 
 
+ASKED = ["What did I say last Friday", "plans of last weekend", "Yesterday we met", "the talk last week", "two weeks ago and a year ago", "over the past 3 months", "it began in March",
+         "in May 2023 or in June", "a fortnight ago", "last sunday or yesterday"]
+ISO, LONG = "strftime({d}, '%Y-%m-%d')", "strftime({d}, '%Y-%m-%d %B %d')"
+LAST = "CAST(a - to_days(CAST((isodow(a) + 6 - {n}) % 7 + 1 AS INTEGER)) AS DATE)"
+
+
+@query(f"""AND p AS (SELECT node_id, k % 10 AS q, CAST(created_at AS DATE) AS a FROM mem)
+SELECT node_id, CASE q WHEN 0 THEN 'Friday ' || {LONG.format(d=LAST.format(n=5))}
+ WHEN 1 THEN 'Saturday Sunday ' || {ISO.format(d=LAST.format(n=6))} || ' ' || {ISO.format(d=LAST.format(n=6) + ' + 1')}
+ WHEN 2 THEN {LONG.format(d='a - 1')}
+ WHEN 3 THEN {ISO.format(d="date_trunc('week', a) - INTERVAL 7 DAY")} || ' ' || {ISO.format(d="date_trunc('week', a) - INTERVAL 1 DAY")}
+ WHEN 4 THEN {LONG.format(d='a - 14')}
+ WHEN 5 THEN {ISO.format(d='a - 90')} || ' ' || {ISO.format(d='a')} || strftime(a - 90, ' %B') || strftime(a, ' %B')
+ WHEN 6 THEN 'March ' || (year(a) - CAST(month(a) < 3 AS INTEGER)) || ' ' || (year(a) - CAST(month(a) < 3 AS INTEGER)) || '-03'
+ WHEN 7 THEN 'May 2023 2023-05' WHEN 8 THEN '' ELSE 'Sunday ' || {LONG.format(d=LAST.format(n=7))} || '|' || {LONG.format(d='a - 1')} END AS dates FROM p""", "mem")
+def fn_resolve_dates(spark, d):
+    q = F.get(F.array(*map(F.lit, ASKED)), (F.col("k") % 10).cast("int"))
+    return mem(spark, d).select("node_id", F.array_join(dates.date_keywords(q, F.col("created_at")), "|").alias("dates"))
+
+
 @query(f"SELECT conv_id, turn, {rlike_any(ex.DECISIONS)} AS decision, {rlike_any(ex.LESSONS)} AS lesson FROM talk", "talk")
 def fn_decision(spark, d):
     return turns(spark, d).select("conv_id", "turn", ex.is_decision(F.col("text")).alias("decision"), ex.is_lesson(F.col("text")).alias("lesson"))
