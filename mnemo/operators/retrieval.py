@@ -226,3 +226,58 @@ def hybrid(df: DataFrame, words: list[str], start: Column, end: Column, now: Col
     scored = rows.withColumn("score", F.col("rrf") * sc.metadata_factor(now) * (1 + found * 0.5 * policy.PROFILES["_default"][2]))
     best = top(scored, limit, "score", "query_id")
     return best.select("node_id", F.round(maxnorm("score", "query_id"), 6).alias("relevance"), "rank")
+
+
+# Words that ask for preferences.
+ASKS_PREFERENCE = [
+    "rule", "rules", "preference", "setting", "configured", "should", "allowed", "policy", "default", "location", "timezone", "where", "how",
+]
+
+
+def spaced_words(s: Column, least: int = 3) -> Column:
+    """Distinct lower-case words between white space of a length or more."""
+    return F.array_distinct(F.filter(F.split(F.lower(s), r"\s+"), lambda w: F.length(w) >= least))
+
+
+def injected(queries: DataFrame, df: DataFrame, found: DataFrame, kind: str, newest: int, most: int = 3) -> DataFrame:
+    """Of df's `newest` memories of a kind, those that aren't superseded, share a word with a query and weren't found by
+    it: query_id, node_id, pick (1 to most, the newest first). Queries and these few memories are joined by words."""
+    of_kind = df.filter(F.col("event_type") == kind).orderBy(F.desc("created_at"), "node_id").limit(newest).filter("status is null or status <> 'superseded'")
+    words = of_kind.select("node_id", "created_at", F.explode(spaced_words(F.col("content"))).alias("w"))
+    asked = queries.select("query_id", F.explode(spaced_words(F.col("text"))).alias("w"))
+    hits = asked.join(words, "w").select("query_id", "node_id", "created_at").distinct().join(found.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+    order = Window.partitionBy("query_id").orderBy(F.desc("created_at"), "node_id")
+    return hits.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= most).select("query_id", "node_id", "pick")
+
+
+def structured(
+    ranked: DataFrame, queries: DataFrame, df: DataFrame, limit: int = 10, event_type: str | None = None, tags: list[str] | None = None,
+    least: float | None = None, rules: str = "constraint", preferences: str = "user_preference",
+) -> DataFrame:
+    """Results of queries(query_id, text) as rows: query_id, node_id, kind, place (from 1).
+
+    ranked(query_id, node_id, rank, strength) holds at least twice the limit where tags are given. Results are filtered
+    by type and tags, cut to the limit, then filtered by strength. Up to three rules, and for queries that ask for
+    preferences up to three of these, are put in front, each before those already there. Null texts share no word.
+    """
+    j = ranked.join(df.select("node_id", "event_type", "tags"), "node_id")
+    if event_type is not None:
+        j = j.filter(F.col("event_type") == event_type)
+    for t in tags or []:
+        j = j.filter(F.array_contains(F.transform("tags", F.lower), t.lower()))
+    order = Window.partitionBy("query_id").orderBy("rank", "node_id")
+    found = j.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit)
+    if least:
+        found = found.filter(F.col("strength") >= least)
+    parts = [found.select("query_id", "node_id", F.lit("result").alias("kind"), F.lit(2).alias("part"), F.col("n").alias("at"))]
+    if event_type != rules:
+        parts.append(injected(queries, df, found, rules, 10).select("query_id", "node_id", F.lit("constraint").alias("kind"), F.lit(1).alias("part"), (-F.col("pick")).alias("at")))
+    if event_type != preferences:
+        said = F.transform(spaced_words(F.col("text"), 2), lambda w: F.regexp_replace(w, r"[?.,!]+$", ""))
+        asking = queries.filter(F.arrays_overlap(said, F.array(*map(F.lit, ASKS_PREFERENCE))))
+        parts.append(injected(asking, df, found, preferences, 20).select("query_id", "node_id", F.lit("preference").alias("kind"), F.lit(0).alias("part"), (-F.col("pick")).alias("at")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("part", "at", "node_id"))
+    return every.select("query_id", "node_id", "kind", place.cast("int").alias("place"))

@@ -396,3 +396,26 @@ def flt_strength_min(spark, d):
 def flt_doc_min_len(spark, d):
     m = docs(spark, d).filter(F.col("event_type").isin("decision", "lesson_learned") & (F.length("content") >= 80))
     return m.filter("created_at <= timestamp '2024-01-20 00:00:00' - interval 1 hour").select("node_id")
+
+
+def inject_sql(name: str, kind: str, newest: int, asked: str) -> str:
+    words = "unnest(list_distinct(list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: length(w) >= 3))) AS w"
+    return f"""{name} AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, node_id) AS pick FROM (
+  SELECT DISTINCT query_id, node_id, created_at FROM (SELECT query_id, {words.format(c='text')} FROM {asked}) JOIN (
+    SELECT node_id, created_at, {words.format(c='content')} FROM (SELECT * FROM docs WHERE event_type = '{kind}' ORDER BY created_at DESC, node_id LIMIT {newest}) WHERE status <> 'superseded') USING (w)
+  ) c WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.query_id = c.query_id AND f.node_id = c.node_id) QUALIFY pick <= 3)"""
+
+
+@query(f"""AND {BM25}, top20 AS (SELECT query_id, node_id, round(bm25, 4) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 4) DESC, node_id) AS rank FROM b QUALIFY rank <= 20),
+found AS (SELECT * FROM (SELECT query_id, node_id, s, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM top20 JOIN docs USING (node_id) WHERE entity_id = 'en' QUALIFY n <= 10) WHERE s >= 2),
+asked AS (SELECT item_id AS query_id, text || CASE WHEN item_id % 3 = 0 THEN ' How?' ELSE '' END AS text FROM benchmark),
+asking AS (SELECT * FROM asked WHERE len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 1 AND rtrim(w, '?.,!') IN ({', '.join(map(quoted, rt.ASKS_PREFERENCE))}))) > 0),
+{inject_sql('rules', 'lesson_learned', 10, 'asked')}, {inject_sql('wishes', 'decision', 20, 'asking')},
+every AS (SELECT query_id, node_id, 'result' AS kind, 2 AS part, n AS seat FROM found UNION ALL SELECT query_id, node_id, 'constraint', 1, -pick FROM rules UNION ALL SELECT query_id, node_id, 'preference', 0, -pick FROM wishes)
+SELECT query_id, node_id, kind, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, seat, node_id) AS INTEGER) AS place FROM every""", "docs")
+def ret_structured(spark, d):
+    """English texts by BM25, lessons as rules and decisions as preferences."""
+    m = docs(spark, d).withColumn("tags", F.array("entity_id", "project"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.when(F.col("item_id") % 3 == 0, " How?").otherwise("")).alias("text"))
+    found = ranked(spark, d, 20).withColumnRenamed("bm25", "strength")
+    return rt.structured(found, q, m, tags=["EN"], least=2.0, rules="lesson_learned", preferences="decision")
