@@ -250,7 +250,7 @@ def insights(spark, d):
 
 @query()
 def dd_synthesize(spark, d):
-    """Held against a plain twin in the tests."""
+    """Held against a small case in the tests; its texts are those of dd_smart_extract."""
     found = dd.synthesized(insights(spark, d))
     return found.withColumns({"tags": F.array_join("tags", ","), "compacted_from": F.array_join("compacted_from", ",")})
 
