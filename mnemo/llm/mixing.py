@@ -3,15 +3,22 @@
 A multinomial naive Bayes model over hashed words is fitted on labelled rows (at most max_labelled of them, those least
 by a hash of their id) and predicts for every document how much it belongs to each domain. Rates r >= 0, one for each
 document, are then fitted so that the expected tokens of each domain, sum of r * tokens * posterior, come to the target
-share of all tokens: least squares over the domains, each scaled by the root of its own sum of squares, by projected
-gradient from r = 1 with the exact step for the domains' Gram matrix. A document's rate follows from the residuals of
-the steps since it was last written, a few numbers each, so a step is one pass over a narrow table and no rate is collected.
-Steps end when the targets are met, or when a step no longer lowers the sum of squares: then no nonnegative rates meet
-them, and the rates are the nearest. The column residual says how far off the worst domain is, as a share of all tokens.
+share of all tokens: plain least squares, one scale for all domains, for an error is a share of all tokens.
+
+It is solved by projected gradient: a gradient of the sum of squares is a combination of the domains' columns, so what is
+carried are a few numbers a step, never a rate; a step is one pass over a narrow table. The first steps are scaled ones:
+the rates are r = max(0, 1 + combination), the projection of rates of 1 moved along the columns, and the combination is
+moved by the Gram matrix of the rows that the projection leaves positive, slightly regularised, only if that lowers the
+regularised sum. They end within ten steps or so, at the rates nearest to 1 that meet the targets. Plain steps, accelerated and
+each followed by the projection, then go on from there until the targets are met or the sum of squares no longer falls.
+
+Where no nonnegative rates meet the targets (a domain that hardly any document belongs to) the rates are the nearest in
+that norm: expected tokens then have no larger root sum of squares than the targets, so a target out of reach doesn't
+multiply the others. The column residual says how far off the worst domain is, as a share of all tokens.
 
 Defined cases: a null or empty text has no tokens, the prior as its posterior and the rate 1; a null doc_id is kept;
 repeated rows are fitted each; labelled rows with a null domain or text are not used; a domain without labelled rows
-is as likely as one labelled row would make it and has no words of its own; negative targets are an error; an empty table gives no rows; other columns are carried along by resample() and not
+is as likely as one labelled row would make it and has no words of its own, so its target is mostly out of reach; negative targets are an error; an empty table gives no rows; other columns are carried along by resample() and not
 read otherwise. What the driver sees is the domains' Gram matrix and residuals.
 """
 
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +34,10 @@ from mnemo.llm import scratch
 
 MAX_LABELLED = 20_000
 BUCKETS = 4096
-STEPS, WRITTEN = 1000, 20
+STEPS, WRITTEN = 200, 20
 TOLERANCE, STILL = 1e-6, 1e-6
+#: Scaled steps, and their regularisation as a share of the Gram matrix's trace.
+SCALED, RIDGE = 40, 1e-9
 
 
 def word_buckets(text: Column, buckets: int) -> Column:
@@ -94,14 +104,38 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], buckets: i
     return odds.select("row", "key", "doc_id", "n_tokens", F.array(*(F.col(f"e{i}") / total for i in range(k))).alias("p"))
 
 
-def largest_eigenvalue(m: list[list[float]]) -> float:
-    v = [1.0] * len(m)
-    size = 1.0
-    for _ in range(200):
-        w = [sum(a * b for a, b in zip(row, v, strict=True)) for row in m]
-        size = math.sqrt(sum(x * x for x in w)) or 1.0
-        v = [x / size for x in w]
-    return size
+def scaled_steps(members: DataFrame, a: list[Column], gram: np.ndarray, goal: np.ndarray, tolerance: float) -> np.ndarray:
+    """The combination c for which rates max(0, 1 + a c) minimise their squared distance from 1 times a small ridge plus
+    the squares of the errors: Newton's method on the dual, which has a variable for each domain. One pass a trial."""
+    k, total = len(goal), goal.sum()
+    ridge = RIDGE * gram.trace()
+
+    def look(c: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        r = F.greatest(F.lit(0.0), sum((x * float(y) for x, y in zip(a, c, strict=True)), F.lit(1.0)))
+        both = [F.sum(F.when(F.col("r") > 0, a[i] * a[j])) for i in range(k) for j in range(i, k)]
+        row = members.withColumn("r", r).agg(F.sum(F.col("r") * F.col("r")), *(F.sum(F.col("r") * x) for x in a), *both).first()
+        sums, active = np.array(row[1 : k + 1], float), np.zeros((k, k))
+        active[np.triu_indices(k)] = [x or 0.0 for x in row[k + 1 :]]
+        return row[0] / 2 - goal @ c + ridge / 2 * c @ c, sums - goal + ridge * c, active + np.triu(active, 1).T
+
+    c = np.zeros(k)
+    value, slope, active = look(c)
+    passes = 1
+    while passes < SCALED and np.abs(slope).max() > tolerance * total / 10:
+        move = np.linalg.solve(active + ridge * np.eye(k), -slope)
+        part = 1.0
+        while passes < SCALED:
+            trial = look(c + part * move)
+            passes += 1
+            if trial[0] <= value + 1e-4 * part * (slope @ move):
+                break
+            part /= 2
+        else:
+            break
+        if value - trial[0] <= 1e-15 * abs(value):
+            break
+        c, (value, slope, active) = c + part * move, trial
+    return c
 
 
 def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -110,38 +144,69 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
     if min(targets) < 0 or not sum(targets):
         raise ValueError("targets must be nonnegative and not all zero")
     a = [F.col("n_tokens") * F.col("p")[i] for i in range(k)]
-    first = members.agg(
-        *(F.sum(a[i] * a[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)), F.sum("n_tokens").alias("n")
-    ).first()
-    if not first["n"]:
+    first = members.agg(F.sum("n_tokens"), *(F.sum(a[i] * a[j]) for i in range(k) for j in range(k))).first()
+    if not first[0]:
         return members.withColumn("rate", F.lit(1.0)).withColumn("residual", F.lit(0.0))
-    gram = [[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
-    scale = [math.sqrt(gram[i][i]) or 1.0 for i in range(k)]
-    step = 1 / largest_eigenvalue([[gram[i][j] / scale[i] / scale[j] for j in range(k)] for i in range(k)])
-    goal = [t / sum(targets) * first["n"] for t in targets]
-    history: list[list[float]] = []
-    members, before = members.withColumn("rate", F.lit(1.0)), math.inf
-
-    def rate() -> Column:
+    n, gram = float(first[0]), np.array(first[1:], float).reshape(k, k)
+    goal = np.array(targets, float) / sum(targets) * n
+
+    def errors(table: DataFrame, rate: Column) -> np.ndarray:
+        return np.array(table.withColumn("rate", rate).agg(*(F.sum(F.col("rate") * x) for x in a)).first(), float) - goal
+
+    start, c = F.lit(1.0), scaled_steps(members, a, gram, goal, tolerance)
+    moved = F.greatest(F.lit(0.0), sum((x * float(y) for x, y in zip(a, c, strict=True)), F.lit(1.0)))
+    off, other = errors(members, start), errors(members, moved)
+    if other @ other < off @ off:
+        start, off = moved, other
+    members = members.withColumn("rate", start)
+    if np.abs(off).max() <= tolerance * n:
+        return members.withColumn("residual", F.lit(float(np.abs(off).max() / n)))
+    step = 1 / np.linalg.eigvalsh(gram)[-1]
+    # Two states a row, the rate and the one before, of which the next is a function of k errors and the momentum.
+    history: list[tuple[np.ndarray, float]] = []
+    members, momentum, last, now = members.withColumn("before", F.col("rate")), 1.0, off, off
+
+    def state() -> Column:
+        held = F.struct(F.col("rate").alias("rate"), F.col("before").alias("before"))
         if not history:
-            return F.col("rate")
-        past = F.array(*(F.array(*map(F.lit, e)) for e in history))
-        move = lambda e: sum((a[i] * e[i] for i in range(k)), F.lit(0.0))
-        return F.aggregate(past, F.col("rate"), lambda r, e: F.greatest(F.lit(0.0), r - move(e)))
-
-    for left in reversed(range(steps + 1)):
-        now = members.withColumn("rate", rate()).agg(*(F.sum(F.col("rate") * a[i]).alias(f"t{i}") for i in range(k))).first()
-        off = [now[f"t{i}"] - goal[i] for i in range(k)]
-        squares = sum((off[i] / scale[i]) ** 2 for i in range(k))
-        worst = max(abs(x) for x in off) / first["n"]
-        if worst <= tolerance or squares > before * (1 - STILL) or not left:
-            break
-        before = squares
+            return held
+        past = F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in e)).alias("e"), F.lit(m).alias("m")) for e, m in history))
+
+        def follow(s: Column, h: Column) -> Column:
+            ahead = s["rate"] + h["m"] * (s["rate"] - s["before"])
+            return F.struct(F.greatest(F.lit(0.0), ahead - sum((x * h["e"][i] for i, x in enumerate(a)), F.lit(0.0))).alias("rate"), s["rate"].alias("before"))
+
+        return F.aggregate(past, held, follow)
+
+    def written(columns: list[str]) -> DataFrame:
+        return scratch.materialise(members.withColumn("state", state()).select(*columns, "state.rate", "state.before"), "rates")
+
+    own = [x for x in members.columns if x not in ("rate", "before")]
+    for _ in range(steps):
+        following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
+        push = (momentum - 1) / following
         if len(history) == WRITTEN:
-            members = scratch.materialise(members.withColumn("rate", rate()), "rates")
+            members = written(own)
             history.clear()
-        history.append([step * off[i] / scale[i] / scale[i] for i in range(k)])
-    return members.withColumn("rate", rate()).withColumn("residual", F.lit(worst))
+        # The sums of rates are linear, so the gradient where the momentum leads follows from the last two errors.
+        ahead = now + push * (now - last)
+        history.append((step * ahead, float(push)))
+        found = errors(members.withColumn("state", state()), F.col("state.rate"))
+        if found @ found >= (now @ now) * (1 - STILL):
+            if push > 0 and found @ found > now @ now:  # the momentum overshot: start it again
+                history.pop()
+                history.append((step * now, 0.0))
+                again = errors(members.withColumn("state", state()), F.col("state.rate"))
+                if again @ again < (now @ now) * (1 - STILL):
+                    momentum, last, now = 1.0, now, again
+                    continue
+                history.pop()
+            break
+        momentum, last, now = following, now, found
+        if np.abs(now).max() <= tolerance * n:
+            break
+    off = errors(members.withColumn("state", state()), F.col("state.rate"))
+    return written(own).drop("before").withColumn("residual", F.lit(float(np.abs(off).max() / n)))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], buckets: int = BUCKETS) -> DataFrame:

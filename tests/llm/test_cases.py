@@ -79,19 +79,77 @@ def test_mixing_with_a_domain_without_rows(spark):
     assert len(mixed) == 20 and all(len(r["p"]) == 3 and r["rate"] >= 0 and math.isclose(sum(r["p"]), 1) for r in mixed)
 
 
+def least_squares(a, goal):
+    """Nonnegative least squares by Lawson and Hanson's active sets, in plain numpy: the errors' root sum of squares."""
+    n, free = a.shape[0], np.zeros(len(a), bool)
+    r = np.zeros(n)
+    for _ in range(10 * n):
+        slope = a @ (goal - a.T @ r)
+        if free.all() or slope[~free].max() <= 1e-10 * np.abs(a).max() * np.abs(goal).max():
+            break
+        free[np.argmax(np.where(free, -np.inf, slope))] = True
+        while True:
+            z = np.zeros(n)
+            z[free] = np.linalg.lstsq(a[free].T, goal, rcond=None)[0]
+            if z[free].min() > -1e-12:
+                r = np.maximum(z, 0)
+                break
+            bad = free & (z <= 0)
+            r = r + min((r[bad] / (r[bad] - z[bad])).min(), 1) * (z - r)
+            free &= r > 1e-12
+            r[~free] = 0
+    return np.sqrt(((a.T @ r - goal) ** 2).sum())
+
+
+def check_rates(spark, rows, targets):
+    """Rates are nonnegative and as near to the targets as plain least squares, the residual is true, tokens stay bounded."""
+    members = scratch.materialise(spark.createDataFrame(rows, "n_tokens long, p array<double>"), "test-members")
+    got = mixing.fit_rates(members, targets).collect()
+    a = np.array([[n * x for x in p] for n, p in ((r["n_tokens"], r["p"]) for r in got)])
+    rate, n = np.array([r["rate"] for r in got]), sum(r["n_tokens"] for r in got)
+    goal = np.array(targets) / sum(targets) * n
+    off = a.T @ rate - goal
+    assert rate.min() >= 0 and abs(got[0]["residual"] - np.abs(off).max() / n) < 1e-9
+    assert np.sqrt((off**2).sum()) <= least_squares(a, goal) + 2e-3 * n
+    assert np.sqrt(((a.T @ rate) ** 2).sum()) <= np.sqrt((goal**2).sum()) * (1 + 1e-3)
+    return off, n, rate
+
+
 def test_mixing_says_how_far_off_it_is(spark):
     """Two domains whose documents look alike can't be mixed 9 to 1: the nearest rates, and the rest as residual."""
-    members = spark.createDataFrame([(100, [0.6, 0.4]), (100, [0.4, 0.6])], "n_tokens long, p array<double>")
-    members = scratch.materialise(members, "test-members")
-    hard = mixing.fit_rates(members, [0.9, 0.1]).collect()
-    assert hard[0]["residual"] > 0.05 and min(r["rate"] for r in hard) == 0
-    a = np.array([[60.0, 40.0], [40.0, 60.0]])
-    goal, scale = np.array([180.0, 20.0]), np.sqrt((a * a).sum(0))
-    loss = lambda r: (((a.T @ r - goal) / scale) ** 2).sum()
-    best = min((loss(np.array([x, y])), x, y) for x in np.linspace(0, 4, 401) for y in np.linspace(0, 1, 21))
-    rate = np.array([r["rate"] for r in sorted(hard, key=lambda r: -r["p"][0])])
-    assert loss(rate) <= best[0] + 1e-3
-    assert mixing.fit_rates(members, [0.55, 0.45]).first()["residual"] <= mixing.TOLERANCE
+    off, n, rate = check_rates(spark, [(100, [0.6, 0.4]), (100, [0.4, 0.6])], [0.9, 0.1])
+    assert np.abs(off).max() > 0.05 * n and rate.min() == 0
+    off, n, _ = check_rates(spark, [(100, [0.6, 0.4]), (100, [0.4, 0.6])], [0.55, 0.45])
+    assert np.abs(off).max() <= mixing.TOLERANCE * n
+
+
+@pytest.mark.parametrize("few", [0.0, 1e-12, 1e-6, 1e-3])
+def test_mixing_with_a_domain_that_nobody_belongs_to(spark, few):
+    off, n, rate = check_rates(spark, [(10 + i % 9, [1 - few, few]) for i in range(200)], [0.9, 0.1])
+    assert rate.max() < 1.5 and off.sum() <= 1e-6 * n
+
+
+def test_mixing_with_a_rare_domain_and_long_texts(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(n), x.tolist()) for n, x in zip(rng.pareto(1.2, 400) * 50 + 1, rng.dirichlet([0.05, 0.05, 0.02, 0.002], 400))]
+    off, n, _ = check_rates(spark, rows, [0.55, 0.2, 0.15, 0.1])
+    check_rates(spark, rows, [0.0, 0.0, 0.0, 1.0])
+    check_rates(spark, [(0, [0.5, 0.5]), (7, [1.0, 0.0]), (10**4, [0.0, 1.0])], [0.5, 0.5])
+
+
+@pytest.mark.parametrize("french", [0, 2])
+def test_mixing_after_a_language_has_vanished(spark, french):
+    """What an earlier stage leaves may lack a language: the corpus is not multiplied for its sake."""
+    docs = [(i, " ".join(f"word{(i * 7 + j) % 50}" for j in range(15)), "en") for i in range(200)] + [(200 + i, " ".join(f"mot{i}{j}" for j in range(15)), "fr") for i in range(french)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, domain string")
+    for targets in ({"en": 0.9, "fr": 0.1}, queries.LANGUAGE_TARGETS):
+        mixed = mixing.mix(docs, docs.select("doc_id"), targets)
+        rows, n = mixed.collect(), 15 * (200 + french)
+        assert sum(r["rate"] * r["n_tokens"] for r in rows) <= n * 1.001 and max(r["rate"] for r in rows) < 0.11 * n / 15
+        again = mixing.resample(docs, mixed)
+        assert again.count() <= 1.2 * len(rows)
+        if french and len(targets) == 2:
+            assert rows[0]["residual"] < 1e-3
 
 
 def test_mixing_resample_keeps_names_and_spreads_rows_without_id(spark):
