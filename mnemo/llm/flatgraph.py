@@ -16,9 +16,12 @@ audit found in the end is a column of the result, null where no audited vector h
 Links leave a shard only as counts and as local roots of its components; the global components are joined from those.
 A shard with more members than a task should hold is dealt to blocks, and each two blocks meet in a task of their own.
 
-Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, rows without vec_id, and
-vectors of another dimension than the commonest link with nothing: no links, a component of their own, kept. Equal
-vectors, also of repeated rows, link with each other. An empty table gives no rows; other columns are not read.
+Vectors of different dimensions have no cosine: each dimension has centres, shards, an audit and a graph of its own,
+but for dimensions with at most FEW classes (the commonest one apart), which are compared exactly, each in one task.
+
+Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, and rows without vec_id link
+with nothing: no links, a component of their own, kept. Equal vectors, also of repeated rows, link with each other. The
+recall is the least of the dimensions that have a graph. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ SHARD, SAMPLE, OVERLAP, BLOCK = 1500, 50_000, 3, 12_000
 CANDIDATES, DEGREE, ALPHA, BEAM, OPENED, SLACK = 40, 20, 1.2, 24, 4, 0.05
 #: Queries times nodes of a search at a time.
 ENTRIES = 4 << 20
+#: Classes of a dimension that are compared without a graph.
+FEW = 2000
 #: Audited vectors; as many as the second where fewer than LINKED of them have links.
 AUDITED, MOST_AUDITED, LINKED = 256, 4096, 64
 MEMBERS = "shard int, cid long, size long, shards binary, vec binary"
@@ -319,8 +324,39 @@ def shared_overlap(c: np.ndarray, x: np.ndarray, threshold: float, recall: float
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)])
 
 
+def few_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """All links of a dimension's few classes: cid, links, root of those with links."""
+    ids, weight = pdf["cid"].to_numpy(np.int64), pdf["size"].to_numpy(np.int64)
+    x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    a, b = np.nonzero((x @ x.T >= threshold) & ~np.eye(len(x), dtype=bool))
+    links = np.zeros(len(ids), np.int64)
+    np.add.at(links, a, weight[b])
+    some = np.flatnonzero(links)
+    return pd.DataFrame({"cid": ids[some], "links": links[some], "root": ids[unite(len(ids), a, b)][some]})
+
+
+def graph_links(classes: DataFrame, n: int, dim: int, threshold: float, recall: float, shard: int, block: int) -> tuple[DataFrame, float | None]:
+    """cid, links, root of the linked classes of one dimension, n of them, and the recall that the audit found."""
+    spark = classes.sparkSession
+    k = max(1, min(-(-n // shard), SAMPLE // 16))
+    _, sample = collect_rows(classes, SAMPLE, 0, dim)
+    c = centres(sample, k)
+    truth = audit(classes, n, dim, threshold)
+    overlap = min(max(OVERLAP, shared_overlap(c, sample, threshold, recall)), k)
+    while True:
+        found = links_in_shards(classes, c, overlap, threshold, block)
+        audited = spark.createDataFrame(list(truth.items()), "cid long, truth long")
+        links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+        got = audited.join(links, "cid", "left").agg(F.avg(F.coalesce("links", F.lit(0)) / F.col("truth"))).first()[0]
+        if overlap >= k or got is None or got >= recall:  # got: None without linked vectors
+            return found, got
+        overlap = min(k, 2 * overlap)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept for vectors(vec_id, embedding)."""
+    """vec_id, n_links, component_id, kept, recall for vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
     scratch.ship_code(spark)
     v = F.transform("embedding", lambda e: e.cast("double"))
@@ -329,28 +365,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     ) & F.exists("v", lambda e: e != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("usable", F.coalesce(usable, F.lit(False)))
     rows = rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v"), "dim": F.size("v")})
-    dim = rows.filter("usable").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    own = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("double").alias("recall"))
-    if dim is None:
-        return own
-    good = F.col("usable") & (F.col("dim") == dim["dim"])
+    good = F.col("usable")
     # Classes have numbers of their own: a vec_id may recur with another vector.
-    classes = rows.filter(good).groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("v").alias("v"))
+    classes = rows.filter(good).groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("dim").alias("dim"), F.first("v").alias("v"))
     classes = scratch.materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    n = classes.count()
-    k = max(1, min(-(-n // shard), SAMPLE // 16))
-    _, sample = collect_rows(classes, SAMPLE, 0, dim["dim"])
-    c = centres(sample, k)
-    truth = audit(classes, n, dim["dim"], threshold)
-    overlap = min(max(OVERLAP, shared_overlap(c, sample, threshold, recall)), k)
-    while True:
-        found = links_in_shards(classes, c, overlap, threshold, block)
-        links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-        audited = spark.createDataFrame(list(truth.items()), "cid long, truth long")
-        got = audited.join(links, "cid", "left").agg(F.avg(F.coalesce("links", F.lit(0)) / F.col("truth"))).first()[0]
-        if overlap >= k or got is None or got >= recall:  # got: None without linked vectors
-            break
-        overlap = min(k, 2 * overlap)
+    dims = [(r["dim"], r["count"]) for r in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").collect()]  # a row a dimension
+    large = [x for i, x in enumerate(dims) if not i or x[1] > FEW]
+    parts, recalls = [], []
+    for dim, n in large:
+        found, got = graph_links(classes.filter(F.col("dim") == dim), n, dim, threshold, recall, shard, block)
+        parts.append(found)
+        recalls += [] if got is None else [got]
+    if len(dims) > len(large) or not dims:
+        few = classes.filter(~F.col("dim").isin([dim for dim, _ in large])) if large else classes
+        few = few.select("dim", "cid", "size", "v").groupBy("dim").applyInPandas(lambda p: few_links(p, threshold), "cid long, links long, root long")
+        parts.append(scratch.materialise(few, "few-links"))
+    found = parts[0]
+    for other in parts[1:]:
+        found = found.unionByName(other)
+    links, got = found.groupBy("cid").agg(F.sum("links").alias("links")), min(recalls, default=None)
     roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = least_values(roots, classes.select(F.col("cid").alias("id"), F.col("least").alias("value"))).withColumnRenamed("id", "cid")
     per_class = (

@@ -101,13 +101,13 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.fit(labelled_toxicity(spark, sf_dir, docs), TOXIC_CHAIN))
 
 
-#: The corpus holds languages and lengths in other shares than the labelled documents: all but this share of the
-#: documents labelled good set the level from which importance counts.
+#: For the pipeline, which is to keep clean documents of every language and length, however few are labelled: all but this
+#: share of the documents labelled good set the level from which importance counts. The query samples by the plain ratio.
 QUALITY_ALLOW = 0.005
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), allow=QUALITY_ALLOW)
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:

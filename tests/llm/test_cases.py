@@ -72,6 +72,19 @@ def test_flat_graph_with_ids_that_recur(spark):
     assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
 
 
+@pytest.mark.parametrize("few", [2000, 0])
+def test_flat_graph_links_in_every_dimension(spark, monkeypatch, few):
+    """Vectors of a rarer dimension link with each other, compared exactly or by a graph of their own."""
+    monkeypatch.setattr(flatgraph, "FEW", few)
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 0.001]), (5, [1.0, 0.0]), (6, [0.0, 1.0]), (7, [5.0]), (8, [-5.0]), (9, [2.0]), (10, [1e-9, 1e-9, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in flatgraph.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True),
+                   (7, 1, 7, True), (8, 0, 8, True), (9, 1, 7, False), (10, 0, 10, True)]
+    assert flatgraph.near_duplicates(df.limit(0)).collect() == []
+    assert [tuple(r)[:4] for r in flatgraph.near_duplicates(df.limit(0).union(spark.createDataFrame([(1, None)], df.schema))).collect()] == [(1, 0, 1, True)]
+
+
 # Mixing.
 def test_mixing_with_a_domain_without_rows(spark):
     docs = spark.createDataFrame([(i, "uno dos tres" if i % 2 else "one two three", "es" if i % 2 else "en") for i in range(20)], "doc_id long, text string, domain string")
