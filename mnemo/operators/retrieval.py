@@ -170,13 +170,20 @@ def semantic_dedup(df: DataFrame, threshold: float = 0.92) -> DataFrame:
     return df.groupBy("query_id").applyInPandas(greedy, schema)
 
 
+def tier(place: Column) -> Column:
+    """How much the reranker counts at a place."""
+    out = F.lit(policy.RERANK_TIERS[-1][1])
+    for last, weight in policy.RERANK_TIERS[-2::-1]:
+        out = F.when(place <= last, weight).otherwise(out)
+    return out
+
+
 def rerank(df: DataFrame, first: int = 20) -> DataFrame:
     """Boost by an injected model's score, more for better places: df(query_id, node_id, score, rank, model)."""
     w = Window.partitionBy("query_id")
     z, a = F.max(F.when(F.col("rank") <= first, F.col("model"))).over(w), F.min(F.when(F.col("rank") <= first, F.col("model"))).over(w)
     norm = F.when(z > a, (F.col("model") - a) / (z - a)).otherwise(0.5)
-    tier = F.when(F.col("rank") <= 3, 0.15).when(F.col("rank") <= 10, 0.30).otherwise(0.50)
-    return df.withColumn("score", F.when(F.col("rank") <= first, F.col("score") * (1 + tier * norm)).otherwise(F.col("score")))
+    return df.withColumn("score", F.when(F.col("rank") <= first, F.col("score") * (1 + tier(F.col("rank")) * norm)).otherwise(F.col("score")))
 
 
 def graph_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, fade: float = 0.4, least: float = 0.10, least_weight: float = 0.2) -> DataFrame:

@@ -49,31 +49,10 @@ def win_maxnorm(spark, d):
     return ranked(spark, d).select("query_id", "node_id", F.round(rt.maxnorm("bm25", "query_id"), 4).alias("score"))
 
 
-@query(f"AND {BM25}, {TOP} SELECT query_id, round(max(CASE WHEN rank = 1 THEN 1 / (1 + exp(-bm25 / 20)) END) - coalesce(max(CASE WHEN rank = 2 THEN 1 / (1 + exp(-bm25 / 20)) END), 0), 4) AS margin FROM t GROUP BY 1", "docs")
-def win_max_rest(spark, d):
-    """How far the best lies before the second, both squashed."""
-    s = 1 / (1 + F.exp(-F.col("bm25") / 20))
-    best = lambda n: F.max(F.when(F.col("rank") == n, s))
-    return ranked(spark, d).groupBy("query_id").agg(F.round(best(1) - F.coalesce(best(2), F.lit(0.0)), 4).alias("margin"))
-
-
-# How much the reranker counts in the first three places, to the tenth, and after.
-TIERS = (0.25, 0.40, 0.60)
-
-
-@query(f"AND {BM25}, {TOP} SELECT query_id, node_id, CASE WHEN rank <= 3 THEN 0.25 WHEN rank <= 8 THEN 0.40 ELSE 0.60 END::DOUBLE AS weight FROM t", "docs")
+@query(f"AND {BM25}, {TOP.replace('t AS', 't20 AS').replace('rank <= 10', 'rank <= 20')} SELECT query_id, node_id, CASE WHEN rank <= 3 THEN 0.15 WHEN rank <= 10 THEN 0.30 ELSE 0.50 END::DOUBLE AS weight FROM t20", "docs")
 def win_position_tier(spark, d):
-    r = F.col("rank")
-    return ranked(spark, d).select("query_id", "node_id", F.when(r <= 3, TIERS[0]).when(r <= 8, TIERS[1]).otherwise(TIERS[2]).alias("weight"))
-
-
-@query(f"""AND {BM25}, {TOP}, n AS (SELECT *, bm25 / max(bm25) OVER (PARTITION BY query_id) AS s FROM t), g AS (SELECT query_id, max(CASE WHEN rank = 1 THEN bm25 END) AS top, max(CASE WHEN rank = 1 THEN bm25 END) - coalesce(max(CASE WHEN rank = 2 THEN bm25 END), 0) AS gap FROM t GROUP BY 1)
-SELECT query_id, top / (top + 10) >= 0.85 AND gap / top >= 0.15 AS strong FROM g""", "docs")
-def ret_strong_signal(spark, d):
-    """Queries that one text answers so clearly that fusion is left out: squashed score and relative gap."""
-    best = lambda n: F.max(F.when(F.col("rank") == n, F.col("bm25")))
-    g = ranked(spark, d).groupBy("query_id").agg(best(1).alias("top"), F.coalesce(best(2), F.lit(0.0)).alias("second"))
-    return g.select("query_id", ((F.col("top") / (F.col("top") + 10) >= 0.85) & ((F.col("top") - F.col("second")) / F.col("top") >= 0.15)).alias("strong"))
+    """Over the twenty places that the reranker sees."""
+    return ranked(spark, d, 20).select("query_id", "node_id", rt.tier(F.col("rank")).alias("weight"))
 
 
 @query(f"AND {BM25}, {TOP} SELECT t.query_id, t.node_id FROM t JOIN docs d USING (node_id) WHERE t.rank <= 10", "docs")
@@ -324,13 +303,6 @@ def ret_unified(spark, d):
     return talk(spark, d).select("conv_id", "turn", mode.alias("mode"))
 
 
-@query(f"""AND {BM25}, {TOP}, c AS (SELECT query_id, max(bm25) / 40 AS c FROM t GROUP BY 1), r AS (SELECT query_id, least(1, c) AS confidence, c < 0.5 AS retried FROM c) SELECT query_id, round(confidence, 4) AS confidence, retried FROM r""", "docs")
-def ret_adaptive_retry(spark, d):
-    """Queries whose best answer is so unsure that they run again with lower thresholds."""
-    c = ranked(spark, d).groupBy("query_id").agg((F.max("bm25") / 40).alias("c"))
-    return c.select("query_id", F.round(F.least(F.lit(1.0), F.col("c")), 4).alias("confidence"), (F.col("c") < 0.5).alias("retried"))
-
-
 @query(f"""AND {BM25}, {TOP}, v AS (SELECT query_id, node_id, bm25, 1.0::DOUBLE AS weight FROM t UNION ALL SELECT query_id, node_id, bm25, 0.8::DOUBLE FROM t WHERE rank <= 3)
 SELECT query_id, node_id, round(sum(bm25 * weight), 5) AS score FROM v GROUP BY ALL""", "docs")
 def ret_expand_llm(spark, d):

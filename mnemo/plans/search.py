@@ -36,7 +36,8 @@ f AS (SELECT node_id, sum(part) / max(sum(part)) OVER () AS rrf FROM c GROUP BY
 
 @query(f"AND {TEXT_CHANNEL}, {TIME_CHANNEL}, {FUSED}, s AS (SELECT d.node_id, rrf * {WEIGHT} * {FEEDBACK} * {PRIORITY} * {CREATED} * (1 + {LIKE} * 0.5::DOUBLE * 1.3::DOUBLE) AS score FROM docs d JOIN f ON f.node_id = d.node_id WHERE NOT {EXPIRED} AND {ACTIVE})"
        " SELECT node_id, round(score / max(score) OVER (), 6) AS relevance, CAST(row_number() OVER (ORDER BY score DESC, node_id) AS INTEGER) AS rank FROM s ORDER BY score DESC, node_id LIMIT 10", "docs")
-def ret_hybrid(spark, d):
+def ret_hybrid_words(spark, d):
+    """One query of three words over text and time."""
     m = docs(spark, d).withColumn("last_accessed", F.col("created_at"))
     return rt.hybrid(m, HYBRID_WORDS, as_of(HYBRID_RANGE[0]), as_of(HYBRID_RANGE[1]), as_of())
 

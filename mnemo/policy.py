@@ -77,6 +77,8 @@ SURFACING = {
     "general": (0.50, 0.35, 0.10, 1.0), "error_debug": (0.40, 0.45, 0.08, 1.0), "file_edit": (0.50, 0.35, 0.10, 2.0),
     "session_start": (0.45, 0.40, 0.10, 1.0), "planning": (0.45, 0.40, 0.10, 1.5), "review": (0.45, 0.40, 0.10, 1.5),
 }
+#: Up to which place the reranker counts how much; the last for all after.
+RERANK_TIERS = [(3, 0.15), (10, 0.30), (None, 0.50)]
 RRF_K, TEMPORAL_WEIGHT, ENTITY_WEIGHT = 60, 1.2, 0.8
 RATINGS = {"helpful": 1, "unhelpful": -1, "outdated": -2}
 FLAGGED_AT = -3

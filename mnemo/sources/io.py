@@ -29,6 +29,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: computed once, no lineage, whatever executors are lost later."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_json(df: DataFrame, path: str) -> None:
     """Memories as JSON lines, a document of counts beside them: every executor writes its own part."""
     df.write.mode("overwrite").json(f"{path}/nodes")

@@ -40,4 +40,4 @@ def test_runs(spark, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert 0 < __spark_entry__.entry(spark).count() <= 10
+    assert __spark_entry__.entry(spark).count() > 0
