@@ -459,11 +459,6 @@ def hx_packet_scope_row(spark, d):
 EDGE = "CASE edge_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in policy.PACKET_EDGE.items()) + " ELSE 1.0 END::DOUBLE"
 
 
-@query(f"SELECT source_id, target_id, round({EDGE}, 6) AS mult FROM links", "mem", "links")
-def ctx_edge_mult(spark, d):
-    return links(spark, d).select("source_id", "target_id", F.round(policy.by_type(policy.PACKET_EDGE, "edge_type", 1.0), 6).alias("mult"))
-
-
 @query(f"SELECT source_id, target_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY round(weight * {EDGE}, 6) DESC, weight DESC, target_id) AS INTEGER) AS place FROM links", "mem", "links")
 def hx_packet_chain_rank(spark, d):
     score = F.round(F.col("weight") * policy.by_type(policy.PACKET_EDGE, "edge_type", 1.0), 6)
@@ -480,22 +475,6 @@ def packet(spark, d):
     return mem(spark, d).withColumn("reason", cx.admission(as_of(), stale_days=20)).withColumn("score", F.col("priority") + 0.1 * F.col("access_count"))
 
 
-@query(f"AND {PACKET}, r AS (SELECT *, sum(length(content) // 4) OVER w AS used, row_number() OVER w AS place FROM pk WHERE reason IS NULL WINDOW w AS (PARTITION BY project ORDER BY score DESC, node_id)) SELECT project, node_id, CAST(place AS INTEGER) AS place FROM r WHERE used <= 200 AND place <= 8", "mem")
-def ctx_packet(spark, d):
-    p = packet(spark, d).filter("reason is null")
-    return cx.budgeted(p, 200, "project").filter("place <= 8").select("project", "node_id", F.col("place").cast("int").alias("place"))
-
-
-@query(f"AND {PACKET}, r AS (SELECT *, row_number() OVER (PARTITION BY project, event_type ORDER BY score DESC, node_id) AS n FROM pk WHERE reason IS NULL), t AS (SELECT * FROM r WHERE n <= 4 QUALIFY row_number() OVER (PARTITION BY project ORDER BY score DESC, node_id) <= 8) SELECT project, array_to_string(list('- [' || event_type || '] ' || content ORDER BY score DESC, node_id), chr(10)) AS text FROM t GROUP BY 1", "mem")
-def ctx_render(spark, d):
-    """Lines of the best items: four of a type and eight of a packet at most."""
-    p = packet(spark, d).filter("reason is null")
-    few = rt.top(p, 4, "score", "project", "event_type", rank="n")
-    few = rt.top(few, 8, "score", "project", rank="place")
-    lines = F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- ["), "event_type", F.lit("] "), "content").alias("line"))))
-    return few.groupBy("project").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
-
-
 SEVERITY = "CASE reason WHEN 'contradicts' THEN 3 WHEN 'flagged' THEN 2 WHEN 'stale' THEN 1 ELSE 0 END"
 
 
