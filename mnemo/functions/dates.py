@@ -45,7 +45,7 @@ def temporal_range(text: Column, now: Column) -> Column:
         .when(t.rlike(r"last (week|month|year)"), span(before, start_of))
         .when(t.rlike(r"this (week|month|year)"), span(start_of, now))
         .when(t.rlike(month_year), span(first, F.add_months(first, 1)))
-        .when(t.rlike(iso), span(on, on + days(one)))
+        .when(on.isNotNull(), span(on, on + days(one)))
         .when(t.rlike(in_year), span(year, F.add_months(year, 12)))
     )
 
@@ -94,3 +94,51 @@ def date_keywords(text: Column, now: Column) -> Column:
         F.when(bare.isNotNull() & ~its_year, in_month(bare, latest)),
         F.when(part(dated, 1).isNotNull(), in_month(part(dated, 1), part(dated, 2))),
     ))
+
+
+def anchored_range(text: Column, anchor: Column) -> Column:
+    """struct(start, end): the range of time that a question asked at `anchor` means, each row by its own; null if none.
+
+    In this order: the last weekday or weekend (two days either side), some units ago (a quarter of them either side, three
+    days at least), between two dates (a day more on both sides), the last units (a day more), a month of a year (a day
+    more on both sides). Months are 30 days and years 365; numbers are digits or words. An impossible date or an unknown
+    number lets the next form try, but for "last <word> weeks", which ends it. Numbers above 100,000 mean nothing.
+    """
+    t = F.coalesce(text, F.lit(""))
+    part = lambda p, i: F.regexp_extract(t, p, i)
+    span = lambda a, b: F.struct(a.cast("timestamp").alias("start"), b.cast("timestamp").alias("end"))
+    micros = lambda days: F.make_dt_interval(days.cast("int"))
+    table = F.create_map(*(F.lit(y) for x in NUMBERS.items() if x[0] != "a" for y in x))
+
+    def number(word: Column) -> Column:
+        digits = word.rlike("^[0-9]+$") & (F.length(word) <= 6)
+        n = F.when(digits, word.try_cast("int")).otherwise(F.try_element_at(table, F.lower(word)))
+        return F.when(n <= 100_000, n)
+
+    def length(pattern: str) -> Column:
+        unit = F.lower(part(pattern, 2))
+        return number(part(pattern, 1)) * F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).otherwise(365)
+
+    weekday = rf"(?i)last\s+({'|'.join(DAYS)}|weekend)"
+    ago = r"(?i)([0-9]+|[a-z]+)\s+(day|week|month|year)s?\s+ago"
+    dates = r"(?i)(?:between|from)\s+([0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2})\s+(?:and|to)\s+([0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2})"
+    last = r"(?i)(?:last|past|previous)\s+([0-9]+|[a-z]+)\s+(day|week|month|year)s?"
+    month = rf"(?i)in\s+({'|'.join(MONTHS)})\s+([0-9]{{4}})"
+    name = F.lower(part(weekday, 1))
+    target = F.when(name == "weekend", 5).otherwise(F.array_position(F.array(*map(F.lit, DAYS)), name) - 1)
+    back = F.pmod(F.weekday(anchor) - target, F.lit(7))
+    day = anchor - micros(F.when(back == 0, 7).otherwise(back))
+    size = length(ago)
+    buffer = F.greatest(F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (size * 21600).cast("decimal(18,6)")), F.expr("INTERVAL 3 DAYS"))
+    centre = anchor - micros(size)
+    at = lambda i: F.try_to_date(F.regexp_replace(part(dates, i), "/", "-"), "yyyy-M-d")
+    one = F.expr("INTERVAL 1 DAY")
+    first = F.make_date(part(month, 2).try_cast("int"), F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(month, 1))).cast("int"), F.lit(1)).cast("timestamp")
+    two = F.expr("INTERVAL 2 DAYS")
+    return (
+        F.when(anchor.isNull(), None).when(t.rlike(weekday), span(day - two, day + two))
+        .when(t.rlike(ago) & size.isNotNull(), span(centre - buffer, centre + buffer))
+        .when(t.rlike(dates) & at(1).isNotNull() & at(2).isNotNull(), span(F.least(at(1), at(2)).cast("timestamp") - one, F.greatest(at(1), at(2)).cast("timestamp") + one))
+        .when(t.rlike(last), F.when(length(last).isNotNull(), span(anchor - micros(length(last)) - one, anchor)))
+        .when(t.rlike(month) & (part(month, 2) != "0000"), span(first - one, F.add_months(first, 1).cast("timestamp") + one))
+    )

@@ -101,38 +101,67 @@ def rrf(channels: DataFrame, weights: dict[str, float], k: int = policy.RRF_K) -
     return fused.withColumn("rrf", maxnorm("rrf", "query_id"))
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.1) -> DataFrame:
-    """The k nearest vectors of each query by cosine: queries(query_id, q), vectors(node_id, v).
+def usable(v: str) -> Column:
+    """Whether a vector (array of double) has a cosine: not null, empty or zero, every component finite."""
+    good = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
+    return F.coalesce(good, F.lit(False))
 
-    Queries go to the vectors in blocks, each a row of one array, so that a vector meets a block of queries in one row
-    and keeps its cosines with them as an array; no pair is shuffled before the first cut.
+
+def packed(rows: DataFrame, names: str, size: int, *within: str) -> DataFrame:
+    """rows(id, v, *within) in blocks of about `size`: *within, dim, block, ids and the unit vectors as one binary."""
+    import numpy as np
+
+    n = max(1, -(-rows.count() // size))
+    rows = rows.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")})
+    keys = [*within, "dim", "block"]
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "ids": pdf["id"].tolist(), "vecs": x.tobytes()}])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"ids array<{types['id']}>", "vecs binary"])
+    return rows.groupBy(*keys).applyInPandas(pack, schema).withColumnsRenamed({"ids": f"{names}_ids", "vecs": f"{names}_vecs", "block": f"{names}_block"})
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.1, within: tuple[str, ...] = (), below: bool = False) -> DataFrame:
+    """The k nearest vectors of each query by cosine: queries(query_id, q), vectors(node_id, v); a query's own id counts.
+
+    Queries and vectors are packed in blocks of unit vectors; blocks meet, never rows, and each meeting keeps k a query.
+    Only rows that agree in the columns `within` meet, and with below only vectors of smaller ids. Vectors that have no
+    cosine take no part, and those of another dimension than the query's are no candidates. Ties go to the smaller id.
     """
     import numpy as np
 
-    size = 256
-    blocks = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).groupBy(
-        F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // size)))).alias("block")
-    ).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))  # about `size` queries each
-
-    def nearest(pdf_iter):
-        for pdf in pdf_iter:
-            for _, r in pdf.iterrows():
-                ids = np.array([x["node_id"] for x in r["held"]])
-                v = np.array([list(x["v"]) for x in r["held"]], np.float64)
-                qs = [x["query_id"] for x in r["asked"]]
-                q = np.array([list(x["q"]) for x in r["asked"]], np.float64)
-                size_v, size_q = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
-                s = (q @ v.T) / np.maximum(size_q[:, None] * size_v[None, :], 1e-300)
-                for i, name in enumerate(qs):
-                    order = np.lexsort((ids, -s[i]))[:k]
-                    order = order[s[i][order] >= least]
-                    yield pd.DataFrame({"query_id": name, "node_id": ids[order], "score": s[i][order]})
-
-    held = vectors.select("node_id", F.col("v").cast("array<double>").alias("v")).groupBy(
-        F.pmod(F.xxhash64("node_id"), F.lit(max(1, -(-vectors.count() // 4096)))).alias("part")
-    ).agg(F.collect_list(F.struct("node_id", "v")).alias("held"))  # about 4096 vectors each
+    q = queries.select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("v"), *within).filter(F.col("id").isNotNull() & usable("v"))
+    v = vectors.select(F.col("node_id").alias("id"), F.col("v").cast("array<double>").alias("v"), *within).filter(F.col("id").isNotNull() & usable("v"))
+
+    def nearest(batches):
+        for pdf in batches:
+            for held_ids, held_vecs, asked_ids, asked_vecs, dim in zip(pdf["held_ids"], pdf["held_vecs"], pdf["asked_ids"], pdf["asked_vecs"], pdf["dim"], strict=True):
+                ids, names = np.asarray(held_ids), np.asarray(asked_ids)
+                order = np.argsort(ids, kind="stable")  # so that a stable sort by nearness leaves ties by id
+                ids, x = ids[order], np.frombuffer(held_vecs).reshape(-1, dim)[order]
+                s = np.frombuffer(asked_vecs).reshape(-1, dim) @ x.T
+                if below:
+                    s[ids[None, :] >= names[:, None]] = -2
+                at, to = [], []
+                for i, row in enumerate(s):
+                    some = np.flatnonzero(row >= least)
+                    if len(some) > k:
+                        some = some[row[some] >= np.partition(row[some], len(some) - k)[len(some) - k]]
+                    some = some[np.argsort(-row[some], kind="stable")][:k]
+                    at.append(np.full(len(some), i))
+                    to.append(some)
+                at, to = np.concatenate(at), np.concatenate(to)
+                yield pd.DataFrame({"query_id": names[at], "node_id": ids[to], "score": s[at, to]})
+
+    held, asked = packed(v, "held", 4096, *within), packed(q, "asked", 512, *within)
     types = f"query_id {queries.schema['query_id'].dataType.simpleString()}, node_id {vectors.schema['node_id'].dataType.simpleString()}, score double"
-    return top(held.crossJoin(blocks).mapInPandas(nearest, types), k, "score", "query_id")  # blocks meet, not rows
+    pairs = held.join(asked, [*within, "dim"])  # blocks
+    return top(pairs.mapInPandas(nearest, types), k, "score", "query_id")
 
 
 def guard(df: DataFrame, best: Column, at: int = 3) -> DataFrame:

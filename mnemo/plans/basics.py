@@ -226,17 +226,61 @@ def fn_duration(spark, d):
     return table(spark, d, "events").select(k).distinct().select("k", F.coalesce(tx.duration_seconds(t), F.lit(-1)).alias("seconds"))
 
 
-RANGES = ["notes of the last 3 days", "we met 2 weeks ago", "yesterday and today", "today", "last month", "this year", "in march 2023 it was", "on 2024-01-15 at noon", "in 2022", "whenever"]
+# Turns that name a time before what they say, and when each was said.
+SAID = """said AS (SELECT conv_id, turn, TIMESTAMP '2024-01-31 09:30:00' + INTERVAL '1' DAY * (conv_id % 300) + INTERVAL '1' HOUR * turn AS told, CASE (conv_id * 5 + turn) % 16
+  WHEN 0 THEN 'What happened three weeks ago? ' WHEN 1 THEN conv_id % 40 || ' days ago we met. ' WHEN 2 THEN 'Last Friday, or last week? ' WHEN 3 THEN 'last weekend it rained. ' WHEN 4 THEN 'between 2023/3/4 and 2023-2-1 it was. '
+  WHEN 5 THEN 'past two months of it. ' WHEN 6 THEN 'in March 2023 it was. ' WHEN 7 THEN 'the last few weeks, in May 2022. ' WHEN 8 THEN 'previous 3 years of notes. ' WHEN 9 THEN 'some weeks ago, from 2023-02-30 to 2023-03-01, in 2022. '
+  WHEN 10 THEN 'yesterday and today. ' WHEN 11 THEN 'today. ' WHEN 12 THEN 'this year. ' WHEN 13 THEN 'on 2024-01-15 at noon. ' WHEN 14 THEN 'the last 3 days. ' ELSE 'in december 2021. ' END || text AS text FROM conversations)"""
 
 
-@query("""SELECT * FROM (VALUES ('notes of the last 3 days', TIMESTAMP '2024-01-29', TIMESTAMP '2024-02-01'), ('we met 2 weeks ago', TIMESTAMP '2024-01-18', TIMESTAMP '2024-01-19'),
- ('yesterday and today', TIMESTAMP '2024-01-31', TIMESTAMP '2024-02-01'), ('today', TIMESTAMP '2024-02-01', TIMESTAMP '2024-02-01'), ('last month', TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01'),
- ('this year', TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01'), ('in march 2023 it was', TIMESTAMP '2023-03-01', TIMESTAMP '2023-04-01'), ('on 2024-01-15 at noon', TIMESTAMP '2024-01-15', TIMESTAMP '2024-01-16'),
- ('in 2022', TIMESTAMP '2022-01-01', TIMESTAMP '2023-01-01'), ('whenever', NULL, NULL)) t(q, range_start, range_end)""")
+def said(spark, d):
+    return spark.sql("WITH " + SAID.replace("FROM conversations", "FROM {conversations}") + " SELECT * FROM said", conversations=table(spark, d, "conversations"))
+
+
+NUMBER = "(CASE WHEN regexp_full_match({w}, '[0-9]{{1,6}}') THEN TRY_CAST({w} AS INT) ELSE CASE lower({w}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in dates.NUMBERS.items() if k != "a") + " END END)"
+UNIT = "(CASE lower({u}) WHEN 'day' THEN 1 WHEN 'week' THEN 7 WHEN 'month' THEN 30 ELSE 365 END)"
+
+
+def pick(pattern: str, i: int) -> str:
+    return f"regexp_extract(text, '{pattern}', {i}, 'i')"
+
+
+P_DAY = f"last\\s+({'|'.join(dates.DAYS)}|weekend)"
+P_AGO, P_LAST = "([0-9]+|[a-z]+)\\s+(day|week|month|year)s?\\s+ago", "(?:last|past|previous)\\s+([0-9]+|[a-z]+)\\s+(day|week|month|year)s?"
+P_BETWEEN = "(?:between|from)\\s+([0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2})\\s+(?:and|to)\\s+([0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2})"
+P_MONTH = f"in\\s+({'|'.join(dates.MONTHS)})\\s+([0-9]{{4}})"
+DAY_LIST, MONTH_LIST = (f"[{', '.join(repr(x) for x in names)}]" for names in (dates.DAYS, dates.MONTHS))
+
+
+@query(f"""WITH {SAID}, x AS (SELECT *, lower({pick(P_DAY, 1)}) AS wd, {NUMBER.format(w=pick(P_AGO, 1))} * {UNIT.format(u=pick(P_AGO, 2))} AS ago, TRY_CAST(replace({pick(P_BETWEEN, 1)}, '/', '-') AS DATE) AS d1, TRY_CAST(replace({pick(P_BETWEEN, 2)}, '/', '-') AS DATE) AS d2,
+  {pick(P_LAST, 1)} AS lw, {NUMBER.format(w=pick(P_LAST, 1))} * {UNIT.format(u=pick(P_LAST, 2))} AS ln, list_position({MONTH_LIST}, lower({pick(P_MONTH, 1)})) AS mo, TRY_CAST({pick(P_MONTH, 2)} AS INT) AS yr FROM said),
+y AS (SELECT *, told - INTERVAL '1' DAY * CASE WHEN back = 0 THEN 7 ELSE back END AS day, CASE WHEN mo > 0 THEN make_date(yr, mo, 1) END AS m1 FROM (SELECT *, ((isodow(told) - 1 - CASE wd WHEN 'weekend' THEN 5 ELSE list_position({DAY_LIST}, wd) - 1 END) % 7 + 7) % 7 AS back FROM x)),
+r AS (SELECT conv_id, turn, CASE WHEN wd <> '' THEN {{'a': day - INTERVAL 2 DAY, 'b': day + INTERVAL 2 DAY}} WHEN ago IS NOT NULL THEN {{'a': told - INTERVAL '1' DAY * ago - greatest(INTERVAL '6' HOUR * ago, INTERVAL 72 HOUR), 'b': told - INTERVAL '1' DAY * ago + greatest(INTERVAL '6' HOUR * ago, INTERVAL 72 HOUR)}}
+  WHEN d1 IS NOT NULL AND d2 IS NOT NULL THEN {{'a': CAST(least(d1, d2) AS TIMESTAMP) - INTERVAL 1 DAY, 'b': CAST(greatest(d1, d2) AS TIMESTAMP) + INTERVAL 1 DAY}} WHEN lw <> '' THEN CASE WHEN ln IS NOT NULL THEN {{'a': told - INTERVAL '1' DAY * ln - INTERVAL 1 DAY, 'b': told}} END
+  WHEN m1 IS NOT NULL THEN {{'a': CAST(m1 AS TIMESTAMP) - INTERVAL 1 DAY, 'b': m1 + INTERVAL 1 MONTH + INTERVAL 1 DAY}} END AS r FROM y)
+SELECT conv_id, turn, CAST(r.a AS VARCHAR) AS range_start, CAST(r.b AS VARCHAR) AS range_end FROM r""")
+def fn_temporal_anchored(spark, d):
+    """The range of time that each turn means, counted from when it was said."""
+    q = said(spark, d)
+    r = dates.anchored_range(F.col("text"), F.col("told"))
+    return q.select("conv_id", "turn", r["start"].cast("string").alias("range_start"), r["end"].cast("string").alias("range_end"))
+
+
+IN_MONTH = f"({'|'.join(dates.MONTHS)}) ([0-9]{{4}})"
+
+
+@query(f"""WITH {SAID}, x AS (SELECT conv_id, turn, told, lower(text) AS t, CAST(told AS DATE) AS day FROM said), z AS (SELECT *, TRY_CAST(regexp_extract(t, '(?:last|past) ([0-9]+) (day|week|month|year)s?', 1) AS INT) * {UNIT.format(u="regexp_extract(t, '(?:last|past) ([0-9]+) (day|week|month|year)s?', 2)")} AS ln,
+  TRY_CAST(regexp_extract(t, '([0-9]+) (day|week|month|year)s? ago', 1) AS INT) * {UNIT.format(u="regexp_extract(t, '([0-9]+) (day|week|month|year)s? ago', 2)")} AS ago, regexp_extract(t, '(?:last|this) (week|month|year)', 1) AS unit FROM x),
+s AS (SELECT *, CASE unit WHEN 'week' THEN date_trunc('week', told) WHEN 'month' THEN date_trunc('month', told) ELSE date_trunc('year', told) END AS so, CASE unit WHEN 'week' THEN INTERVAL 7 DAY WHEN 'month' THEN INTERVAL 1 MONTH ELSE INTERVAL 12 MONTH END AS width,
+  make_date(TRY_CAST(regexp_extract(t, '{IN_MONTH}', 2) AS INT), CAST(list_position({MONTH_LIST}, regexp_extract(t, '{IN_MONTH}', 1)) AS INT), 1) AS m1, TRY_CAST(regexp_extract(t, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS TIMESTAMP) AS iso, TRY_CAST(regexp_extract(t, 'in ([0-9]{{4}})(?:[^0-9]|$)', 1) AS INT) AS yr FROM z),
+r AS (SELECT conv_id, turn, CASE WHEN ln IS NOT NULL THEN {{'a': told - INTERVAL '1' DAY * ln, 'b': told}} WHEN ago IS NOT NULL THEN {{'a': CAST(day AS TIMESTAMP) - INTERVAL '1' DAY * ago, 'b': CAST(day AS TIMESTAMP) - INTERVAL '1' DAY * ago + INTERVAL 1 DAY}}
+  WHEN contains(t, 'yesterday') THEN {{'a': CAST(day AS TIMESTAMP) - INTERVAL 1 DAY, 'b': CAST(day AS TIMESTAMP)}} WHEN contains(t, 'today') THEN {{'a': CAST(day AS TIMESTAMP), 'b': told}} WHEN regexp_matches(t, 'last (week|month|year)') THEN {{'a': CAST(so - width AS TIMESTAMP), 'b': CAST(so AS TIMESTAMP)}}
+  WHEN regexp_matches(t, 'this (week|month|year)') THEN {{'a': CAST(so AS TIMESTAMP), 'b': told}} WHEN regexp_matches(t, '{IN_MONTH}') THEN {{'a': CAST(m1 AS TIMESTAMP), 'b': CAST(m1 + INTERVAL 1 MONTH AS TIMESTAMP)}} WHEN iso IS NOT NULL THEN {{'a': iso, 'b': iso + INTERVAL 1 DAY}}
+  WHEN yr IS NOT NULL THEN {{'a': CAST(make_date(yr, 1, 1) AS TIMESTAMP), 'b': CAST(make_date(yr + 1, 1, 1) AS TIMESTAMP)}} END AS r FROM s) SELECT conv_id, turn, CAST(r.a AS VARCHAR) AS range_start, CAST(r.b AS VARCHAR) AS range_end FROM r""")
 def fn_temporal_range(spark, d):
-    q = spark.createDataFrame([(x,) for x in RANGES], "q string")
-    r = dates.temporal_range(F.col("q"), as_of())
-    return q.select("q", r["start"].alias("range_start"), r["end"].alias("range_end"))
+    """The range that each turn names, as a query said at that moment."""
+    r = dates.temporal_range(F.col("text"), F.col("told"))
+    return said(spark, d).select("conv_id", "turn", r["start"].cast("string").alias("range_start"), r["end"].cast("string").alias("range_end"))
 
 
 @query(f"SELECT node_id, round({AGE}, 6) AS days FROM mem", "mem")

@@ -125,11 +125,12 @@ NEAR = f"""sv AS (SELECT q.vec_id AS query_id, e.vec_id AS node_id, {COS} AS sco
 FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id AND {COS} >= 0.2)"""
 
 
-def similar(spark, d, least: float = 0.2):
-    """All pairs of a new vector and another at least so alike (the tables' vectors are random: none is very much)."""
+def similar(spark, d, least: float = 0.2, k: int = 1 << 30):
+    """Pairs of a new vector and another at least so alike, at most k a new one, itself counted (the tables' vectors are
+    random: none is very much). Without k, those who ask for every older memory of a kind get every one."""
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    found = rt.knn(q, e.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v")), 1 << 30, least).drop("rank").filter("query_id <> node_id")
+    found = rt.knn(q, e.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v")), k, least).drop("rank").filter("query_id <> node_id")
     kind = F.when(F.col("label") % 3 == 0, "decision").when(F.col("label") % 3 == 1, "error_pattern").otherwise("lesson_learned")
     t = e.select("vec_id", "label", kind.alias("kind"))
     return found.join(t.toDF("query_id", "label", "event_type"), "query_id").join(t.toDF("node_id", "old_label", "old_type"), "node_id")
@@ -138,7 +139,12 @@ def similar(spark, d, least: float = 0.2):
 @query(f"""AND {NEAR}, r AS (SELECT * FROM sv WHERE node_id < query_id AND score >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) = 1)
 SELECT query_id, node_id, round(score, 6) AS score, CASE WHEN event_type = 'error_pattern' THEN 'keep_old' ELSE 'supersede_old' END AS action FROM r""", "docs")
 def dd_embedding(spark, d):
-    n = dd.nearest_older(similar(spark, d, 0.25))
+    """The nearest older memory of each new one: each meeting of blocks keeps one."""
+    e = table(spark, d, "embeddings")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = rt.knn(q, e.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v")), 1, 0.25, below=True).drop("rank")
+    kind = F.when(F.col("label") % 3 == 0, "decision").when(F.col("label") % 3 == 1, "error_pattern").otherwise("lesson_learned")
+    n = found.join(e.select(F.col("vec_id").alias("query_id"), kind.alias("event_type")), "query_id")
     return n.select("query_id", "node_id", F.round("score", 6).alias("score"), F.when(F.col("event_type").isin(dd.KNOWLEDGE), "supersede_old").otherwise("keep_old").alias("action"))
 
 
@@ -158,7 +164,7 @@ SELECT query_id, node_id, CASE WHEN label = old_label THEN 'same_entity' WHEN ev
 WHERE label = old_label OR (event_type = old_type AND score >= 0.25) OR abs(query_id - node_id) <= 5 OR score >= 0.3""", "docs")
 def gr_auto_relate(spark, d):
     """Links of each new vector with its three nearest; an id is twelve minutes, and scores are scaled to the rule's."""
-    k = rt.top(similar(spark, d), 3, "score", "query_id")
+    k = rt.top(similar(spark, d, 0.2, 4), 3, "score", "query_id")
     gap = F.abs(F.col("query_id") - F.col("node_id")) / 5
     scaled = F.when(F.col("score") >= 0.3, 0.8).when(F.col("score") >= 0.25, 0.75).otherwise(0.0)
     kind = gr.edge_type(F.col("label") == F.col("old_label"), F.col("event_type") == F.col("old_type"), gap, scaled)

@@ -186,3 +186,14 @@ def win_max_rest(spark, d):
     at = lambda n: F.max(F.when(F.col("n") == n, F.col("sure")))
     out = places.groupBy("query_id").agg((at(1) - at(2)).alias("m"), F.count("*").alias("n")).filter("n > 1")
     return out.select("query_id", F.round("m", 6).alias("margin"), (F.round("m", 9) >= LIMITS.margin).alias("takes_first"))
+
+
+@query(f"""WITH ask AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 'decision' WHEN 1 THEN 'error_pattern' END AS hint FROM conversations), n AS (SELECT *, CASE WHEN {EXACT} THEN 'navigational' WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])(what|when|who|where|which|how many)([^a-z0-9_]|$)') THEN 'factual'
+  WHEN regexp_matches(lower(text), 'why|explain|concept|understand|overview|architecture|approach') THEN 'conceptual' ELSE 'none' END AS intent FROM ask)
+SELECT conv_id, turn, ['vec', 'text', 'word', 'ctx', 'graph'][i] AS channel, round({weights_sql(policy.PROFILES, 'hint', policy.PROFILES['_default'])}[i] * {weights_sql(policy.INTENTS, 'intent', [1] * 5)}[i], 6) AS weight FROM n, range(1, 6) t(i)""")
+def ret_channel_weights(spark, d):
+    """How much each channel counts for each turn as a query: the profile of the type in mind times its intent's."""
+    q = table(spark, d, "conversations").select("conv_id", "turn", "text", F.when(F.col("turn") % 3 == 0, "decision").when(F.col("turn") % 3 == 1, "error_pattern").alias("hint"), F.lit(None).cast("timestamp").alias("start"))
+    names = F.array(*map(F.lit, ("vec", "text", "word", "ctx", "graph")))
+    each = rp.plan(q, 10).select("conv_id", "turn", F.explode(F.arrays_zip(names.alias("channel"), F.col("pw").alias("weight"))).alias("e"))
+    return each.select("conv_id", "turn", "e.channel", F.round("e.weight", 6).alias("weight"))

@@ -115,14 +115,6 @@ def ret_fastpath(spark, d):
     return j.filter("s >= 0.15").select("conv_id", "turn", "node_id", F.round("s", 3).alias("relevance"))
 
 
-@query("SELECT profile, channel, weight FROM (VALUES " + ", ".join(f"('{p}', '{c}', CAST({w} AS DOUBLE))" for p, v in policy.PROFILES.items() for c, w in zip(("vec", "text", "word", "ctx", "graph"), v)) + ") AS t(profile, channel, weight)")
-def ret_channel_weights(spark, d):
-    rows = [(p, list(map(float, v))) for p, v in policy.PROFILES.items()]
-    names = F.array(*map(F.lit, ("vec", "text", "word", "ctx", "graph")))
-    each = F.explode(F.arrays_zip(names.alias("channel"), F.col("v").alias("weight")))
-    return spark.createDataFrame(rows, "profile string, v array<double>").select("profile", each.alias("e")).select("profile", "e.*")
-
-
 SIGNALS = ["prefer", "preference", "favorite", "favourite", "like", "likes", "always use", "default", "rather", "instead of"]
 
 
@@ -220,13 +212,12 @@ def ret_vec_brute(spark, d):
 
 @query(f"SELECT q.vec_id AS query_id, e.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) AS INTEGER) AS place, e.label FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id AND q.label = e.label AND {COS} >= 0.1 QUALIFY place <= 5")
 def ret_query_by_type(spark, d):
-    """The nearest vectors of the query's own type."""
+    """The nearest vectors of the query's own type: only blocks of one type meet, and each keeps six a query."""
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    found = rt.knn(q, e.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v")), 1 << 30, 0.1).drop("rank").filter("node_id <> query_id")
-    of = e.select("vec_id", "label")
-    same = found.join(of.toDF("query_id", "asked"), "query_id").join(of.toDF("node_id", "label"), "node_id").filter("asked = label")
-    return rt.top(same, 5, "score", "query_id", rank="place").select("query_id", F.col("node_id").alias("vec_id"), F.col("place").cast("int").alias("place"), "label")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    found = rt.knn(q, e.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("v"), "label"), 6, 0.1, ("label",)).drop("rank").filter("node_id <> query_id")
+    same = rt.top(found, 5, "score", "query_id", rank="place").join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    return same.select("query_id", F.col("node_id").alias("vec_id"), F.col("place").cast("int").alias("place"), "label")
 
 
 @query(f"SELECT q.vec_id AS node_id, max(e.vec_id) AS newest, count(*) AS n FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id AND {COS} >= 0.2 GROUP BY 1")

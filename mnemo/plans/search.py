@@ -127,10 +127,16 @@ def ret_intent(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.intent("text").alias("intent"))
 
 
-@query("SELECT * FROM (VALUES ('what is the auth model and which framework runs the api', 2), ('auth and api', 0), ('\"find and what this is, exactly here\"', 0)) t(q, n)")
+COMPOUND = """cp AS (SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'what is the auth model, and which framework runs the api? then how did ' WHEN 1 THEN 'auth and api of ' WHEN 2 THEN '"find and what this is, exactly here" and why ' ELSE 'which of these is it and is it also what we said plus where to find ' END || text AS q FROM conversations)"""
+
+
+@query(f"""WITH {COMPOUND}, s AS (SELECT conv_id, turn, q, list_filter(list_transform(string_split(regexp_replace(q, ',?\\s+(?:and|also|then|plus)\\s+((?:what|which|who|when|where|why|how|did|does|do|is|are)(?:[^0-9A-Za-z_]|$))', chr(1) || '\\1', 'gi'), chr(1)),
+  lambda p: trim(regexp_replace(p, '^[\\s,;]+|[\\s,;]+$', '', 'g'))), lambda p: length(p) >= 12 AND len(regexp_split_to_array(p, '\\s+')) >= 2) AS parts FROM cp)
+SELECT conv_id, turn, CASE WHEN length(q) >= 25 AND NOT regexp_matches(q, '"[^\\n]*"') AND len(parts) > 1 THEN array_to_string(parts[1:4], ' | ') ELSE '' END AS parts FROM s""")
 def ret_decompose(spark, d):
-    q = spark.createDataFrame([("what is the auth model and which framework runs the api",), ("auth and api",), ('"find and what this is, exactly here"',)], "q string")
-    return q.select("q", F.size(tx.decompose("q")).alias("n"))
+    """Compound questions, made of turns, in their parts."""
+    q = spark.sql("WITH " + COMPOUND.replace("FROM conversations", "FROM {conversations}") + " SELECT * FROM cp", conversations=table(spark, d, "conversations"))
+    return q.select("conv_id", "turn", F.array_join(tx.decompose("q"), " | ").alias("parts"))
 
 
 @query("AND r AS (SELECT user_id, node_id, value, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY k DESC, node_id) = 1 THEN true ELSE false END AS best, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, node_id) AS rank FROM mem), g AS (SELECT *, CASE WHEN best AND rank > 3 THEN 2.5 ELSE rank END AS p FROM r) SELECT user_id AS query_id, node_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY p, node_id) AS INTEGER) AS rank FROM g", "mem")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from mnemo import policy
 from mnemo.functions import text as tx
+from mnemo.operators import aggregates as ag
 from mnemo.operators import context as cx
 from mnemo.operators import dedup as dd
 from mnemo.operators import graph as gr
@@ -413,10 +414,13 @@ def hx_pref_pipeline(spark, d):
     return talk(spark, d).groupBy("conv_id").agg(F.count_if(F.lower("text").rlike("always|never")).alias("extracted"))
 
 
-@query("SELECT streak, reached FROM (VALUES (7, 31 >= 7), (30, 31 >= 30), (100, 31 >= 100), (365, 31 >= 365)) AS t(streak, reached)")
+@query(f"""AND dd AS (SELECT DISTINCT user_id, CAST(created_at AS DATE) AS day FROM mem), r AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS run FROM dd), l AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, run, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1)
+SELECT user_id, longest, CAST(coalesce(list_max(list_filter([{', '.join(map(str, policy.STREAKS))}], lambda s: s <= longest)), 0) AS INTEGER) AS streak FROM l""", "mem")
 def hx_streak_milestone(spark, d):
-    days = 31
-    return spark.createDataFrame([(s,) for s in policy.STREAKS], "streak int").withColumn("reached", F.lit(days) >= F.col("streak"))
+    """Each user's longest run of days and the streak it reaches, 0 before the first."""
+    longest = ag.streaks(mem(spark, d), "user_id").groupBy("user_id").agg(F.max("length").alias("longest"))
+    reached = F.filter(F.array(*map(F.lit, policy.STREAKS)), lambda s: s <= F.col("longest"))
+    return longest.select("user_id", "longest", F.coalesce(F.array_max(reached), F.lit(0)).alias("streak"))
 
 
 @query("SELECT item_id, CASE WHEN len(w) >= 2 THEN array_to_string(list_slice(w, 1, 3), ' ') END AS probe FROM (SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{6,}'))) AS w FROM benchmark)")
