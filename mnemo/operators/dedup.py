@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mnemo import policy
 from mnemo.functions import text as tx
+from mnemo.sources.io import written
 
 # Words that negate, and the patterns of preferences and of time words.
 NEGATIONS = [
@@ -38,23 +38,29 @@ def jaccard_pairs(df: DataFrame, threshold: Column | float, least: int = 4, with
     """Pairs (a < b) of one type whose word sets have the Jaccard coefficient: prefix filtering, then exact.
 
     Equal sets meet once, as groups. Words are ordered by rarity; two sets of coefficient t share a word among each
-    one's first (1 - t) * size + 1, so only those are joined.
+    one's first (1 - t) * size + 1, so only those are joined, and only if what follows in both could still be enough. Ids,
+    sizes and places travel, not words; candidates get their words back once. A word that more than `hot` sets of a type
+    have there is split: one side is dealt to parts, the other meets every part. Rows without a type or words pair with none.
     """
     low = threshold if isinstance(threshold, float) else min([*policy.JACCARD.values(), 0.8])
     sets = df.select("node_id", within, F.array_sort(tx.word_set("content", least)).alias("words")).filter(F.size("words") > 0)
     groups = sets.groupBy(within, "words").agg(F.min("node_id").alias("rep"))
-    each = groups.select(within, "rep", F.explode("words").alias("word"))
+    each = groups.select(within, "rep", F.size("words").alias("size"), F.explode("words").alias("word"))
     freq = each.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = each.join(freq, "word").groupBy(within, "rep").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
-    ordered = ranked.select(within, "rep", F.transform("w", lambda x: x["word"]).alias("words"))
-    need = F.size("words") - F.ceil(F.size("words") * F.lit(low)) + 1
-    prefix = ordered.select(within, "rep", "words", F.explode(F.slice("words", 1, need.cast("int"))).alias("word"))
-    b = prefix.select(F.col(within), F.col("rep").alias("b"), F.col("words").alias("bw"), "word")
-    a = prefix.select(F.col(within), F.col("rep").alias("a"), F.col("words").alias("aw"), "word")
-    lengths = (F.size("bw") >= F.size("aw") * low) & (F.size("aw") >= F.size("bw") * low)
-    pairs = a.join(b, [within, "word"]).filter((F.col("a") < F.col("b")) & lengths).select(within, "a", "b", "aw", "bw").dropDuplicates(["a", "b"])
-    scored = pairs.select(within, "a", "b", tx.jaccard(F.col("aw"), F.col("bw")).alias("jaccard"))
-    return scored.filter(F.col("jaccard") >= threshold)
+    by_rarity = Window.partitionBy("rep").orderBy("df", "word")
+    need = F.col("size") - F.ceil(F.round(F.col("size") * low, 9)) + 1
+    prefix = each.join(freq, "word").withColumn("at", F.row_number().over(by_rarity)).filter(F.col("at") <= need)
+    prefix = written(prefix.select(within, "rep", "size", "word", "at"), "prefixes")
+    parts = prefix.groupBy(within, "word").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts")).filter("parts > 1")
+    split = prefix.join(parts, [within, "word"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = split.select(within, "word", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("a"), F.col("size").alias("m"), F.col("at").alias("i"))
+    b = split.select(within, "word", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part"), F.col("rep").alias("b"), F.col("size").alias("n"), F.col("at").alias("j"))
+    most = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) + F.least("i", "j")
+    enough = (F.col("n") >= F.col("m") * low - 1e-9) & (F.col("m") >= F.col("n") * low - 1e-9) & (most >= (F.col("m") + F.col("n")) * low / (1 + low) - 1e-9)
+    pairs = a.join(b, [within, "word", "part"]).filter((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
+    words = groups.select("rep", within, "words")
+    back = pairs.join(words.toDF("a", within, "aw"), "a").join(words.select(F.col("rep").alias("b"), F.col("words").alias("bw")), "b")
+    return back.select(within, "a", "b", tx.jaccard(F.col("aw"), F.col("bw")).alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
 def dedup_threshold() -> Column:
@@ -76,33 +82,37 @@ def evolve(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("evolved", F.when(inside, text))
 
 
-def leader_clusters(df: DataFrame, threshold: float, most: int = 500) -> DataFrame:
-    """Greedy leader clusters of the newest memories of each type: node_id, leader, keeper (longest content).
+def leader_clusters(df: DataFrame, threshold: float) -> DataFrame:
+    """Greedy leader clusters of all memories of each type: event_type, node_id, leader, keeper (longest content).
 
-    A memory joins the first leader that it is similar to; the order decides, so a type's newest `most` rows, the
-    operator's own bound, are handled together.
+    From the newest on, a memory joins the earliest leader that it is similar to, or becomes one. The order is resolved
+    in rounds over the verified pairs alone: who has an earlier leader is a member; who has only members before it is a
+    leader; the others wait for the next round. Equal word sets are one node, at the place of its first; memories without
+    words lead themselves, and so do those without a type.
     """
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["created_at", "node_id"], ascending=[False, True])
-        leaders: list[tuple[str, set]] = []
-        of = []
-        for node, words in zip(pdf["node_id"], map(set, pdf["words"]), strict=True):
-            for name, w in leaders:
-                if words and len(words & w) / len(words | w) >= threshold:
-                    of.append(name)
-                    break
-            else:
-                leaders.append((node, words))
-                of.append(node)
-        out = pdf.assign(leader=of)
-        first = out.sort_values(["length", "node_id"], ascending=[False, True]).groupby("leader")["node_id"].first()
-        return out.assign(keeper=out["leader"].map(first))[["event_type", "node_id", "leader", "keeper"]]
-
-    w = Window.partitionBy("event_type").orderBy(F.desc("created_at"), "node_id")
-    newest = df.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most)
-    rows = newest.select("event_type", "node_id", "created_at", tx.word_set("content", 4).alias("words"), F.length("content").alias("length"))
-    return rows.groupBy("event_type").applyInPandas(cluster, "event_type string, node_id string, leader string, keeper string")
+    place = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), F.col("node_id").alias("first"))
+    rows = df.select("event_type", "node_id", place.alias("place"), F.array_sort(tx.word_set("content", 4)).alias("words"), F.length("content").alias("length"))
+    sets = rows.filter(F.size("words") > 0).groupBy("event_type", "words").agg(F.min("node_id").alias("rep"), F.min("place").alias("place"))
+    spot = written(sets.select("rep", "place"), "places")
+    pairs = jaccard_pairs(df, threshold).select("a", "b").join(spot.toDF("a", "pa"), "a").join(spot.toDF("b", "pb"), "b")
+    first = F.col("pa") < F.col("pb")
+    of = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
+    edges = written(pairs.select(of("a", "b").alias("early"), of("pa", "pb").alias("place"), of("b", "a").alias("late")), "earlier")
+    late = edges.select(F.col("late").alias("rep")).distinct()
+    state = written(spot.select("rep").join(late.withColumn("is_late", F.lit(True)), "rep", "left").select("rep", F.when(F.col("is_late"), "open").otherwise("leader").alias("state")), "state")
+    while state.filter("state = 'open'").limit(1).count():
+        before = edges.join(state.select(F.col("rep").alias("early"), "state"), "early").groupBy(F.col("late").alias("rep")).agg(
+            F.max(F.col("state") == "leader").alias("led"), F.max(F.col("state") == "open").alias("waits")
+        )
+        now = F.when(F.col("state") != "open", F.col("state")).when(F.col("led"), "member").when(~F.col("waits"), "leader").otherwise("open")
+        state = written(state.join(before, "rep", "left").select("rep", now.alias("state")), "state")  # the earliest open one is decided each time
+    leads = state.filter("state = 'leader'").select(F.col("rep").alias("early"))
+    joined = edges.join(leads, "early").groupBy(F.col("late").alias("rep")).agg(F.min("place").alias("by"))
+    led = spot.join(state, "rep").join(joined, "rep", "left").select("rep", F.when(F.col("state") == "leader", F.col("place.first")).otherwise(F.col("by.first")).alias("leader"))
+    of_words = sets.select("event_type", "words", "rep").join(led, "rep").select("event_type", "words", "leader")
+    out = rows.join(of_words, ["event_type", "words"], "left").withColumn("leader", F.coalesce("leader", "node_id"))
+    w = Window.partitionBy("leader").orderBy(F.desc("length"), "node_id")
+    return out.withColumn("keeper", F.first("node_id").over(w)).select("event_type", "node_id", "leader", "keeper")
 
 
 def mark_superseded(df: DataFrame, by: DataFrame) -> DataFrame:
@@ -231,8 +241,8 @@ def smart_extract(clusters: DataFrame, rows: DataFrame, by: str = "leader", most
 
     Density counts long words, capitals, code, length, and words that two members or more use. Clusters of five or more
     begin with their commonest pair of long words if it occurs three times. Longest members come first, then by node_id;
-    ties go to the first sentence, and to the least pair. A cluster's sentences meet in one array, so clusters must be
-    bounded (leader_clusters bounds them). Clusters without a sentence of 15 characters have an empty text.
+    ties go to the first sentence, and to the least pair. A cluster's distinct sentences meet in one array: what
+    is kept of one depends on those kept before it. Clusters without a sentence of 15 characters have an empty text.
     """
     m = clusters.select("node_id", by).join(rows.select("node_id", "content", "created_at"), "node_id").filter("content is not null")
     used = m.select(by, "node_id", F.explode(F.array_distinct(long_words(F.col("content")))).alias("w"))

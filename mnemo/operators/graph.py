@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemo.sources.io import written
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("source_id", "target_id", "edge_type", "weight").union(edges.select("target_id", "source_id", "edge_type", "weight"))
@@ -26,10 +28,11 @@ def bfs(edges: DataFrame, starts: DataFrame, hops: int = 5, least: float = 0.0,
         e = e.filter(F.col("edge_type").isin(types))
     e = both_ways(e).select(F.col("source_id").alias("node_id"), F.col("target_id").alias("to")).distinct()
     seen = starts.select("start_id", F.col("start_id").alias("node_id"), F.lit(0).alias("hop"))
-    front = seen
+    e, front = written(e, "edges"), seen
     for hop in range(1, hops + 1):
         step = front.join(e, "node_id").select("start_id", F.col("to").alias("node_id")).distinct()
-        front = step.join(seen, ["start_id", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
+        # Written each hop: the next one's plan reads a table, not all hops before it.
+        front = written(step.join(seen, ["start_id", "node_id"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
         seen = seen.unionByName(front)
     return seen.filter("hop > 0")
 
@@ -65,23 +68,15 @@ def entity_index(log: DataFrame) -> DataFrame:
     return log.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def chains(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """node_id and chain (smallest id of its component) of linked nodes: least labels with pointer jumping.
-
-    For chains of bounded length, as evolution chains are; lineage is cut after each round by a checkpoint.
-    """
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="mnemo-"))
-    e = both_ways(edges).select("source_id", "target_id").distinct().toDF("a", "b").checkpoint()
-    label = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("f")).checkpoint()
-    for _ in range(rounds):
+def chains(edges: DataFrame) -> DataFrame:
+    """node_id and chain (smallest id of its component) of linked nodes: least labels with pointer jumping until none
+    changes, so the rounds grow with the logarithm of a chain's length; each round is written to the shared folder."""
+    e = written(both_ways(edges).select("source_id", "target_id").distinct().toDF("a", "b"), "links")
+    label = written(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("f")), "labels")
+    while True:
         near = e.join(label.toDF("b", "g"), "b").groupBy("a").agg(F.min("g").alias("g")).toDF("id", "g")
         low = label.join(near, "id").select("id", F.least("f", "g").alias("f"), F.col("f").alias("was"))
-        jump = low.join(low.select(F.col("id").alias("f"), F.col("f").alias("ff")), "f").select("id", F.least("f", "ff").alias("f"), "was").checkpoint()
+        jump = written(low.join(low.select(F.col("id").alias("f"), F.col("f").alias("ff")), "f").select("id", F.least("f", "ff").alias("f"), "was"), "labels")
         if not jump.filter("f <> was").limit(1).count():
-            break
+            return jump.select(F.col("id").alias("node_id"), F.col("f").alias("chain"))
         label = jump.select("id", "f")
-    return label.select(F.col("id").alias("node_id"), F.col("f").alias("chain"))

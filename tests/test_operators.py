@@ -1,5 +1,8 @@
 """Closed-form vectors and round trips."""
 
+import re
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +182,50 @@ def test_tags(spark):
     assert one(spark, ex.tags(F.lit(s), F.lit("/home/me/Proj"))) == ["/opt/app/main.py", "hook", "kubernetes", "postgres", "proj", "python", "testing", "typescript"]
     assert one(spark, ex.tags(F.lit("go func"))) == ["go"]
     assert one(spark, ex.tags(F.lit(None).cast("string"), F.lit("a/"))) == []
+
+
+def test_leader_clusters_equal_a_plain_loop(spark):
+    """No bound on a type's rows, ties in time, equal sets, chains of similar ones, memories without words or type."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(260):
+        base = rng.randrange(12)
+        words = [f"word{base}x{j}" for j in range(10)] + [f"more{rng.randrange(6)}"] * rng.randrange(3)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(10)] = f"word{base}y{rng.randrange(5)}"
+        text = rng.choice([" ".join(words), " ".join(words), "a b c", "", None])
+        rows.append((f"n{i:03d}", text, rng.choice(["decision", "memory", None]), datetime(2024, 1, 1 + rng.randrange(9))))
+    df = spark.createDataFrame(rows, "node_id string, content string, event_type string, created_at timestamp")
+    got = {r["node_id"]: (r["leader"], r["keeper"]) for r in dd.leader_clusters(df, 0.6).collect()}
+    sets = {n: set(re.findall("[a-z0-9_]{4,}", (t or "").lower())) for n, t, _, _ in rows}
+    leaders, want = [], {}
+    for n, _, kind, _ in sorted(rows, key=lambda r: (-r[3].timestamp(), r[0])):
+        found = next((m for m, k in leaders if k == kind and kind and sets[n] and len(sets[n] & sets[m]) / len(sets[n] | sets[m]) >= 0.6), None)
+        if found is None:
+            leaders.append((n, kind))
+        want[n] = found or n
+    size = {n: -1 if t is None else len(t) for n, t, _, _ in rows}
+    keeper = {m: min((n for n in want if want[n] == m), key=lambda n: (-size[n], n)) for m in set(want.values())}
+    assert got == {n: (m, keeper[m]) for n, m in want.items()}
+
+
+def test_similar_pairs_with_split_words(spark):
+    rows = [(f"n{i:02d}", " ".join(f"term{j}" for j in range(20) if j != i % 25), "decision") for i in range(40)]
+    df = spark.createDataFrame(rows, "node_id string, content string, event_type string")
+    got = lambda hot: sorted((r["a"], r["b"], round(r["jaccard"], 9)) for r in dd.jaccard_pairs(df, 0.7, hot=hot).collect())
+    assert got(10_000) == got(3) and len(got(3)) > 100
+
+
+def test_nearest_neighbours_of_unusable_vectors(spark):
+    from mnemo.operators import retrieval as rt
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [1e300, 0.0])]
+    v = spark.createDataFrame(rows, "node_id long, v array<double>")
+    q = v.select(F.col("node_id").alias("query_id"), F.col("v").alias("q"))
+    got = sorted((r["query_id"], r["rank"], r["node_id"]) for r in rt.knn(q, v, 2, 0.1).collect())
+    assert got == [(1, 1, 1), (1, 2, 10), (2, 1, 2), (2, 2, 1), (9, 1, 9), (10, 1, 1), (10, 2, 10)]
+    older = sorted((r["query_id"], r["node_id"]) for r in rt.knn(q, v, 1, 0.1, below=True).collect())
+    assert older == [(2, 1), (10, 1)]
