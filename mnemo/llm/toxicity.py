@@ -5,7 +5,7 @@ Categories are predicted in order. Each has a logistic regression over the prese
 In training those log odds are out-of-fold: each row's come from models that were fitted without its fold. The last
 category decides, against the threshold that does best on the out-of-fold predictions.
 
-Models are fitted on the driver from a bounded sample of labelled rows: at most max_rows of at most MAX_BYTES in all, the
+Models are fitted in one task on a bounded sample of labelled rows: at most max_rows of at most MAX_BYTES in all, the
 least by a hash, half of them from rows with the last category as far as there are such; weights undo the unequal
 sampling. A labelled text of more than an eighth of those bytes is scored but not fitted on. Every feature in
 enough of those rows is counted by category and fold, however common it is; pairs of row and feature are kept only for
@@ -19,6 +19,7 @@ probability; repeated rows are scored each; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -261,7 +262,7 @@ def fit(labelled: DataFrame, categories: list[str], max_rows: int = MAX_ROWS, ma
     rows = scratch.materialise(rows, "labelled")  # the documents are read for them once
     last = f"y{len(categories) - 1}"
     counts = {r[0]: r["n"] for r in rows.groupBy(F.col(last) == 1).agg(F.count("*").alias("n")).collect()}
-    parts, weights = [], []
+    parts = []
     positive = min(counts.get(True, 0), max_rows // 2)
     for value, most in ((True, positive), (False, max_rows - positive)):
         part = rows.filter((F.col(last) == 1) == value)
@@ -269,16 +270,20 @@ def fit(labelled: DataFrame, categories: list[str], max_rows: int = MAX_ROWS, ma
         fits = np.cumsum([s for _, s in sizes]) <= max_bytes // 2
         if fits.any():
             most = int(fits.sum())
-            found = part.filter(F.col("h") <= sizes[most - 1][0]).drop("size").limit(most).toArrow()
-            parts.append(found)
-            weights.append(np.full(len(found), counts[value] / len(found)))
+            found = part.filter(F.col("h") <= sizes[most - 1][0]).drop("size").limit(most)
+            parts.append(found.withColumn("weight", F.lit(float(counts[value] / most))))
     if not parts:
         return fit_rows([], np.zeros((0, len(categories)), np.int64), np.zeros(0), categories)
-    found, weight = pa.concat_tables(parts), np.concatenate(weights)
-    order = np.lexsort((np.arange(len(weight)), found["h"].to_numpy()))
-    found = found.take(pa.array(order)).combine_chunks()
-    labels = np.column_stack([found[f"y{k}"].to_numpy() for k in range(len(categories))]).astype(np.int64)
-    return fit_rows(found["text"].combine_chunks(), labels, weight[order], categories)
+    sample = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def fit_sample(found: pa.Table) -> pa.Table:
+        found = found.combine_chunks().sort_by("h")
+        labels = np.column_stack([found[f"y{k}"].to_numpy() for k in range(len(categories))]).astype(np.int64)
+        chain = fit_rows(found["text"].combine_chunks(), labels, found["weight"].to_numpy(), categories)
+        return pa.table({"model": pa.array([pickle.dumps(chain)], pa.binary())})
+
+    # The sample, bounded in rows and bytes, meets in one task: the driver sees hashes, sizes and the model, never a text.
+    return pickle.loads(sample.withColumn("all", F.pmod("h", F.lit(1))).groupBy("all").applyInArrow(fit_sample, "model binary").first()["model"])
 
 
 def score(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
