@@ -155,15 +155,15 @@ def hx_fts_temporal_phase(spark, d):
     return hits.join(m.select("node_id", "event_type"), "node_id").withColumn("place", F.col("place").cast("int"))
 
 
-@query(f"{PHASE} SELECT query_id, strong, count(node_id) AS answers, CAST(max(CASE WHEN rank = 1 THEN substr(node_id, 5)::BIGINT END) AS BIGINT) AS best FROM xst LEFT JOIN (SELECT query_id, node_id, rank FROM xout) USING (query_id) GROUP BY 1, 2", "docs")
+@query(f"{PHASE} SELECT query_id, strong, count(node_id) AS answers, CAST(coalesce(max(CASE WHEN rank = 1 THEN substr(node_id, 5)::BIGINT END), -1) AS BIGINT) AS best FROM xst LEFT JOIN (SELECT query_id, node_id, rank FROM xout) USING (query_id) GROUP BY 1, 2", "docs")
 def ret_strong_signal(spark, d):
-    """Which queries one text answers so clearly that fusion, graph and reranker are left out, and what they get."""
+    """Which queries one text answers so clearly that fusion, graph and reranker are left out, and what they get (-1: nothing)."""
     q, m, v, e = parts(spark, d)
     a = rp.plan(q, LIMITS.limit)
     signals = rp.strong_signals(rp.written(rp.text_hits(a, m), "texts"), a, LIMITS)
     out = rp.run(q, m, v, e, as_of(), LIMITS, overlap_scorer, "decision").select("query_id", "node_id", "rank")
     best = F.max(F.when(F.col("rank") == 1, F.substring("node_id", 5, 20).cast("long")))
-    return signals.join(out, "query_id", "left").groupBy("query_id", "strong").agg(F.count("node_id").alias("answers"), best.alias("best"))
+    return signals.join(out, "query_id", "left").groupBy("query_id", "strong").agg(F.count("node_id").alias("answers"), F.coalesce(best, F.lit(-1).cast("long")).alias("best"))
 
 
 @query(f"{PHASE} SELECT query_id, node_id, round(6.0::DOUBLE * len(list_intersect(terms, list_filter(regexp_extract_all(lower(substr(content, 1, 512)), '[a-z0-9_]+'), lambda x: length(x) >= 3))) / len(terms) - 3, 6) AS model FROM xh JOIN docs USING (node_id) JOIN qt USING (query_id) WHERE channel = 'text' AND place <= 20", "docs")
