@@ -229,3 +229,16 @@ def test_nearest_neighbours_of_unusable_vectors(spark):
     assert got == [(1, 1, 1), (1, 2, 10), (2, 1, 2), (2, 2, 1), (9, 1, 9), (10, 1, 1), (10, 2, 10)]
     older = sorted((r["query_id"], r["node_id"]) for r in rt.knn(q, v, 1, 0.1, below=True).collect())
     assert older == [(2, 1), (10, 1)]
+
+
+def test_reranker_override_and_near_copies(spark):
+    from mnemo.operators import readpath as rp
+
+    limits = rp.Limits()
+    scored = spark.createDataFrame([(1, "a", 1.0, -3.0), (1, "b", 0.9, 3.0), (1, "c", 0.8, -3.0), (2, "a", 1.0, 0.01), (2, "b", 0.9, 0.02), (3, "a", 0.5, 9.0)], "query_id int, node_id string, score double, model double")
+    got = {(r["query_id"], r["node_id"]): round(r["score"], 6) for r in rp.rerank(scored, limits).collect()}
+    # Query 1: a sure favourite takes the first place; query 2: an indifferent model only boosts; query 3: one candidate stays.
+    assert got == {(1, "a"): 1.0, (1, "b"): round(0.9 * 1.15 * 1.01, 6), (1, "c"): 0.8, (2, "a"): 1.0, (2, "b"): round(0.9 * 1.15, 6), (3, "a"): 0.5}
+    rows = [(1, "a", 3.0, [1.0, 0.0]), (1, "b", 2.0, [1.0, 0.01]), (1, "c", 1.0, [0.0, 1.0]), (1, "d", 0.5, [0.0]), (1, "e", 0.4, [0.0]), (2, "b", 1.0, [1.0, 0.01])]
+    df = spark.createDataFrame(rows, "query_id int, node_id string, score double, v array<double>")
+    assert sorted(tuple(r) for r in rp.unlike(df, 0.92).collect()) == [(1, "a"), (1, "c"), (1, "d"), (1, "e"), (2, "b")]
