@@ -125,3 +125,28 @@ def due_jobs(runs: DataFrame, now: Column, idle: bool = True) -> DataFrame:
 def mark_run(runs: DataFrame, due: DataFrame, now: Column) -> DataFrame:
     """runs with those of the due jobs, which are then not due until their days are over."""
     return runs.unionByName(due.select("name", now.alias("ran_at")))
+
+
+def deleted(memories: DataFrame, asked: DataFrame, now: Column, reason: str = "user_deleted") -> tuple[DataFrame, DataFrame]:
+    """asked(node_id) to be deleted: results (node_id, success, error), a row for each id whatever often it is asked, and
+    the forgetting log's rows of those found. The store is what an anti-join with the successes leaves; null ids ask nothing."""
+    ids = asked.filter("node_id is not null").select("node_id").distinct()
+    j = ids.join(memories.select("node_id", F.lit(True).alias("there")), "node_id", "left")
+    there = F.col("there").isNotNull()
+    error = F.when(~there, F.concat(F.lit("Memory "), "node_id", F.lit(" not found")))
+    found = memories.join(ids, "node_id", "left_semi")
+    return j.select("node_id", there.alias("success"), error.alias("error")), forgetting(found, reason, now)
+
+
+def lost_links(edges: DataFrame, results: DataFrame) -> DataFrame:
+    """Links that go with deleted nodes: node_id, source_id, target_id; one between two of them is each one's."""
+    gone = results.filter("success").select("node_id")
+    ends = edges.select("source_id", "target_id", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("node_id"))
+    return ends.join(gone, "node_id", "left_semi").select("node_id", "source_id", "target_id")
+
+
+def links_left(edges: DataFrame, results: DataFrame) -> DataFrame:
+    """edges without those of deleted nodes."""
+    gone = results.filter("success").select("node_id")
+    left = edges.join(gone.withColumnRenamed("node_id", "source_id"), "source_id", "left_anti")
+    return left.join(gone.withColumnRenamed("node_id", "target_id"), "target_id", "left_anti").select(*edges.columns)

@@ -256,13 +256,6 @@ def ret_resume_task(spark, d):
     return m.groupBy("project").agg(F.max("created_at").alias("at"), F.max_by("node_id", F.struct("created_at", "node_id")).alias("node_id"))
 
 
-@query("AND w AS (SELECT project, regexp_extract(content, 'service[0-9]+') AS stem, count(*) AS n FROM mem GROUP BY ALL) SELECT project, stem, n FROM w QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, stem) <= 3", "mem")
-def ret_prefetch(spark, d):
-    """What each project's memories name most."""
-    w = mem(spark, d).groupBy("project", F.regexp_extract("content", "service[0-9]+", 0).alias("stem")).agg(F.count("*").alias("n"))
-    return rt.top(w, 3, "n", "project", tie="stem").select("project", "stem", "n")
-
-
 @query("AND p AS (SELECT node_id FROM mem WHERE content LIKE '%always%service3%'), f AS (SELECT node_id FROM mem ORDER BY created_at DESC, node_id LIMIT 5) SELECT node_id, 'found' AS source FROM p UNION ALL SELECT node_id, 'fallback' FROM f WHERE NOT EXISTS (SELECT 1 FROM p)", "mem")
 def set_fallback(spark, d):
     m = mem(spark, d)
@@ -283,15 +276,6 @@ def ctx_fallback(spark, d):
     return with_fallback(m.filter("content = 'nothing says this'").select("node_id"), m.orderBy(F.desc("created_at"), "node_id").limit(5).select("node_id"))
 
 
-MODES = "CASE WHEN regexp_matches(text, '\"[^\"]+\"') THEN 'phrase' WHEN contains(text, '`') THEN 'regex' WHEN regexp_matches(text, '[0-9]{4}-[0-9]{2}') THEN 'timeline' WHEN length(text) < 40 THEN 'browse' ELSE 'semantic' END"
-
-
-@query(f"SELECT conv_id, turn, {MODES} AS mode FROM talk", "talk")
-def ret_unified(spark, d):
-    """Which of the query modes a text asks for."""
-    t = F.col("text")
-    mode = F.when(t.rlike('"[^"]+"'), "phrase").when(t.contains("`"), "regex").when(t.rlike("[0-9]{4}-[0-9]{2}"), "timeline").when(F.length(t) < 40, "browse").otherwise("semantic")
-    return talk(spark, d).select("conv_id", "turn", mode.alias("mode"))
 
 
 @query(f"""AND {BM25}, {TOP}, v AS (SELECT query_id, node_id, bm25, 1.0::DOUBLE AS weight FROM t UNION ALL SELECT query_id, node_id, bm25, 0.8::DOUBLE FROM t WHERE rank <= 3)

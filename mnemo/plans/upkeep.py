@@ -235,21 +235,6 @@ def lc_backfill(spark, d):
     return table(spark, d, "documents").select("doc_id").join(e, "doc_id", "left").select("doc_id", state.alias("state"))
 
 
-@query("SELECT session_id, count(*) AS n, count(*) FILTER (event_type = 'task_completion') AS done, count(*) >= 3 AND count(*) FILTER (event_type = 'task_completion') > 0 AS distilled FROM mem GROUP BY 1", "mem")
-def lc_distill(spark, d):
-    """Sessions that make a template: three memories or more, and something finished."""
-    s = mem(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "task_completion").alias("done"))
-    return s.withColumn("distilled", (F.col("n") >= 3) & (F.col("done") > 0))
-
-
-@query("SELECT node_id, content || chr(10) || array_to_string(list_slice(list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]{6,}'))), 1, 5), ' ') AS enriched FROM docs WHERE event_type = 'decision' AND length(content) >= 80", "docs")
-def lc_enrich(spark, d):
-    """Texts with the questions' terms that a model, here a function of the text, adds."""
-    m = docs(spark, d).filter((F.col("event_type") == "decision") & (F.length("content") >= 80))
-    terms = F.array_join(F.slice(F.array_sort(tx.word_set("content", 6)), 1, 5), " ")
-    return m.select("node_id", F.concat("content", F.lit("\n"), terms).alias("enriched"))
-
-
 @query("SELECT node_id FROM mem WHERE NOT (content IN ('decision always use service1 build1 step1') OR starts_with(session_id, '3-') OR (event_type = 'session_summary' AND length(content) < 45))", "mem")
 def flt_exact_strings(spark, d):
     m = mem(spark, d)
