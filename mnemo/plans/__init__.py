@@ -7,7 +7,7 @@ import os
 import sys
 from pathlib import Path
 
-MODULES = ["basics", "statistics", "search", "extraction", "capture", "reads", "upkeep", "path", "packets", "modes", "skills"]
+MODULES = ["basics", "statistics", "search", "extraction", "capture", "reads", "upkeep", "path", "packets", "modes", "skills", "surface"]
 
 
 def load():

@@ -14,13 +14,13 @@ from mnemo.schema import as_of, table
 LIMITS = rp.Limits(limit=6, near_copies=1.0, retry_below=0.0)
 KINDS = "['semantic', 'other', 'phrase', 'regex', 'timeline', 'browse', 'browse', 'unified']"
 
-# Two words of an item are its phrase or, with anything between them, its pattern; some requests lack what they need.
+# Two words of an item are its phrase, one as a beginning its pattern; some requests lack what they need.
 REQUESTS = f"""req0 AS (SELECT item_id AS query_id, {KINDS}[1 + item_id % 8] AS mode0, text AS t, regexp_extract_all(lower(text), '[a-z]+') AS w, item_id AS i FROM benchmark),
 req AS (SELECT query_id, CASE mode0 WHEN 'other' THEN 'semantic' ELSE mode0 END AS mode, CASE WHEN i % 41 = 3 THEN '  ' WHEN mode0 = 'phrase' THEN CASE WHEN i % 3 = 0 THEN upper(w[2] || ' ' || w[3]) ELSE w[2] || ' ' || w[3] END
-    WHEN mode0 = 'regex' THEN CASE i % 5 WHEN 4 THEN '(' || w[2] WHEN 3 THEN '(a+)+' ELSE '(^|[^a-z])' || w[2] || '[a-z]* +' || w[3] END ELSE trim(t) END AS text,
+    WHEN mode0 = 'regex' THEN CASE i % 5 WHEN 4 THEN '(' || w[2] WHEN 3 THEN '(a+)+' ELSE '(^|[^a-z])' || w[2] || '[a-z]* +[a-z]' END WHEN mode0 = 'unified' THEN 'How? ' || trim(t) ELSE trim(t) END AS text,
   CASE WHEN i % 4 < 3 THEN 1 + i % 6 END AS wanted, CASE WHEN mode0 <> 'unified' AND (i % 3 = 1 OR mode0 = 'browse' AND i % 3 = 0) THEN CASE WHEN i % 2 = 0 THEN 'decision' ELSE 'lesson_learned' END END AS event_type,
   CASE WHEN i % 5 = 1 THEN 'src' || (i % 7) END AS project, 'src' || (i % 20) AS session_id, CASE WHEN mode0 = 'other' THEN 'EN' END AS tag, CASE WHEN i % 6 = 2 AND mode0 = 'semantic' THEN 'en' END AS memory_type,
-  CASE WHEN mode0 = 'semantic' THEN 0.3::DOUBLE END AS strength_min, i % 9 < 3 AS case_sensitive, CASE i % 3 WHEN 0 THEN 'type' WHEN 1 THEN 'session' ELSE 'recent' END AS browse_by, i % 9 AS days FROM req0)"""
+  CASE WHEN mode0 = 'semantic' THEN 0.3::DOUBLE END AS strength_min, i % 9 < 3 AS case_sensitive, CASE i % 3 WHEN 0 THEN 'type' WHEN 1 THEN 'session' ELSE 'recent' END AS browse_by, 22 + i % 9 AS days FROM req0)"""
 CHECKED = """bad AS (SELECT query_id, mode, CASE WHEN mode IN ('semantic', 'unified', 'phrase', 'regex') AND text = '  ' THEN 'text is required' WHEN mode = 'browse' AND browse_by = 'type' AND event_type IS NULL THEN 'event_type is required'
   WHEN mode = 'regex' AND text = '(a+)+' THEN 'nested quantifiers' WHEN mode = 'regex' AND starts_with(text, '(') AND NOT contains(text, ')') THEN 'not a pattern' END AS error FROM req),
 ok AS (SELECT * REPLACE (least(coalesce(wanted, CASE mode WHEN 'browse' THEN 20 ELSE 10 END), 200) AS wanted), CASE WHEN mode = 'regex' AND error IS NULL THEN text ELSE 'x' END AS pattern FROM req JOIN bad USING (query_id, mode) WHERE error IS NULL)"""
@@ -56,15 +56,15 @@ def requests(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ("semantic", "other", "phrase", "regex", "timeline", "browse", "browse", "unified"))), (1 + i % 8).cast("int"))
     word = lambda n: F.try_element_at("w", F.lit(n))
     pair = F.concat(word(2), F.lit(" "), word(3))
-    pattern = F.when(i % 5 == 4, F.concat(F.lit("("), word(2))).when(i % 5 == 3, "(a+)+").otherwise(F.concat(F.lit("(^|[^a-z])"), word(2), F.lit("[a-z]* +"), word(3)))
-    text = F.when(i % 41 == 3, "  ").when(F.col("kind") == "phrase", F.when(i % 3 == 0, F.upper(pair)).otherwise(pair)).when(F.col("kind") == "regex", pattern).otherwise(F.col("text"))
+    pattern = F.when(i % 5 == 4, F.concat(F.lit("("), word(2))).when(i % 5 == 3, "(a+)+").otherwise(F.concat(F.lit("(^|[^a-z])"), word(2), F.lit("[a-z]* +[a-z]")))
+    text = F.when(i % 41 == 3, "  ").when(F.col("kind") == "phrase", F.when(i % 3 == 0, F.upper(pair)).otherwise(pair)).when(F.col("kind") == "regex", pattern).when(F.col("kind") == "unified", F.concat(F.lit("How? "), F.trim("text"))).otherwise(F.col("text"))
     typed = (i % 3 == 1) | ((F.col("kind") == "browse") & (i % 3 == 0))
     numbered = lambda n: F.concat(F.lit("src"), (i % n).cast("string"))
     r = b.withColumns({"w": w, "kind": kind}).select(
         i.alias("query_id"), F.col("kind").alias("mode"), text.alias("text"), F.when(i % 4 < 3, (1 + i % 6).cast("int")).alias("wanted"),
         F.when(typed, F.when(i % 2 == 0, "decision").otherwise("lesson_learned")).alias("event_type"), F.when(i % 5 == 1, numbered(7)).alias("project"), numbered(20).alias("session_id"),
         F.when(F.col("kind") == "other", F.array(F.lit("EN"))).alias("tags"), F.when((i % 6 == 2) & (F.col("kind") == "semantic"), "en").alias("memory_type"), F.lit(None).cast("string").alias("status"),
-        F.when(F.col("kind") == "semantic", 0.3).alias("strength_min"), (i % 9 < 3).alias("case_sensitive"), F.when(i % 3 == 0, "type").when(i % 3 == 1, "session").otherwise("recent").alias("browse_by"), (i % 9).cast("int").alias("days"),
+        F.when(F.col("kind") == "semantic", 0.3).alias("strength_min"), (i % 9 < 3).alias("case_sensitive"), F.when(i % 3 == 0, "type").when(i % 3 == 1, "session").otherwise("recent").alias("browse_by"), (22 + i % 9).cast("int").alias("days"),
     )
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
     return r.join(e, "query_id", "left")

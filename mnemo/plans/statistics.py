@@ -411,12 +411,12 @@ def ev_multi_rubric(spark, d):
 def stream(spark, d):
     """events as an unbounded source of memories."""
     schema = table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, d))
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(event_folder(spark, d))
     kind = F.when(F.col("event_type") == "error", "error_pattern").otherwise(F.col("event_type"))
     return raw.select(F.concat(F.lit("mem-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("node_id"), F.col("ts").cast("timestamp").alias("created_at"), "user_id", kind.alias("event_type"), F.sha2("props", 256).alias("content_hash"))
 
 
-def _folder(spark, d: str) -> str:
+def event_folder(spark, d: str) -> str:
     """A folder of events alone, written once a session: streams read folders, and tables may be single files."""
     path = f"{io.shared_folder(spark)}/events-{abs(hash(d))}-{spark.sparkContext.applicationId}"
     if path not in _copied:
