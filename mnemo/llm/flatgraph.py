@@ -4,7 +4,8 @@ Equal vectors form a class, kept once. Cluster centres, fitted on a bounded samp
 its nearest centres, so that shards overlap. Each shard builds a graph: nearest neighbours, pruned so that an edge is
 left out where another leads closer by a margin, with reverse edges. A class's adjacency lists are united over its
 shards. In each shard, a greedy search from its medoid then looks for what lies near every member, with a beam that
-grows with what is in range; what it finds there, and what edges within a slightly wider range reach from there, is the member's region, and all cosines inside a
+grows with what is in range. What edges within a slightly wider range join is a part; the parts that a search meets in that range
+are one region (a part is met once, not in each of its members), and all cosines inside a
 region are computed exactly in double precision. A pair that several shards hold is counted in the first of them.
 
 How many shards a class goes to is measured before the search: sampled vectors, each beside one made at exactly the
@@ -185,9 +186,12 @@ def places(rows: np.ndarray) -> np.ndarray:
     return np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
 
 
-def range_search(x: np.ndarray, to: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def range_search(x: np.ndarray, to: np.ndarray, first: np.ndarray, threshold: float, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, found) in range, for each row of x: a greedy search from the medoid, the nearest unopened nodes
-    first. A query's beam holds its BEAM nearest nodes and, however many, those in range; it ends when all are opened."""
+    first. A query's beam holds its BEAM nearest nodes and, however many, those in range; it ends when all are opened.
+
+    Where only the parts that a query meets matter, part names each row's: beyond its nearest, the beam then holds one
+    node in range of each part but the query's own, so that its length doesn't grow with the members of a part."""
     n = len(x)
     medoid, degree = int((x @ x.mean(0)).argmax()), np.diff(first)
     width = max(16, min(2048, ENTRIES // n))
@@ -212,7 +216,14 @@ def range_search(x: np.ndarray, to: np.ndarray, first: np.ndarray, threshold: fl
             s = cosines(x, r + i, v)
             row, node, sim, opened = (np.concatenate(z) for z in ((row, r), (node, v), (sim, s), (opened, np.zeros(len(r), bool))))
             order = np.lexsort((-sim, row))
-            order = order[(places(row[order]) < BEAM) | (sim[order] >= threshold)]
+            far = places(row[order]) >= BEAM
+            keep = ~far | (sim[order] >= threshold)
+            if part is not None and (far := far & keep).any():
+                met = part[node[order]]
+                first_met = np.zeros(len(order), bool)
+                first_met[np.unique(row[order] * n + met, return_index=True)[1]] = True
+                keep &= ~far | (first_met & (met != part[row[order] + i]))
+            order = order[keep]
             row, node, sim, opened = row[order], node[order], sim[order], opened[order]
         found = sim >= threshold
         hits.append(np.stack([row[found] + i, node[found]]))
@@ -231,8 +242,9 @@ def search_shard(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     wide = threshold - SLACK
     a, b = np.repeat(np.arange(len(ids)), np.diff(first)), to
     close = cosines(x, a, b) >= wide
-    q, found = range_search(x, to, first, wide)
-    region = unite(len(ids), np.concatenate([a[close], q]), np.concatenate([b[close], found]))
+    part = unite(len(ids), a[close], b[close])
+    q, found = range_search(x, to, first, wide, part)
+    region = unite(len(ids), np.concatenate([part, q]), np.concatenate([np.arange(len(ids)), found]))
     links, lefts, rights = np.zeros(len(ids), np.int64), [], []
     order = np.argsort(region, kind="stable")
     cuts = np.append(np.flatnonzero(np.diff(region[order], prepend=-1)), len(order))
@@ -251,8 +263,10 @@ def search_shard(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             mine = (at != to) & (first == shard) & ((side[at] == 0) | (side[at] != side[to]) | bool((side == 1).all()))
             at, to = at[mine], to[mine]
             np.add.at(links, at, weight[to])
-            lefts.append(at)
-            rights.append(to)
+            top = unite(len(ids), at, to)
+            moved = np.flatnonzero(top != np.arange(len(ids)))  # a pair a member, not one a link
+            lefts.append(moved)
+            rights.append(top[moved])
     a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (lefts, rights))
     root = ids[unite(len(ids), a, b)]
     some = np.flatnonzero(links)
@@ -275,10 +289,11 @@ def links_in_shards(classes: DataFrame, c: np.ndarray, overlap: int, threshold:
     members = scratch.materialise(classes.mapInArrow(lambda b: deal_shards(b, c, overlap), MEMBERS), "shards")
     tasks = by_task(members, block)
     own = tasks.filter("side = 0 or element_at(split(task, '/'), 2) = element_at(split(task, '/'), 3)")
-    edges = own.groupBy("task").applyInPandas(shard_edges, "cid long, near binary")
+    parts = min(max(len(c), 8), 4000)  # a shard takes seconds but few bytes, by which partitions would be put together
+    edges = own.repartition(parts, "task").groupBy("task").applyInPandas(shard_edges, "cid long, near binary")
     united = edges.groupBy("cid").agg(F.collect_list("near").alias("near"))  # a list for each of the class's shards
     full = tasks.join(united, "cid", "left")
-    return scratch.materialise(full.groupBy("task").applyInPandas(lambda p: search_shard(p, threshold), "cid long, links long, root long"), "links")
+    return scratch.materialise(full.repartition(parts, "task").groupBy("task").applyInPandas(lambda p: search_shard(p, threshold), "cid long, links long, root long"), "links")
 
 
 def brute_links(classes: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float) -> dict[int, int]:
